@@ -7,10 +7,15 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import leakage, markup, mixing, near_duplicates, personal, repeated_lines, splitting
+from docloom.llm import boilerplate, leakage, markup, mixing, near_duplicates, personal, repeated_lines, sentences, splitting
 from docloom.sources import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "crawl_docs").select("doc_id", "clean_text", "raw_file_path")
+    return boilerplate.boilerplate_lines(docs, table(spark, folder, "raw_pages").select("raw_file_path", "html"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     limits = {r["field_name"]: (r["max_chars"], r["overlap_chars"]) for r in table(spark, folder, "size_limits").collect()}
     out = []
@@ -31,6 +36,13 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_lines.repeated_lines(docs).select("doc_id", "line_no")
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "crawl_docs").select("doc_id", "clean_text")
+    sample = table(spark, folder, "sentence_sample").select("doc_id", "lang").dropDuplicates(["doc_id"])
+    judged = docs.join(sample, "doc_id").dropDuplicates(["doc_id"])
+    return sentences.sentence_units(judged, lang_col="lang", corpus=docs)
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return markup.residue_rows(table(spark, folder, "crawl_docs"))
 
@@ -58,4 +70,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return personal.personal_spans(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p5_found, p6_found, p7_found, p8_mix, p8_shares, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p6_found, p7_found, p8_mix, p8_shares, p9_found)}
+
+#: No SQL states these operators; they are tested against brute force and fixtures in tests/llm.
+ORACLES: dict[str, str] = {}
