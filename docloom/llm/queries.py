@@ -72,5 +72,17 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p6_found, p7_found, p8_mix, p8_shares, p9_found)}
 
-#: No SQL states these operators; they are tested against brute force and fixtures in tests/llm.
-ORACLES: dict[str, str] = {}
+_WS = r"[\t\n\x0b\f\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+#: SQL for DuckDB by brute force. The other operators, which SQL does not state (Unicode NFKC, tokenizers, rules of language),
+#: are tested against brute force and fixtures in tests/llm.
+ORACLES: dict[str, str] = {
+    "p2_found": """SELECT DISTINCT 'clean_text' AS field_name, doc_id AS item_id FROM crawl_docs WHERE length(clean_text) > (SELECT max_chars FROM size_limits WHERE field_name = 'clean_text')
+        UNION ALL SELECT DISTINCT 'dense_text', chunk_id FROM processed_chunks WHERE length(dense_text) > (SELECT max_chars FROM size_limits WHERE field_name = 'dense_text')""",
+    "p3_found": f"""WITH docs AS (SELECT DISTINCT doc_id, clean_text FROM crawl_docs),
+        w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(clean_text), '{_WS}'), lambda x: x <> '') AS w FROM docs),
+        g AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL)
+        SELECT a AS doc_id_a, b AS doc_id_b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.6 * (x.n + y.n - c)""",
+}
