@@ -8,9 +8,10 @@ edges is at most the number of (text, band) rows. Two leaves of one star become
 only where both edges to the centre look similar by their signatures, and every candidate is
 verified exactly on the full n-gram sets.
 
-Nodes are distinct n-gram sets, not rows: exact copies are one node from the start, so a group of
-copies that holds a third of all rows is one row of every later step. Buckets are built by a
-pre-aggregated minimum, maximum and count; only buckets of three and more are joined back.
+Nodes are distinct n-gram sets, not rows: exact copies are one node, so a group of copies that holds a
+third of all rows is one row of every step after the buckets. Buckets are built by a pre-aggregated
+minimum, maximum and count, to which copies in one task are one row; only buckets of three rows and
+more are joined back.
 Texts are shuffled once, and only those with a candidate (semi-join before the shuffle of sets).
 
 Recall: a pair of similarity s meets in a band with s^rows, so at 80 bands of 5 rows it is missed
@@ -138,10 +139,11 @@ def _judged(edges: DataFrame, signatures: DataFrame, keep: float) -> DataFrame:
     return map_lists(both, _likeness(keep), "a bigint, b bigint", rows=8192)
 
 
-def _stars(nodes: DataFrame) -> DataFrame:
-    """Distinct edges (a, b), a < b: from the least node of every bucket to each other one."""
-    rows = nodes.select("node", F.explode("bands").alias("bucket"))
-    buckets = cut(rows.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+def _stars(base: DataFrame) -> DataFrame:
+    """Distinct edges (a, b), a < b: from the least node of every bucket to each other one. `base` may hold a node
+    many times: minimum and maximum do not mind, and repeated edges collapse in the tasks that make them."""
+    rows = base.select("node", F.explode("bands").alias("bucket"))
+    buckets = cut(rows.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b"))
     large = buckets.where("n > 2").select("bucket", "a")
     if large.count() <= _BROADCAST_ROWS:
         large = F.broadcast(large)
@@ -158,10 +160,9 @@ def near_duplicate_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str
     kind = flat.schema["id"].dataType.simpleString()
     base = cut(map_lists(flat, _sketches(words, bands, rows), f"id {kind}, node bigint, size int, bands array<bigint>, signature binary", rows=128))
     members = base.select("id", "node", "size").distinct()
-    nodes = base.groupBy("node").agg(F.first("bands").alias("bands"), F.first("signature").alias("signature"))
     signatures = base.select("node", "signature").distinct()
     low = max(0.05, threshold / 2 - 0.12)
-    stars = cut(_judged(_stars(nodes.select("node", "bands")), signatures, low))
+    stars = cut(_judged(_stars(base), signatures, low))
     wedges = stars.alias("x").join(stars.alias("y"), F.col("x.a") == F.col("y.a")).where("x.b < y.b").select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct()
     near = max(0.05, threshold - 0.20)
     candidates = cut(stars.union(_judged(wedges, signatures, near)).distinct())
