@@ -41,8 +41,8 @@ _COMMON = {
     "it": "il lo gli e è un una per in con che non si del della ogni prima".split(),
     "nl": "de het een en is van voor met op niet dat die wordt elke".split(),
 }
-_COMMON = {k: frozenset(v) for k, v in _COMMON.items()}
-_SCRIPTS = (("ja", re.compile("[぀-ヿ]")), ("zh", re.compile("[一-鿿]")), ("th", re.compile("[฀-๿]")), ("ar", re.compile("[؀-ۿ]")), ("hi", re.compile("[ऀ-ॿ]")), ("ru", re.compile("[Ѐ-ӿ]")), ("ko", re.compile("[가-힣]")), ("el", re.compile("[Ͱ-Ͽ]")))
+_COMMON = {k: tuple(w for x in v for w in (x, x.capitalize())) for k, v in _COMMON.items()}
+_SCRIPTS = (("ja", 0x3040, 0x30FF), ("zh", 0x4E00, 0x9FFF), ("th", 0x0E00, 0x0E7F), ("ar", 0x0600, 0x06FF), ("hi", 0x0900, 0x097F), ("ru", 0x0400, 0x04FF), ("ko", 0xAC00, 0xD7A3), ("el", 0x0370, 0x03FF))
 _SPACED = frozenset({"th", "lo", "km", "my"})
 _UNSPACED = frozenset({"zh", "ja"})
 
@@ -56,17 +56,17 @@ _BULLET = re.compile(r"[ \t]*(?:[•‣▪●◦·*+–-]|\d{1,3}[.)])[ \t]+\S")
 _ELLIPSIS = re.compile(r"\.{2,}|…+")
 
 
-def language(text: str) -> str:
+def language(text: str, tokens: list[str] | None = None) -> str:
     """The language of a text by its script or, for Latin letters, its function words."""
-    sample = text[:2000] if text.isascii() else text
-    if not text.isascii():
-        letters = len(re.findall(r"[^\W\d_]", sample)) or 1
-        for name, pattern in _SCRIPTS:
-            if len(pattern.findall(sample)) > (0.05 if name == "ja" else 0.15) * letters:
+    high = 0 if text.isascii() else len(text) - len(text.encode("ascii", "ignore"))
+    if high > 0.04 * len(text):
+        counts = Counter(text)
+        letters = sum(n for c, n in counts.items() if c.isalpha()) or 1
+        for name, first, last in _SCRIPTS:
+            if sum(n for c, n in counts.items() if first <= ord(c) <= last) > (0.05 if name == "ja" else 0.15) * letters:
                 return name
-    words = Counter(sample.lower().split())
-    best = max(_COMMON, key=lambda k: sum(words[w] for w in _COMMON[k]))
-    return best
+    words = Counter(text.split() if tokens is None else tokens)
+    return max(_COMMON, key=lambda k: sum(words[w] for w in _COMMON[k]))
 
 
 def _kind(token: str) -> str:
@@ -132,21 +132,32 @@ def _count(batches):
         for text in batch.column(0).to_pylist():
             if not text:
                 continue
-            lang = language(text)
+            tokens = text.split()
+            lang = language(text, tokens)
             if lang in _UNSPACED:
                 continue  # their marks are not ambiguous
-            words, two, first = raw[lang], pairs[lang], starts[lang]
+            raw[lang].update(tokens)
+            first, two = [], []
             for line in text.split("\n"):
                 tokens = line.split()
                 if not tokens:
                     continue
-                words.update(tokens)
                 if lang not in _SPACED or len(tokens) > 7:  # there, short lines are headings and lists of other chunks
-                    first[tokens[1] if len(tokens) > 1 and len(tokens[0]) == 1 and not tokens[0].isalnum() else tokens[0]] += 1
-                after = tokens[1:] + ["$"]
-                two.update((w, x) for w, x in zip(tokens, after) if w[-1] == "." and w[-2:] != "..")
-                two.update((w, ",") for w in tokens if w[-1] in ",;:" and w[-2:-1] == ".")
-                first.update(x for w, x in zip(tokens, after) if w[-1] in "!?؟।" and x != "$" and not x[0].islower())
+                    first.append(tokens[1] if len(tokens) > 1 and len(tokens[0]) == 1 and not tokens[0].isalnum() else tokens[0])
+                last = len(tokens) - 1
+                for i, w in enumerate(tokens):
+                    if (c := w[-1]) in ".,;:!?؟।":
+                        x = tokens[i + 1] if i < last else "$"
+                        if c == ".":
+                            if w[-2:] != "..":
+                                two.append((w, x))
+                        elif c in ",;:":
+                            if w[-2:-1] == ".":
+                                two.append((w, ","))
+                        elif x != "$" and not x[0].islower():
+                            first.append(x)
+            starts[lang].update(first)
+            pairs[lang].update(two)
         if sum(map(len, raw.values())) > 400_000:
             yield rows()
     yield rows()
