@@ -3,7 +3,7 @@
 Unsupervised, per language, over all texts: counts of word types with and without a final period, of
 the words after certain boundaries (line starts, ! ?) and of pairs (word with period, next word).
 Dunning's log-likelihood ratio turns them into sentence starters, abbreviations and collocations.
-A word that always ends in a period is an abbreviation only if what follows it is mostly no
+A word in upper case that is common in lower case starts a sentence, too. A word that always ends in a period is an abbreviation only if what follows it is mostly no
 starter; so sentence-final words do not become abbreviations in a small vocabulary. Scripts
 that part sentences by spaces get starters from the first and last characters of space-separated
 chunks at line starts against all chunks.
@@ -74,6 +74,8 @@ def _kind(token: str) -> str:
     bare = token.strip(_OPEN + _CLOSE + ",;:!?…؟।。！？.")
     if not bare:
         return ""
+    if "." in bare and (token.rstrip(",;:.").endswith(")") or max(map(len, bare.split("."))) > 4):
+        return "#" if bare[0].isdigit() else "@"  # a call or a file name, no abbreviation
     if _TYPE.fullmatch(bare) and len(bare) <= 16 and (bare[1:].islower() or bare.isupper() or len(bare) == 1 or not bare.isascii() or "." in bare):
         return bare.lower()
     return "#" if bare[0].isdigit() else "@"
@@ -90,7 +92,7 @@ def _chunk_ends(chunk: str) -> tuple[str, str]:
 
 
 def _count(batches):
-    """(lang, kind, a, b, n) for each batch stream: kind w: type a; p: type a with a period before type b;
+    """(lang, kind, a, b, n) for each batch stream: kind w: type a; l: type a in lower case; p: type a with a period before type b;
     s: type a after a certain boundary; f: chunk feature a anywhere; g: chunk feature a at a line start."""
     raw: dict[str, Counter] = defaultdict(Counter)
     pairs: dict[str, Counter] = defaultdict(Counter)
@@ -103,6 +105,8 @@ def _count(batches):
                 if (k := _kind(token)) and k not in "#@":
                     out[lang, "w", k, ""] += n
                     out[lang, "w", "", ""] += n
+                    if token[:1].islower():
+                        out[lang, "l", k, ""] += n
         for lang, counts in pairs.items():
             for (token, after), n in counts.items():
                 k, b = _kind(token), after if after in "$," else _kind(after)
@@ -193,10 +197,14 @@ def learn(docs: DataFrame, text_col: str = "clean_text", max_entries: int = 50_0
     starters = typed.where("ratio > base and llr > 7.88 and ratio > 0.02").select("lang", "a", "llr")
     others = typed.where("n_word >= 8 and ratio < 0.004").select("lang", "a", F.col("n_word").cast("double").alias("llr"))
 
+    low = counts.where("kind = 'l'").select("lang", "a", F.col("n").alias("n_low"))
+    lowered = word.join(low, ["lang", "a"]).where("n_low > 2 and n_low > 0.05 * n_word").select("lang", "a", F.col("n_low").cast("double").alias("llr"))
+
     pair = counts.where("kind = 'p'").select("lang", "a", "b", "n")
-    marked = pair.join(starters.select("lang", F.col("a").alias("b"), F.lit(1).alias("is_start")), ["lang", "b"], "left")
-    ends = F.col("is_start").isNotNull() | F.col("b").isin("$", "@")
-    dotted = marked.groupBy("lang", "a").agg(F.sum("n").alias("n_dot"), F.sum(F.when(ends, F.col("n")).otherwise(0)).alias("n_end"), F.sum(F.when(F.col("b") == "~", F.col("n")).otherwise(0)).alias("n_initial"), F.sum(F.when(F.col("b") == "#", F.col("n")).otherwise(0)).alias("n_number"))
+    begins = starters.select("lang", "a").union(lowered.select("lang", "a")).distinct()
+    marked = pair.join(begins.select("lang", F.col("a").alias("b"), F.lit(1).alias("is_start")), ["lang", "b"], "left")
+    ends = F.col("is_start").isNotNull() | (F.col("b") == "$")
+    dotted = marked.groupBy("lang", "a").agg(F.sum("n").alias("n_dot"), F.sum(F.when(ends, F.col("n")).otherwise(0)).alias("n_end"), F.sum(F.when(F.col("b").isin("~", "@"), F.col("n")).otherwise(0)).alias("n_open"), F.sum(F.when(F.col("b") == "#", F.col("n")).otherwise(0)).alias("n_number"))
     all_dots = dotted.groupBy("lang").agg(F.sum("n_dot").alias("d_all"))
     words = dotted.where("a <> '#'").join(word, ["lang", "a"]).join(F.broadcast(all_words), "lang").join(F.broadcast(all_dots), "lang")
     base = F.col("d_all") / F.col("n_all")
@@ -206,17 +214,18 @@ def learn(docs: DataFrame, text_col: str = "clean_text", max_entries: int = 50_0
     score = ratio * F.exp(-size.cast("double")) * inner * F.pow(size.cast("double"), -(F.col("n_word") - F.col("n_dot")).cast("double"))
     abbreviations = (
         words.withColumn("llr", score)
-        .where((F.col("n_number") > 0.6 * F.col("n_dot")) & (F.col("n_dot") > 3) | ((F.col("n_end") < 0.9 * (F.col("n_dot") - F.col("n_initial"))) | (F.col("n_initial") > 0.8 * F.col("n_dot"))) & ((F.col("llr") > 0.3) | (F.col("n_dot") > 0.8 * F.col("n_word")) & (F.col("n_end") < 0.5 * F.col("n_dot")) & (size < 11)))
-        .select("lang", "a", "llr")
+        .where((F.col("n_number") > 0.6 * F.col("n_dot")) & (F.col("n_dot") > 3) | ((F.col("n_end") < 0.9 * (F.col("n_dot") - F.col("n_open"))) | (F.col("n_open") > 0.8 * F.col("n_dot"))) & ((F.col("llr") > 0.3) | (F.col("n_dot") > 0.8 * F.col("n_word")) & (F.col("n_end") < 0.5 * F.col("n_dot")) & (size < 11)))
+        .select("lang", "a", "llr", "n_end", "n_dot")
     )
+    finals = abbreviations.where("n_end > 0.25 * n_dot").select("lang", "a", "llr")
     collocations = (
         pair.where("b not in ('$', '@', '_', '#', '~')").join(dotted.select("lang", "a", "n_dot"), ["lang", "a"]).join(word.withColumnsRenamed({"a": "b", "n_word": "n_b"}), ["lang", "b"])
         .where("n >= 4 and n > 0.3 * n_dot and n > 0.1 * n_b").select("lang", F.concat_ws(" ", "a", "b").alias("a"), F.col("n").cast("double").alias("llr"))
     )
     at_start = counts.where("kind = 'g'").select("lang", "a", F.col("n").alias("g"))
     chunks = counts.where("kind = 'f'").join(at_start, ["lang", "a"]).where("g >= 2 and g > 0.02 * n and a not in ('#', '@')").select("lang", "a", F.col("g").cast("double").alias("llr"))
-    model: dict[str, dict] = defaultdict(lambda: {"starters": set(), "others": set(), "abbreviations": set(), "collocations": set(), "chunks": set()})
-    for name, frame in (("starters", starters), ("others", others), ("abbreviations", abbreviations), ("collocations", collocations), ("chunks", chunks)):
+    model: dict[str, dict] = defaultdict(lambda: {"starters": set(), "others": set(), "abbreviations": set(), "collocations": set(), "chunks": set(), "lowered": set(), "finals": set()})
+    for name, frame in (("starters", starters), ("others", others), ("abbreviations", abbreviations), ("collocations", collocations), ("chunks", chunks), ("lowered", lowered), ("finals", finals)):
         from pyspark.sql import Window
 
         rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("llr"), "a"))
@@ -225,7 +234,7 @@ def learn(docs: DataFrame, text_col: str = "clean_text", max_entries: int = 50_0
     return {k: {n: frozenset(s) for n, s in v.items()} for k, v in model.items()}
 
 
-_NOTHING = {"starters": frozenset(), "others": frozenset(), "abbreviations": frozenset(), "collocations": frozenset(), "chunks": frozenset()}
+_NOTHING = {"starters": frozenset(), "others": frozenset(), "abbreviations": frozenset(), "collocations": frozenset(), "chunks": frozenset(), "lowered": frozenset(), "finals": frozenset()}
 _WORD_AFTER = re.compile(r"[\s]*([" + re.escape(_OPEN) + r"]*)(\S+)")
 
 
@@ -365,7 +374,8 @@ class Splitter:
         cased = lang not in ("ar", "hi", "zh", "ja", "th", "ko")
         if lang in _UNSPACED or marks[-1] in "。！？｡":
             return self._ends_unspaced(text, begin, i, marks, at, quote, after, gap)
-        starter = kind in model["starters"] and not (len(bare) == 1 and after[1:2] == "." and bare.isupper())
+        starter = kind in model["starters"] or cased and bare[:1].isupper() and kind in model["lowered"]
+        starter = starter and not (len(bare) == 1 and after[1:2] == "." and bare.isupper())
         if quote:
             if after[0] in "—–-,;:)" or text[at : at + 1] in ",;:":
                 return False
@@ -376,7 +386,7 @@ class Splitter:
             if text[quote[0]] in "([{":
                 return whole or cased and not lower and not kind == "@" or starter
             if cased:
-                return bool(gap) and not lower and (kind == "@" and bare[:1].isupper() and not whole or starter or bare[:1].isupper() and kind not in ("@",) or bool(opened))
+                return bool(gap) and not lower and (kind == "@" and not whole or starter or bare[:1].isupper() and kind not in ("@",) or bool(opened))
             return starter
         if "!" in marks or "?" in marks or "؟" in marks:
             return gap and not (lower and cased and not opened) and after[0] not in "—–,;"
@@ -401,7 +411,7 @@ class Splitter:
         if single or before in model["abbreviations"] or "." in word.strip(_OPEN) and before in model["abbreviations"]:
             if f"{before} {kind}" in model["collocations"]:
                 return False
-            return starter and not lower
+            return (starter or kind == "@" and before in model["finals"]) and not lower
         return not lower and f"{before} {kind}" not in model["collocations"]
 
     @staticmethod
