@@ -43,7 +43,7 @@ _MD_EM = re.compile(r"(?<![\w*/\\'\"_.])_(?=[^\s_])([^_\n]*[^\s_])_(?![\w_])")
 _MD_STRONG = re.compile(r"(?<![\w*/\\'\"_.(])__(?=[^\s_])([^_\n]*[^\s_])__(?![\w_])(?=.*\S)")
 _MD_CODE = re.compile(r"(?<!`)`(?![`\s'])([^`\n]*[^`\s])`(?!`)")
 _MD_LINK = re.compile(r"(!?)\[([^\[\]\n]*)\]\(([^()\s]+)(?:\s+\"[^\"\n]*\")?\)")
-_MD_RULE = re.compile(r"^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)+\|?[ \t]*$", re.M)
+_MD_RULE = re.compile(r"^[ \t]*\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)+\|?[ \t]*$", re.M)
 _MD_ANCHOR = re.compile(r"[ \t]*\{#[\w-]+\}[ \t]*$", re.M)
 _MD_STRIKE = re.compile(r"(?<!~)~~(?=[^\s~])([^~\n]*[^\s~])~~(?!~)")
 _MD_ITEM = re.compile(r"^([ \t]*)(?:[*+-]|[0-9]{1,3}\.)[ \t]+(?=\S)", re.M)
@@ -80,7 +80,7 @@ def residue(text: str | None) -> tuple[str, ...]:
         or "**" in text and _MD_BOLD.search(text)
         or "`" in text and (_MD_CODE.search(text) or _MD_FENCE.search(text))
         or "_" in text and _MD_EM.search(text)
-        or "---" in text and _MD_RULE.search(text)
+        or "--" in text and "|" in text and _MD_RULE.search(text)
         or "~~" in text and (_MD_STRIKE.search(text) or _MD_FENCE.search(text))
     ):
         found.append("markdown")
