@@ -74,7 +74,7 @@ _PHONE_CUE = re.compile(
     r"(?:tel|tél|tfno|phone|fax|call|mobile|handy|number|ring me|on-call|llame|appelez|anrufen|bei ausfall|звоните|тел|電話|电话|拨打|连絡|連絡|☎|📞|هاتف|फ़ोन|โทร)[^\n\d]{0,24}$", re.I
 )
 _ROW_CUE = re.compile(r"[|;·\t,][ ]?$")
-_OTHER_NUMBER = re.compile(r"\b(?:build|order code|isbn|issue #?|commit|version|port|listens on|sizes are)[^\n]{0,12}$", re.I)
+_OTHER_NUMBER = re.compile(r"\b(?:build|order code|isbn|issue #?|commit|version|port|listens on|sizes are)[\s:#\d.,x-]{0,14}$", re.I)
 _OTHER_AFTER = re.compile(r"^[ ]?(?:ticks|bytes|covers|seats|%|ms\b)", re.I)
 
 # ---- identity numbers ---------------------------------------------------------------------------
@@ -162,7 +162,8 @@ _GAP = r"(?:,?[ ]|,?[ ]?\n[ ]?)"
 _EN_STREET = r"(?:Street|St|Road|Rd|Lane|Ln|Close|Avenue|Ave|Boulevard|Blvd|Drive|Dr|Court|Ct|Way|Terrace|Crescent|Square|Sq|Place|Pl|Row|Gardens|Grove|Hill|Parkway|Pkwy|Highway|Hwy|Mews|Walk|Quay)\b\.?"
 _EN = rf"\d{{1,5}}[A-Za-z]?,?[ ](?:{_CAP}[ ]){{1,3}}?{_EN_STREET}(?:{_GAP}(?:Apt\.?|Apartment|Suite|Ste\.?|Unit|Flat|Floor|#)[ ]?\w{{1,5}})?"
 _EN_TOWN = rf"{_GAP}{_CAP}(?:[ ]{_CAP}){{0,2}}{_GAP}(?:[A-Z]{{1,2}}\d[A-Z\d]?[ ]\d[A-Z]{{2}}|[A-Z]{{2}}[ ]\d{{5}}(?:-\d{{4}})?)"
-_DE = rf"(?:{_CAP}[ ])?[{_UP}][\w-]*?(?:straße|strasse|str\.|weg|platz|gasse|allee|ring|damm|ufer|steig|pfad|chaussee)[ ]\d{{1,4}}[ ]?[a-z]?\b"
+_DE_BEFORE = r"(?:Am|Im|An der|An den|In der|In den|Zum|Zur|Auf der|Auf dem|Auf den|Hinter der|Hinter dem|Unter den|Vor dem)"
+_DE = rf"(?:{_DE_BEFORE}[ ]{_CAP}[ ]\d{{1,4}}[ ]?[a-z]?\b|(?:{_CAP}[ ])?[{_UP}][\w-]*?(?:straße|strasse|str\.|weg|platz|gasse|allee|ring|damm|ufer|steig|pfad|chaussee)[ ]\d{{1,4}}[ ]?[a-z]?\b)"
 _DE_TOWN = rf"{_GAP}(?:D-)?\d{{5}}[ ]{_CAP}(?:[ ](?:am|an der|an|bei|im|in der|ob der|vor der|auf der)[ ]{_CAP}|[ ]{_CAP}(?=[\s,;|·.]|$))?"
 _FR = rf"\d{{1,4}}(?:[ ]?(?:bis|ter|quater|[a-d]))?,?[ ](?:rue|avenue|av\.|bd|boulevard|chemin|allée|place|impasse|quai|cours|route|square|ruelle|passage|faubourg)[ ](?:de la |de l['’]|du |des |de |d['’]|la |le |les )?{_CAP}(?:[ ](?:de la |du |des |de |d['’])?{_CAP}){{0,2}}"
 _FR_TOWN = rf"{_GAP}\d{{5}}[ ]{_CAP}(?:[ ](?:sur|sous|en|les|lès|la|le|de|du)[ ]{_CAP}|[ ]Cedex)?"
@@ -173,6 +174,8 @@ _ADDRESSES = tuple((re.compile(rf"(?<![\w/.,-]){a}({t})?"), need) for a, t, need
 _EN_SIGN = re.compile(rf"\d[A-Za-z]?,?[ ][{_UP}][^\n,;|]{{2,40}}?[ ]{_EN_STREET}")
 _FR_SIGN = re.compile(r"\d(?:[ ]?(?:bis|ter|quater|[a-d]))?,?[ ](?:rue|avenue|av\.|bd|boulevard|chemin|allée|place|impasse|quai|cours|route|square|ruelle|passage|faubourg)[ ]")
 _DE_ENDS = ("straße", "strasse", "str.", "weg", "platz", "gasse", "allee", "ring", "damm", "ufer", "steig", "pfad", "chaussee")
+_DE_SIGN = re.compile(rf"\b{_DE_BEFORE}[ ][{_UP}][\w-]*[ ]\d")
+_DE_WORDS = ("Am ", "Im ", "An de", "In de", "Zum ", "Zur ", "Auf de", "Hinter de", "Unter den ", "Vor dem ")
 _ES_WORDS = ("C/", "c/", "alle ", "vda", "Av.", "av.", "venida", "laza", "za.", "Pl.", "pl.", "aseo", "P.º", "amino", "onda", "raves")
 _ES_SIGN = re.compile(r"[Cc]/|[Cc]alle[ ]|[Aa]vda|[Aa]v\.|[Aa]venida|[Pp]laza|[Pp]za|[Pp]l\.|[Pp]aseo|[Pp]\.º|[Cc]amino|[Rr]onda|[Tt]ravesía")
 _EN_WORDS = (" Street", " St", " Road", " Rd", " Lane", " Ln", " Close", " Ave", " Boulevard", " Blvd", " Dr", " Court", " Ct", " Way", " Terrace", " Crescent", " Sq", " Pl", " Row", " Gardens", " Grove", " Hill", " Parkway", " Pkwy", " Highway", " Hwy", " Mews", " Walk", " Quay")
@@ -189,6 +192,9 @@ def _address_signs(text: str, k: int):
                 if text[at + 1 : at + 2].isdigit():
                     yield at, at + 2
                 at = text.find(end + " ", at)
+        if any(w in text for w in _DE_WORDS):
+            for m in _DE_SIGN.finditer(text):
+                yield m.start(), m.end()
     elif any(w in text for w in (_EN_WORDS, _FR_WORDS, (), _ES_WORDS)[k]):
         for m in (_EN_SIGN, _FR_SIGN, None, _ES_SIGN)[k].finditer(text):
             yield m.start(), m.end()
@@ -197,7 +203,7 @@ def _address_signs(text: str, k: int):
 _ADDRESS_CUE = re.compile(r"(?:address|adresse|anschrift|dirección|direccion|office|ship_to|ship the board to|moved to|meetup is at|placa a|lives at|wohnt|habite|vive en|deliver)[^\n]{0,12}$", re.I)
 
 # ---- names --------------------------------------------------------------------------------------
-_PARTICLE = r"(?:(?:van der|van den|van de|van|von|de la|de|del|der|di|da|du|le|la|ten|ter|bin|al)[ ])"
+_PARTICLE = r"(?:(?:van der|van den|van de|van|von|de la|de|del|der|di|da|du|le|la|ten|ter|bin|al|VAN DER|VAN DE|VAN|VON|DE LA|DE|DEL|DER|DI|DA|DU)[ ])"
 _ONE = rf"(?:[{_UP}]['’])?(?:Mc|Mac)?[{_UP}](?:[{_LOW}]+|[{_UP}]+)"
 _FAMILY = rf"{_PARTICLE}?{_ONE}(?:-{_PARTICLE}?{_ONE})?(?![\w(]|\.\w)"
 _GIVEN = rf"[{_UP}](?:[{_LOW}]+|[{_UP}]+)(?:-[{_UP}](?:[{_LOW}]+|[{_UP}]+))?"
@@ -221,7 +227,7 @@ _HAN = "一-鿿々"
 _CJK = (
     re.compile(rf"(?:报告人|作者|联系人|提交者|维护者|姓名)[：:][ ]?(?!\w*(?:文档|团队|项目))([{_HAN}]{{2,4}}(?:·[{_HAN}]{{1,6}})?)(?![{_HAN}])"),
     re.compile(rf"感谢([{_HAN}]{{2,4}})(?=提交|的|报告|提供|修复)"),
-    re.compile(rf"(?:報告者|担当|連絡担当|氏名|執筆者)[：:][ ]?([{_HAN}]{{1,4}}[ 　]?[{_HAN}ぁ-ゖァ-ヺー]{{1,5}})(?![{_HAN}ぁ-ゖァ-ヺー])"),
+    re.compile(rf"(?:報告者|担当|連絡担当|氏名|執筆者)[：:][ ]?([{_HAN}]{{1,4}}[ 　]?[{_HAN}ぁ-ゖァ-ヺー]{{1,5}})(?![{_HAN}ぁ-ゖァ-ヺー]|[：:])"),
     re.compile(rf"(?<![{_HAN}ァ-ヺー])([{_HAN}]{{1,4}}[ 　]?[{_HAN}]{{1,4}})(?=さん|氏[はがの、]|様)"),
 )
 
@@ -322,8 +328,9 @@ class Finder:
                     continue
                 near, tail = text[max(0, m.start() - 20) : m.start()], text[m.end() : m.end() + 20]
                 known = self._flat(m.group(2)) in family
-                cue = bool(_NAME_CUE.search(near))
-                row = bool(_NAME_AFTER.match(tail))
+                said = _NAME_CUE.search(near)
+                cue = bool(said) * (1 if said and said.group().lower().strip() in ("as", "was", "that", "by", "from") else 2)
+                row = bool(_NAME_AFTER.match(tail)) + bool(re.match(r"[ ]?[|;·\t]", tail)) / 3
                 made = bool(re.match(r"(?:Mc|Mac|[A-Z]['’])[A-ZÀ-Þ]|[a-z]", m.group(2)))
                 found.append((4, m.start(), m.end(), 0.2 + 0.4 * known + 0.2 * cue + 0.3 * row + 0.4 * made))
         if text.isascii():
