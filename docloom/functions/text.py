@@ -55,16 +55,17 @@ def terms(x: Column | str) -> Column:
 
 def split_sentences(x: Column | str) -> Column:
     """Sentences at . ! ? and line ends; parts of fewer than eight words without an end mark join the next part."""
-    parts = F.filter(F.transform(F.split(normalize_ws(x), r"(?U)(?<=[.!?])\s+|\n+"), normalize_ws), lambda p: p != "")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("held"))
+    texts = F.filter(F.transform(F.split(normalize_ws(x), r"(?U)(?<=[.!?])\s+|\n+"), normalize_ws), lambda p: p != "")
+    # words are counted once a part: those of joined parts add up
+    parts = F.transform(texts, lambda p: F.struct(p.alias("text"), F.size(F.split(p, _WORDS)).alias("n"), F.substring(p, -1, 1).isin(".", "!", "?").alias("ends")))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("held"), F.lit(0).alias("n"))
 
     def step(acc: Column, part: Column) -> Column:
-        def take(joined: Column) -> Column:
-            hold = (word_count(joined) < 8) & ~part.rlike("[.!?]$")
-            done = F.when(hold, acc["done"]).otherwise(F.array_append(acc["done"], joined))
-            return F.struct(done.alias("done"), F.when(hold, joined).otherwise(F.lit("")).alias("held"))
-
-        return bind(F.when(acc["held"] == "", part).otherwise(F.concat(acc["held"], F.lit(" "), part)), take)
+        n = acc["n"] + part["n"]
+        hold = (n < 8) & ~part["ends"]
+        joined = F.when(acc["held"] == "", part["text"]).otherwise(F.concat(acc["held"], F.lit(" "), part["text"]))
+        done = F.when(hold, acc["done"]).otherwise(F.array_append(acc["done"], joined))
+        return F.struct(done.alias("done"), F.when(hold, joined).otherwise(F.lit("")).alias("held"), F.when(hold, n).otherwise(F.lit(0)).alias("n"))
 
     def finish(acc: Column) -> Column:
         n = F.size(acc["done"])
