@@ -159,7 +159,7 @@ def _examples(spark, d) -> DataFrame:
     chunks = sparse.distinct_chunks(_chunks(spark, d)).select("chunk_id", "title", U.normalize_url("source_url").alias("source_url"))
     found = sparse.bm25_search(_eval_questions(spark, d), _chunks(spark, d), k=5).join(chunks, "chunk_id")
     rows = found.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "source_url", F.coalesce("title", F.lit("")).alias("title"), "bm25"))).alias("evidence"))
-    each = items.select("id").crossJoin(spark.createDataFrame([(float(t),) for t in SWEEP_THRESHOLDS], "threshold double"))  # the items by ten thresholds
+    each = items.select("id", F.explode(F.array(*(F.lit(float(t)) for t in SWEEP_THRESHOLDS))).alias("threshold"))
     first = F.get("evidence", F.lit(0))
     ok = F.coalesce(first["bm25"] / 100 >= F.col("threshold"), F.lit(False))
     answers = each.join(rows.withColumnRenamed("qid", "id"), "id", "left").select("id", "threshold", F.when(ok, "answer").otherwise("no_answer").alias("answer_type"), F.when(ok, first["title"]).otherwise(F.lit("")).alias("final_answer"), F.when(ok, first["bm25"]).otherwise(F.lit(0.0)).alias("confidence"), "evidence")
