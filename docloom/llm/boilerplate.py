@@ -62,7 +62,7 @@ _CUE_START = re.compile(
     r"|(?:written|reviewed|edited|posted|published|verfasst|geschrieben|rédigé|écrit|escrito|redactado|автор|написано|บทความโดย)\b.{0,60}$|(?:作者|執筆|编辑|文)[：:].{0,30}$"
     r"|(?:last (?:built|updated|modified|edited)|built on|updated on|zuletzt geändert|stand:|dernière mise à jour|última actualización|обновлено|最后更新|最終更新|آخر تحديث|generated (?:by|on))"
     r"|(?:tags?|labels?|filed under|categories|category|topics|keywords|schlagwörter|mots-clés|etiquetas|теги|метки|标签|タグ)(?:\s*[:：–—-]\s*\S|\s+\S+(?:,\s*\S+)+$|\s+\S+$)"
-    r"|(?:related|you may also like|read next|see next|next|previous|prev|up next|more like this|ähnliche|weiter|zurück|suivant|précédent|siguiente|anterior|далее|назад|相关|下一页|上一页|次へ|前へ)\s*(?:[:：→←»«–—-]|$)|[←→«»‹›]\s*\S.{0,120}$"
+    r"|(?:related|you may also like|read next|see next|next up|next|previous|prev|up next|more like this|ähnliche|weiter|zurück|suivant|précédent|siguiente|anterior|далее|назад|相关|下一页|上一页|次へ|前へ)\s*(?:[:：→←»«–—-]|$)|[←→‹›]\s*\S.{0,120}$|[«»]\s+[^«»]{2,80}$"
     r"|(?:advert(?:isement|ising)?|sponsored|sponsor|webinar|anzeige|werbung|publicité|publicidad|anuncio|реклама|广告|広告|ad)\s*(?:[:：–—-]|$)|try .{2,40} free for \d+"
     r"|(?:subscribe|abonnieren|abonnez|suscríbase|suscribirse|подпис|订阅|購読)|.{0,60}to the monthly .{2,30} letter$"
     r"|(?:page views|views|seitenaufrufe|vues|visitas|просмотры|浏览|閲覧)\s*[:：]?\s*\d+|\d+ (?:readers|views|people|leser|lecteurs|lectores)\b"
@@ -79,11 +79,13 @@ def says_furniture(line: str) -> bool:
 
 
 _PARTS = re.compile(r"\s*[|·•›]\s*|\s+[»>/‹«]\s+")
-_CODE = re.compile(r"^\s*(?:[$#>@{}\[\]<\\|`]|\w+\s*(?:=|\+=|<-|:=)\s|(?:for|if|while|def|class|return|import|from|select|let|const|var)\b.*[:;{(\[]|\w[\w.<>, ]*\s\w+\s*=)|[;{}]\s*$|\w\(.*\)\s*$|^\s*\d[\d.,\w/_-]*,[\w.,/_-]+$|^\s*\{?\|")
+_CODE = re.compile(r"^\s*(?:[$#>@{}\[\]<\\|`]|\w+\s*(?:=|\+=|<-|:=)\s|(?:for|if|while|def|class|return|import|from|select|let|const|var)\b.*[:;{(\[]|\w[\w.<>, ]*\s\w+\s*=)|[;{}]\s*$|^\s*[\w.]+\(.*\)\s*$|^\s*\d[\d.,\w/_-]*,[\w.,/_-]+$|^\s*\{?\|")
 _ITEM = re.compile(r"^\s*(?:[•‣▪●*+–:;#-]|\d{1,3}[.)])\s*\S")
 _SENTENCE_END = re.compile(r"[.!?…。！？।؟][\"'”’»)\]）」]*\s*$")
 _NAME_LIKE = re.compile(r"[A-Za-z]+_[A-Za-z_]+|[A-Za-z]\.[a-z]+\(\)|[A-Za-z][a-z]+[A-Z][a-z]+")
 _HEAD_MARK = re.compile(r"^\s*(?:#{1,6}\s|={2,6}\s*\S.*=\s*$|\\(?:sub)*section\*?\{|<h[1-6]\b)", re.I)
+#: What markup puts around a heading; a contents entry is the heading without it.
+_AROUND = re.compile(r"^[#=*\s]+|[=*\s]+$|<[^<>]+>|\\\w+\*?\{|\{#[\w-]+\}|[}`]")
 _SECTION = frozenset("example examples notes note parameters returns return see\xa0also see syntax usage arguments raises options".split()) | {"see also"}
 
 GOOD, BAD, OPEN = 1, -1, 0
@@ -152,7 +154,7 @@ def furniture_lines(text: str | None, links: list[int] | None = None) -> list[in
     lines = text.split("\n")
     bare = [" ".join(x.split()) for x in lines]
     rows = [i for i, b in enumerate(bare) if b]
-    keys = ["".join(bare[i].lower().split()) for i in rows]
+    keys = ["".join(_AROUND.sub("", bare[i]).lower().split()) if len(bare[i]) < 200 else bare[i] for i in rows]
     last = {k: j for j, k in enumerate(keys)}
     # hashes are needed only where there are links and only for short lines
     marks = [bool(linked) and len(bare[i]) <= 360 and line_key(bare[i]) in linked for i in rows]
