@@ -50,7 +50,7 @@ _MD_ITEM = re.compile(r"^([ \t]*)(?:[*+-]|[0-9]{1,3}\.)[ \t]+(?=\S)", re.M)
 _MD_ROW = re.compile(r"^[ \t]*\|(.+)\|[ \t]*$", re.M)
 
 _WK_LINK = re.compile(r"\[\[(?:[^\[\]|\n]*\|)?([^\[\]|\n]+)\]\]")
-_WK_CALL = re.compile(r"\{\{([^{}\n]+)\}\}")
+_WK_CALL = re.compile(r"\{\{((?:[^{}\n]|\{[^{}\n]*\})+)\}\}")
 _WK_QUOTE = re.compile(r"(?<!')('{2,3}|'{5})(?=[^'\s])([^\n]*?[^'\s])\1(?!')")
 _WK_HEAD = re.compile(r"^[ \t]*(={2,6})[ \t]*([^=\n](?:.*?[^=\s])?)[ \t]*\1[ \t]*$", re.M)
 _WK_TABLE = re.compile(r"^[ \t]*(?:\{\|.*|\|\}|\|-+|\|\+.*)[ \t]*$", re.M)
@@ -117,7 +117,7 @@ def _from_wiki(text: str) -> str:
     text = _WK_TABLE.sub("", text)
     text = _WK_CELLS.sub(lambda m: " | ".join(x.strip() for x in re.split(r"!!|\|\|", m[1])), text)
     text = _WK_LINK.sub(r"\1", text)
-    text = _WK_CALL.sub(lambda m: m[1].rpartition("|")[2], text)
+    text = _WK_CALL.sub(lambda m: re.sub(r"^\d+=", "", m[1].partition("|")[2] or m[1]), text)
     text = _WK_QUOTE.sub(r"\2", text)
     return _WK_ITEM.sub("• ", text)
 

@@ -235,6 +235,7 @@ def test_plain_text_keeps_structure():
     assert "Head" in got and "Some bold text with a link and code" in got and "• item" in got and "    code_line()" in got and "```" not in got
     got = markup.plain_text("\\section{Head}\n\\begin{itemize}\n\\item one\n\\end{itemize}\nA formula $x^{2}$ stays in this line of text, which is long enough to count.\\label{x}")
     assert got.startswith("Head\n• one\n") and "$x^{2}$" in got and "label" not in got
+    assert markup.plain_text("{{code|1=@app.route('/x/{name}')}}\nA sentence of the page that is long enough to be a surge {{of|it}}.") == "@app.route('/x/{name}')\nA sentence of the page that is long enough to be a surge it."
     assert markup.plain_text("nothing to do here") == "nothing to do here" and markup.plain_text(None) is None and markup.plain_text("") == ""
 
 
