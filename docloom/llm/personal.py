@@ -7,7 +7,8 @@ numbers (builds, orders, ISBNs, ticks) lower it. Spans at or above a threshold a
 overlap, the more exact kind wins. Placeholders such as [EMAIL] replace them.
 
 Given and family names are learned from the corpus: the parts of e-mail addresses such as
-given.family@host, counted over all texts with pre-aggregation. The list grows with the language,
+given.family@host, counted over all texts with pre-aggregation. They add to the score of a name; a name that no list holds is found by what announces it,
+what follows it, or an address in its line. The list grows with the language,
 not with the corpus; it is gathered only up to `max_names` entries (the most frequent ones, about
 30 MB at the default), which is the bound of this model.
 
@@ -20,6 +21,7 @@ spans again.
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -208,7 +210,6 @@ _ONE = rf"(?:[{_UP}]['’])?(?:Mc|Mac)?[{_UP}](?:[{_LOW}]+|[{_UP}]+)"
 _FAMILY = rf"{_PARTICLE}?{_ONE}(?:-{_PARTICLE}?{_ONE})?(?![\w(]|\.\w)"
 _GIVEN = rf"[{_UP}](?:[{_LOW}]+|[{_UP}]+)(?:-[{_UP}](?:[{_LOW}]+|[{_UP}]+))?"
 _INITIALS = rf"(?:[{_UP}]\.[ ]?){{1,2}}"
-_WORDS = re.compile(r"[A-Z][a-z]+|[A-Z]{2,}")
 _GIVEN_AT = re.compile(rf"{_GIVEN}(?![\w(]|\.\w)")
 #: What may not stand before a name.
 _JOINED = set("@.'’/-_")
@@ -221,6 +222,29 @@ _NAME_CUE = re.compile(
     r"(?:hi|hello|hallo|dear|cc|owner:|reviewer = \"|thanks to|signed-off-by:|reported by:?|@author|author:|maintainer:|--|as|was|that|by|from|contact:?|danke an|gemeldet von|merci à|signalé par|gracias a|reportado por|informó|name:)[ ]?$", re.I
 )
 _NAME_AFTER = re.compile(r"^(?:, could you| asked whether| who first| wrote last| rewrote| for the patch| and the release| \(maintainer\)|\"|, bitte| für den| pour le| por el|[ ]?[|;·\t]|\n|$)")
+_TITLE = r"(?:(?:Dr|Prof|Mr|Mrs|Ms|Herr|Frau|M|Mme|Sr|Sra|Señor|Señora|Monsieur|Madame)\.?[ ])?"
+#: What announces a name whatever the learned lists hold, from the surest on.
+_CUES = (
+    (0.5, re.compile(rf"(?:(?<!\w)(?:hi|hello|hallo|bonjour|hola|dear|cc)|owner:|reviewer = \"|(?:signed-off|reviewed|acked|tested|co-authored)-by:|(?<!\w)(?:reported|written|reviewed) by:?|author:?|maintainer:|(?:gemeldet|geschrieben) von|signalé par|écrit par|(?:reportado|informado|escrito) por|informó|(?<!\w)name:)[ ]?{_TITLE}$", re.I)),
+    (0.4, re.compile(rf"(?:(?<![\w-])--|(?<!\w)(?:thanks to|danke an|merci à|gracias a|contact:))[ ]{_TITLE}$", re.I)),
+    (0.2, re.compile(rf"(?<!\w)(?:as|was|that|by|from|von|par|por|contact)[ ]{_TITLE}$", re.I)),
+)
+_CLOSING = re.compile(r"(?:regards|sincerely|cheers|thanks|best wishes|grüßen|grüße|cordialement|salutations|saludos|atentamente),?[ ]?\r?\n[ ]?$", re.I)
+#: What only follows a person, what mostly does, and what ends a line or field.
+_PERSON_AFTER = re.compile(r"(?:, could you| asked whether| who first| \(maintainer\)|, pouvez-|, bitte|, ¿)")
+_SAID_AFTER = re.compile(r"(?: wrote last| rewrote| for the patch| and the release| für den| pour le| por el)")
+_ENDS_AFTER = re.compile(r"[ ]?(?:[|;·\t\r\n]|$)|[,\"]")
+_MADE = re.compile(r"(?:Mc|Mac|[A-Z]['’])[A-ZÀ-Þ]|[a-z]|(?:VAN|VON|DE|DER|DI|DA|DU|DEL)[ ]")
+# Words in capitals beside a cue that make a title, a group or a firm of it.
+_NO_NAME = frozenset(
+    "hi hello hallo bonjour hola dear cc reported signed written author maintainer owner all the this that these those our your my you we they it a an and or not for with from to in on at by as if when where what who no new please thanks see use read run each every any some one two "
+    "dr prof mr mrs ms herr frau mme sr sra señor señora monsieur madame sir "
+    "team teams group groups crew committee council board staff department office division unit support sales service services help desk helpdesk project projects foundation association society institute university "
+    "college school company corporation corp inc ltd llc gmbh ag sa sl sarl plc bank labs lab software systems solutions technologies tools community developers developer maintainers maintainer authors author users user "
+    "contributors contributor reviewers reviewer editors editor admin administrator administrators release releases security documentation docs engineering operations platform infrastructure research design quality customer customers "
+    "network server client database data index session engine version build error guide manual street road avenue lane january february march april may june july august september october november december "
+    "monday tuesday wednesday thursday friday saturday sunday mondays tuesdays wednesdays thursdays fridays saturdays sundays der die das ein eine und le la les un une et el los las y".split()
+)
 _CYR = re.compile(r"(?<![\w-])[А-ЯЁ][а-яё]+(?:-[А-ЯЁ][а-яё]+)?[ ][А-ЯЁ][а-яё]+(?:-[А-ЯЁ][а-яё]+)?(?:[ ][А-ЯЁ][а-яё]+)?(?![\w-])|(?<![\w-])(?:[А-ЯЁ]\.[ ]?){1,2}[А-ЯЁ][а-яё]+(?![\w-])")
 _CYR_CUE = {"Сообщил", "Сообщила", "Спасибо", "Автор", "Пишет", "Привет", "Прислал", "Прислала", "Написал", "Написала", "Проверил", "Проверила"}
 _HAN = "一-鿿々"
@@ -232,12 +256,15 @@ _CJK = (
 )
 
 
+#: Letters that Unicode does not decompose.
+_LATIN = str.maketrans({"ß": "ss", "ø": "o", "æ": "ae", "œ": "oe", "đ": "d", "ł": "l", "ð": "d", "þ": "th"})
+
+
 class Finder:
     """The spans of one text, with the names learned from a corpus."""
 
     def __init__(self, given: set[str], family: set[str]) -> None:
         self.given, self.family = given, family
-        self.forms = {n.capitalize() for n in given} | {n.upper() for n in given}
 
     def spans(self, text: str | None) -> list[tuple[str, int, int]]:
         """(kind, start, end) in order of start, without overlaps."""
@@ -304,23 +331,32 @@ class Finder:
 
     def _names(self, text: str, found: list) -> None:
         given, family = self.given, self.family
-        for m in _GIVEN_AT.finditer(text) if not self.forms.isdisjoint(_WORDS.findall(text)) else ():
-            first = m.group().lower().partition("-")[0]
-            if first not in given or m.start() and ((c := text[m.start() - 1]) in _JOINED or c.isalnum()):
+        unlisted, listed = [], []
+        for m in _GIVEN_AT.finditer(text):
+            if m.start() and ((c := text[m.start() - 1]) in _JOINED or c.isalnum()):
                 continue
-            back = _BEFORE_GIVEN.search(text[max(0, m.start() - 60) : m.start()])
+            back = text[m.start() - 2 : m.start()] == ", " and _BEFORE_GIVEN.search(text[max(0, m.start() - 60) : m.start()])
+            after = _AFTER_GIVEN.match(text, m.end())
+            if not back and not after:
+                continue
+            known = self._flat(m.group().partition("-")[0]) in given
             if back:
                 start = m.start() - len(back.group())
                 middle = _MIDDLE.match(text, m.end())
                 end = middle.end() if middle else m.end()
-                near, tail = text[max(0, start - 20) : start], text[end : end + 20]
-                score = 0.3 + 0.3 * (self._flat(back.group(1)) in family) + 0.3 * bool(_NAME_CUE.search(near) or not near or near[-1] in "\n|;·\t\"") + 0.2 * bool(_NAME_AFTER.match(tail))
+                score = self._unlisted(text, start, end, m.group(), back.group(1), bool(middle), found)
+                if known:
+                    near, tail = text[max(0, start - 20) : start], text[end : end + 20]
+                    score = max(score, 0.3 + 0.3 * (self._flat(back.group(1)) in family) + 0.3 * bool(_NAME_CUE.search(near) or not near or near[-1] in "\n|;·\t\"") + 0.2 * bool(_NAME_AFTER.match(tail)))
                 if score >= THRESHOLD:
-                    found.append((4, start, end, score))
+                    (listed if known else unlisted).append((4, start, end, score))
                     continue
-            after = _AFTER_GIVEN.match(text, m.end())
             if after:
-                found.append((4, m.start(), after.end(), 0.7 + 0.2 * (self._flat(after.group(1)) in family)))
+                if known:
+                    listed.append((4, m.start(), after.end(), 0.7 + 0.2 * (self._flat(after.group(1)) in family)))
+                elif (score := self._unlisted(text, m.start(), after.end(), m.group(), after.group(1), after.start(1) > m.end() + 1, found)) >= THRESHOLD:
+                    unlisted.append((4, m.start(), after.end(), score))
+        found += listed + [x for x in unlisted if all(x[2] <= a or b <= x[1] for _, a, b, _ in listed)]
         if "." in text:
             for sign in _INITIAL_SIGN.finditer(text):
                 m = _INITIAL_AT.match(text, sign.start())
@@ -349,9 +385,42 @@ class Finder:
                 for m in pattern.finditer(text):
                     found.append((4, m.start(1), m.end(1), 0.8))
 
+    def _unlisted(self, text: str, start: int, end: int, first: str, last: str, middle: bool, found: list) -> float:
+        """The score of a given name that no list holds: cues, row and the family name's list and form."""
+        if first.lower() in _NO_NAME or last.lower() in _NO_NAME:
+            return 0.0
+        near, tail = text[max(0, start - 40) : start].rpartition("\n")[2], text[end : end + 20]
+        cue = 0.5 if _CLOSING.search(text[max(0, start - 40) : start]) else next((worth for worth, pattern in _CUES if pattern.search(near)), 0.0)
+        ended = _ENDS_AFTER.match(tail)
+        score = 0.1 + 0.3 * (self._flat(last) in self.family) + cue + (0.5 if _PERSON_AFTER.match(tail) else 0.3 if _SAID_AFTER.match(tail) else 0.1 * bool(ended))
+        score += 0.2 * bool(_MADE.match(last)) + 0.2 * bool(middle and cue)
+        if score < THRESHOLD and ended:
+            # the field or line after it is an item of the same person, or an address in its line has its parts
+            after = end + len(re.match(r"[\s|;·]*", tail).group())
+            if any(kind < 4 and sure >= THRESHOLD and end < a <= after <= a + 1 for kind, a, _, sure in found):
+                score += 0.4
+            elif not near.strip() or _ROW_CUE.search(near):
+                score += 0.6 * self._addressed(text, start, end, first, last)
+        return score
+
+    @classmethod
+    def _addressed(cls, text: str, start: int, end: int, first: str, last: str) -> bool:
+        """Whether an e-mail address in the same line has both names, or one and the initial of the other."""
+        at, to = text.rfind("\n", 0, start) + 1, text.find("\n", end)
+        line = text[max(at, start - 300) : min(end + 300, len(text) if to < 0 else to)]
+        a, b = cls._flat(first.partition("-")[0]), cls._flat(last)
+        for m in _EMAIL.finditer(line) if _EMAIL_SIGN.search(line) else ():
+            local = cls._flat(re.split(_AT, m.group())[0])
+            if a in local and b in local or local.startswith((a[0] + b, b + a[0])):
+                return True
+        return False
+
     @staticmethod
     def _flat(name: str) -> str:
-        return re.sub(r"[\W_]", "", name.lower().translate(str.maketrans("éèêáàâíóôúüöäñç", "eeeaaaioouuoanc")))
+        name = name.lower()
+        if not name.isascii():
+            name = "".join(c for c in unicodedata.normalize("NFKD", name) if not unicodedata.combining(c)).translate(_LATIN)
+        return re.sub(r"[\W_]", "", name)
 
 
 def learn_names(docs: DataFrame, text_col: str = "text", min_count: int = 3, max_names: int = 500_000) -> tuple[set[str], set[str]]:

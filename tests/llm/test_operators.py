@@ -381,6 +381,23 @@ def test_spans(text, found):
     assert [(k, text[a:b]) for k, a, b in FINDER.spans(text)] == found
 
 
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("Reported by: Anouk Hellström", ["Anouk Hellström"]), ("Signed-off-by: Ngozi O. Adeyemi", ["Ngozi O. Adeyemi"]), ("Author: Veldkamp, Inès", ["Veldkamp, Inès"]), ("As Anouk Hellström wrote last week", ["Anouk Hellström"]),
+        ("Ngozi Adeyemi | ngozi.adeyemi@x.example | notes", ["Ngozi Adeyemi"]), ("Mit freundlichen Grüßen\nÉlodie Brandt", ["Élodie Brandt"]), ("It fell. Inès van Veldkamp asked whether it may.", ["Inès van Veldkamp"]), ("Hi Q. Ravley, could you look", ["Q. Ravley"]),
+        ("Reported by: Support Team", []), ("Dear All Users, read it", []), ("The Field Guide says that Anouk Hellström", []), ("Release Notes | +1 949-555-0140", []), ("Open the Lark Session. Use Vector Store", []),
+    ],
+)
+def test_names_that_no_list_holds(text, found):
+    assert [text[a:b] for k, a, b in personal.Finder(set(), set()).spans(text) if k == "name"] == found
+
+
+def test_accents_of_given_names_are_flattened():
+    text = "today Zoë Marlow and Jürgen Odell said"
+    assert [text[a:b] for _, a, b in personal.Finder({"zoe", "jurgen"}, set()).spans(text)] == ["Zoë Marlow", "Jürgen Odell"]
+
+
 def test_validators():
     assert personal.luhn("4539578763621486") and not personal.luhn("4539578763621487")
     assert personal.mod97("255081416802538") and not personal.mod97("255081416802539")
