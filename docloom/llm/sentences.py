@@ -177,7 +177,9 @@ def learn(docs: DataFrame, text_col: str = "clean_text", max_entries: int = 50_0
     """The model: for each language starters, others (types seen often and hardly ever at a start), abbreviations,
     collocations and chunk features."""
     schema = "lang string, kind string, a string, b string, n bigint"
-    counts = docs.select(F.col(text_col)).where(F.length(text_col) > 0).mapInArrow(_count, schema).groupBy("lang", "kind", "a", "b").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = docs.select(F.col(text_col)).where(F.length(text_col) > 0).mapInArrow(_count, schema).groupBy("lang", "kind", "a", "b").agg(F.sum("n").alias("n"))
+    # pairs count in the sums of their first type however seldom each is; a type or a start seen once says nothing
+    counts = counts.where("kind = 'p' or n > 1")
     from docloom.session import cut
 
     counts = cut(counts)
@@ -201,10 +203,15 @@ def learn(docs: DataFrame, text_col: str = "clean_text", max_entries: int = 50_0
     lowered = word.join(low, ["lang", "a"]).where("n_low > 2 and n_low > 0.05 * n_word").select("lang", "a", F.col("n_low").cast("double").alias("llr"))
 
     pair = counts.where("kind = 'p'").select("lang", "a", "b", "n")
-    begins = starters.select("lang", "a").union(lowered.select("lang", "a")).distinct()
+    # where no word is in lower case, one that starts more often than most stands for what the case of words says elsewhere
+    cased = low.select("lang").distinct()
+    often = typed.where("ratio > base").select("lang", "a").join(F.broadcast(cased), "lang", "left_anti")
+    begins = starters.select("lang", "a").union(lowered.select("lang", "a")).union(often).distinct()
     marked = pair.join(begins.select("lang", F.col("a").alias("b"), F.lit(1).alias("is_start")), ["lang", "b"], "left")
     ends = F.col("is_start").isNotNull() | (F.col("b") == "$")
-    dotted = marked.groupBy("lang", "a").agg(F.sum("n").alias("n_dot"), F.sum(F.when(ends, F.col("n")).otherwise(0)).alias("n_end"), F.sum(F.when(F.col("b").isin("~", "@"), F.col("n")).otherwise(0)).alias("n_open"), F.sum(F.when(F.col("b") == "#", F.col("n")).otherwise(0)).alias("n_number"))
+    # a follower seen once after this word, of no known class, speaks neither for an end nor against it
+    new = F.col("is_start").isNull() & (F.col("n") == 1) & ~F.col("b").isin("$", "_", "#", "~", "@")
+    dotted = marked.groupBy("lang", "a").agg(F.sum("n").alias("n_dot"), F.sum(F.when(ends, F.col("n")).otherwise(0)).alias("n_end"), F.sum(F.when(F.col("b").isin("~", "@") | new, F.col("n")).otherwise(0)).alias("n_open"), F.sum(F.when(new, 1).otherwise(0)).alias("n_new"), F.sum(F.when(F.col("b") == "#", F.col("n")).otherwise(0)).alias("n_number"))
     all_dots = dotted.groupBy("lang").agg(F.sum("n_dot").alias("d_all"))
     words = dotted.where("a <> '#'").join(word, ["lang", "a"]).join(F.broadcast(all_words), "lang").join(F.broadcast(all_dots), "lang")
     base = F.col("d_all") / F.col("n_all")
@@ -214,7 +221,7 @@ def learn(docs: DataFrame, text_col: str = "clean_text", max_entries: int = 50_0
     score = ratio * F.exp(-size.cast("double")) * inner * F.pow(size.cast("double"), -(F.col("n_word") - F.col("n_dot")).cast("double"))
     abbreviations = (
         words.withColumn("llr", score)
-        .where((F.col("n_number") > 0.6 * F.col("n_dot")) & (F.col("n_dot") > 3) | ((F.col("n_end") < 0.9 * (F.col("n_dot") - F.col("n_open"))) | (F.col("n_open") > 0.8 * F.col("n_dot"))) & ((F.col("llr") > 0.3) | (F.col("n_dot") > 0.8 * F.col("n_word")) & (F.col("n_end") < 0.5 * F.col("n_dot")) & (size < 11)))
+        .where((F.col("n_number") > 0.6 * F.col("n_dot")) & (F.col("n_dot") > 3) | ((F.col("n_end") < 0.9 * (F.col("n_dot") - F.col("n_open"))) | (F.col("n_open") > 0.8 * F.col("n_dot"))) & ((F.col("llr") > 0.3) | (F.col("n_dot") > 0.8 * F.col("n_word")) & (F.col("n_end") < 0.5 * F.col("n_dot")) & (size < 11) & ((F.col("n_new") < 0.5 * F.col("n_dot")) | (F.col("n_dot") > 3))))
         .select("lang", "a", "llr", "n_end", "n_dot")
     )
     finals = abbreviations.where("n_end > 0.25 * n_dot").select("lang", "a", "llr")

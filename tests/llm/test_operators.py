@@ -206,6 +206,15 @@ def test_learned_types(splitter):
     assert "nr" in de["abbreviations"] and "bzw nr" in de["collocations"]
 
 
+def test_abbreviations_before_words_seen_once(spark):
+    name = lambda k: "".join(chr(97 + int(c)) for c in f"{k:04d}").capitalize() + "er"
+    texts = [f"The report of Dipl. {name(k)} was read when the others were away. It was not long, and they left it there." for k in range(40)]
+    texts += [f"They were there before the others. {name(900 + k)} read it when it was not long." for k in range(40)]
+    learned = sentences.learn(docs(spark, texts))["en"]
+    assert "dipl" in learned["abbreviations"] and not {"there", "away", "others"} & learned["abbreviations"]
+    assert len(sentences.Splitter({"en": learned}).units("The report of Dipl. Sander was read.", "en")) == 1
+
+
 def test_sentences_frame(spark, splitter):
     d = docs(spark, [None, "", "One. Two.", LONG, "One. Two."])
     got = sentences.sentence_units(d, splitter.model).groupBy("doc_id").count()
