@@ -27,6 +27,16 @@ def map_lists(df: DataFrame, rule: Callable[..., list[list]], schema: str, rows:
     return df.mapInArrow(run, schema)
 
 
+class Both:
+    """What is in one of two sets, without a copy of either."""
+
+    def __init__(self, a, b) -> None:
+        self.a, self.b = a, b
+
+    def __contains__(self, x) -> bool:
+        return x in self.a or x in self.b
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """`name`, with underscores added until no column of `df` is called so."""
     taken = {c.lower() for c in df.columns}

@@ -8,11 +8,11 @@ overlap, the more exact kind wins. Placeholders such as [EMAIL] replace them.
 
 Given and family names are learned from the corpus: the parts of e-mail addresses such as
 given.family@host, counted over all texts with pre-aggregation. They add to the score of a name; a name that no list holds is found by what announces it,
-what follows it, or an address in its line. The list grows with the language,
-not with the corpus; it is gathered only up to `max_names` entries (the most frequent ones, about
-30 MB at the default), which is the bound of this model.
+what follows it, or an address in its line. The `max_names` most frequent
+entries (about 30 MB at the default) go to the workers; the rest of the list, where there is one,
+stays a table, and each text gets those of its entries that it holds, so that every entry counts.
 
-No shuffle besides that count; each text is one row of an Arrow pass.
+No shuffle besides that count and, beyond `max_names`, that join; each text is one row of an Arrow pass.
 
 Defined results: null and empty texts have no spans and stay as they are; repeated rows give their
 spans again.
@@ -26,7 +26,8 @@ import unicodedata
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.batches import free_name, map_lists
+from docloom.llm.batches import Both, free_name, map_lists
+from docloom.session import cut
 
 KINDS = ("email", "id_number", "phone", "address", "name")
 THRESHOLD = 0.6
@@ -289,6 +290,25 @@ class Finder:
                 out.append((KINDS[kind], a, b))
         return sorted(out, key=lambda x: x[1])
 
+    def plus(self, more: list | None) -> "Finder":
+        """This finder with further (kind, name) entries."""
+        if not more:
+            return self
+        return Finder(Both(self.given, {n for k, n in more if k == "given"}), Both(self.family, {n for k, n in more if k == "family"}))
+
+    def candidates(self, text: str | None) -> set[str]:
+        """Every name of `text` that `spans` may look up."""
+        out = set()
+        for m in _GIVEN_AT.finditer(text or ""):
+            back = _BEFORE_GIVEN.search(text[max(0, m.start() - 60) : m.start()])
+            after = _AFTER_GIVEN.match(text, m.end())
+            if back or after:
+                out |= {m.group().partition("-")[0], *(x.group(1) for x in (back, after) if x)}
+        for sign in _INITIAL_SIGN.finditer(text or ""):
+            if m := _INITIAL_AT.match(text, sign.start()):
+                out.add(m.group(2))
+        return {self._flat(x) for x in out}
+
     def _numbers(self, text: str, found: list) -> None:
         for run in _DIGITS.finditer(text):
             low, high = max(0, run.start() - 5), min(len(text), run.end() + 4)
@@ -423,45 +443,73 @@ class Finder:
         return re.sub(r"[\W_]", "", name)
 
 
-def learn_names(docs: DataFrame, text_col: str = "text", min_count: int = 3, max_names: int = 500_000) -> tuple[set[str], set[str]]:
-    """Given and family names in the parts of e-mail addresses of all texts, each in at least `min_count` addresses."""
+def name_list(docs: DataFrame, text_col: str = "text", min_count: int = 3) -> DataFrame:
+    """(kind, name, n): given and family names in the parts of e-mail addresses of all texts, given names in at least `min_count` addresses."""
     parts = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"(?<![\w.+-])[a-z]{3,20}(?:[._][a-z]{3,30}|\+docs)(?=@|\(at\))"), 0)
     local = docs.where(F.col(text_col).contains("@") | F.col(text_col).contains("(at)")).select(F.explode(parts).alias("local"))
     split = local.select(F.split("local", r"[._+]").alias("p"), F.col("local").contains("+").alias("plus"))
     both = F.array(F.struct(F.lit("given").alias("kind"), F.col("p")[0].alias("name")), F.struct(F.when(~F.col("plus"), F.lit("family")).alias("kind"), F.col("p")[1].alias("name")))
     counts = split.select(F.explode(both).alias("x")).select("x.kind", "x.name").where("kind is not null").groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.where(F.col("n") >= F.when(F.col("kind") == "given", min_count).otherwise(1)).orderBy(F.desc("n"), "kind", "name").limit(max_names).collect()
-    given = {r["name"]: r["n"] for r in rows if r["kind"] == "given"}
-    family = {r["name"]: r["n"] for r in rows if r["kind"] == "family"}
+    both = counts.groupBy("name").agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(k) for k in ("given", "family")))
     # a word that is a family name far more often is no given name
-    return {n for n, c in given.items() if c > family.get(n, 0)}, set(family)
-
-
-def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", names: tuple[set[str], set[str]] | None = None) -> DataFrame:
+    kept = F.array(F.struct(F.lit("given").alias("kind"), F.when((F.col("given") >= min_count) & (F.col("given") > F.col("family")), F.col("given")).alias("n")), F.struct(F.lit("family").alias("kind"), F.when(F.col("family") > 0, F.col("family")).alias("n")))
+    return both.select("name", F.explode(kept).alias("x")).select("x.kind", "name", "x.n").where("n is not null")
+
+
+def learn_names(docs: DataFrame, text_col: str = "text", min_count: int = 3) -> tuple[set[str], set[str]]:
+    """The whole of `name_list` as two sets."""
+    rows = name_list(docs, text_col, min_count).collect()
+    return tuple({r["name"] for r in rows if r["kind"] == kind} for kind in ("given", "family"))
+
+
+def _looked_up(docs: DataFrame, text_col: str, names: tuple[set[str], set[str]] | None, max_names: int) -> tuple[DataFrame, Finder]:
+    """`docs` with a last column of the names of each text that the finder lacks, and the finder of the most frequent names."""
+    none = F.lit(None).cast("array<struct<kind:string,name:string>>")
+    more = free_name(docs, "more_names")
+    if names is not None:
+        return docs.withColumn(more, none), Finder(*names)
+    full = cut(name_list(docs, text_col))
+    head = full.orderBy(F.desc("n"), "kind", "name").limit(max_names + 1).collect()
+    finder = Finder(*({r["name"] for r in head[:max_names] if r["kind"] == kind} for kind in ("given", "family")))
+    if len(head) <= max_names:
+        return docs.withColumn(more, none), finder
+    last = head[-1]
+    rest = full.where((F.col("n") < last["n"]) | (F.col("n") == last["n"]) & ((F.col("kind") > last["kind"]) | (F.col("kind") == last["kind"]) & (F.col("name") >= last["name"])))
+
+    def rule(keys, texts):
+        rows = [(key, name) for key, text in zip(keys, texts) for name in finder.candidates(text)]
+        return [list(c) for c in zip(*rows)] if rows else [[], []]
+
+    key = free_name(docs, "text_key")
+    hashed = docs.withColumn(key, F.xxhash64(text_col))
+    held = map_lists(hashed.select(key, text_col), rule, "h bigint, name string").distinct().join(rest, "name")
+    held = held.groupBy(F.col("h").alias(key)).agg(F.collect_set(F.struct("kind", "name")).alias(more))
+    return hashed.join(held, key, "left").select(*docs.columns, more), finder
+
+
+def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", names: tuple[set[str], set[str]] | None = None, max_names: int = 500_000) -> DataFrame:
     """(id_col, kind, start_pos, end_pos): every item of personal information."""
-    given, family = learn_names(docs, text_col) if names is None else names
-    flat = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    finder = Finder(given, family)
+    flat, finder = _looked_up(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", names, max_names)
 
-    def rule(ids, texts):
-        rows = [(key, *span) for key, text in zip(ids, texts) for span in finder.spans(text)]
+    def rule(ids, texts, more):
+        rows = [(key, *span) for key, text, m in zip(ids, texts, more) for span in finder.plus(m and [tuple(x.values()) for x in m]).spans(text)]
         return [list(c) for c in zip(*rows)] if rows else [[], [], [], []]
 
     kind = flat.schema["id"].dataType.simpleString()
     return map_lists(flat, rule, f"id {kind}, kind string, start_pos int, end_pos int").withColumnRenamed("id", id_col)
 
 
-def redact(docs: DataFrame, text_col: str = "text", names: tuple[set[str], set[str]] | None = None) -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text", names: tuple[set[str], set[str]] | None = None, max_names: int = 500_000) -> DataFrame:
     """`docs` with every item replaced by [NAME], [EMAIL], [PHONE], [ID_NUMBER] or [ADDRESS], and the
     number of them in a further column `n_replaced`."""
-    finder = Finder(*(learn_names(docs, text_col) if names is None else names))
+    known, finder = _looked_up(docs, text_col, names, max_names)
     at = docs.columns.index(text_col)
 
     def rule(*columns):
-        columns, counts = list(columns), []
-        texts = []
-        for text in columns[at]:
-            spans = finder.spans(text)
+        *columns, more = columns
+        counts, texts = [], []
+        for text, m in zip(columns[at], more):
+            spans = finder.plus(m and [tuple(x.values()) for x in m]).spans(text)
             counts.append(len(spans))
             for kind, a, b in reversed(spans):
                 text = f"{text[:a]}[{kind.upper()}]{text[b:]}"
@@ -470,4 +518,4 @@ def redact(docs: DataFrame, text_col: str = "text", names: tuple[set[str], set[s
         return [*columns, counts]
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return map_lists(docs, rule, f"{fields}, {free_name(docs, 'n_replaced')} int")
+    return map_lists(known, rule, f"{fields}, {free_name(docs, 'n_replaced')} int")

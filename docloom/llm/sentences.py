@@ -12,8 +12,10 @@ Each period is then classified with these statistics; quotes and brackets are ma
 is quoted within a sentence does not end it. Lines are boundaries unless their block is wrapped.
 
 Counting is one Arrow pass with counters per task and a pre-aggregated shuffle of word types; the
-model that goes to the workers holds only what passed the ratio tests, at most `max_entries` types
-a language and kind (by score). Classifying is one more pass, without a shuffle.
+model holds only what passed the ratio tests. Its `max_entries` first types of a language and kind (by
+score) go to the workers; the rest, where there is one, stays a table, and each text gets those of its
+entries that it asks for, so that every entry counts. Classifying is one more pass, without a shuffle
+where there is no such rest.
 
 Defined results: null and empty texts have no units; white space is in no unit; repeated rows give
 their units again.
@@ -24,12 +26,14 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.batches import map_lists
+from docloom.llm.batches import Both, map_lists
+from docloom.session import cut
 
 # Frequent function words that tell Latin-script languages apart.
 _COMMON = {
@@ -173,15 +177,13 @@ def _log(p, n, k):
     return k * F.log(p) + (n - k) * F.log(1 - p)
 
 
-def learn(docs: DataFrame, text_col: str = "clean_text", max_entries: int = 50_000) -> dict[str, dict]:
-    """The model: for each language starters, others (types seen often and hardly ever at a start), abbreviations,
+def model_table(docs: DataFrame, text_col: str = "clean_text") -> DataFrame:
+    """The model as (lang, name, a, rank), rank by score within lang and name: for each language starters, others (types seen often and hardly ever at a start), abbreviations,
     collocations and chunk features."""
     schema = "lang string, kind string, a string, b string, n bigint"
     counts = docs.select(F.col(text_col)).where(F.length(text_col) > 0).mapInArrow(_count, schema).groupBy("lang", "kind", "a", "b").agg(F.sum("n").alias("n"))
     # pairs count in the sums of their first type however seldom each is; a type or a start seen once says nothing
     counts = counts.where("kind = 'p' or n > 1")
-    from docloom.session import cut
-
     counts = cut(counts)
     word = counts.where("kind = 'w' and a <> ''").select("lang", "a", F.col("n").alias("n_word"))
     all_words = counts.where("kind = 'w' and a = ''").select("lang", F.col("n").alias("n_all"))
@@ -231,13 +233,20 @@ def learn(docs: DataFrame, text_col: str = "clean_text", max_entries: int = 50_0
     )
     at_start = counts.where("kind = 'g'").select("lang", "a", F.col("n").alias("g"))
     chunks = counts.where("kind = 'f'").join(at_start, ["lang", "a"]).where("g >= 2 and g > 0.02 * n and a not in ('#', '@')").select("lang", "a", F.col("g").cast("double").alias("llr"))
-    model: dict[str, dict] = defaultdict(lambda: {"starters": set(), "others": set(), "abbreviations": set(), "collocations": set(), "chunks": set(), "lowered": set(), "finals": set()})
-    for name, frame in (("starters", starters), ("others", others), ("abbreviations", abbreviations), ("collocations", collocations), ("chunks", chunks), ("lowered", lowered), ("finals", finals)):
-        from pyspark.sql import Window
+    frames = (("starters", starters), ("others", others), ("abbreviations", abbreviations), ("collocations", collocations), ("chunks", chunks), ("lowered", lowered), ("finals", finals))
+    union = reduce(DataFrame.unionAll, (f.select("lang", F.lit(name).alias("name"), "a", "llr") for name, f in frames))
+    return union.select("lang", "name", "a", F.row_number().over(Window.partitionBy("lang", "name").orderBy(F.desc("llr"), "a")).alias("rank"))
+
+
+def learn(docs: DataFrame, text_col: str = "clean_text") -> dict[str, dict]:
+    """The whole of `model_table` as sets."""
+    return _as_sets(model_table(docs, text_col))
 
-        rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("llr"), "a"))
-        for r in frame.withColumn("rank", rank).where(F.col("rank") <= max_entries).select("lang", "a").collect():
-            model[r["lang"]][name].add(r["a"])
+
+def _as_sets(table: DataFrame) -> dict[str, dict]:
+    model: dict[str, dict] = defaultdict(lambda: {n: set() for n in _NOTHING})
+    for r in table.select("lang", "name", "a").collect():
+        model[r["lang"]][r["name"]].add(r["a"])
     return {k: {n: frozenset(s) for n, s in v.items()} for k, v in model.items()}
 
 
@@ -320,8 +329,17 @@ class Splitter:
 
     def _cuts(self, text: str, a: int, b: int, lang: str) -> list[int]:
         model = self.model.get(lang, _NOTHING)
+        cuts, begin = [], a
+        for i, marks, at, quote in self._marks(text, a, b):
+            if self._ends(text, begin, i, marks, at, b, quote, lang, model):
+                cuts.append(at)
+                begin = at
+        return cuts
+
+    def _marks(self, text: str, a: int, b: int):
+        """(place, marks, end, quotation it closes) of each mark that may end a sentence."""
         closes = self._quoted(text, a, b)
-        cuts, at, begin = [], a, a
+        at = a
         while m := _END.search(text, at, b):
             i, at = m.start(), m.end()
             quote = next(((o, c) for o, c in closes if o < i < c), None)
@@ -335,10 +353,33 @@ class Splitter:
             if quote and not inside:
                 at = max(i + 1, min(at, quote[1]))
                 continue  # within a quotation that goes on
-            if self._ends(text, begin, i, marks, at, b, quote if inside else None, lang, model):
-                cuts.append(at)
-                begin = at
-        return cuts
+            yield i, marks, at, quote if inside else None
+
+    def asked(self, text: str | None, lang: str | None = None) -> tuple[str, set[str]]:
+        """The language and all entries that `units` may look up in the lists, whatever the lists hold."""
+        if not text:
+            return "", set()
+        lang, out = (lang or "").lower()[:2] or language(text), set()
+        for a, b in self._blocks(text):
+            if lang in _SPACED:
+                for m in re.finditer(r"\S+", text[a:b]):
+                    out.update(_chunk_ends(m.group()))
+                continue
+            begins = [a]
+            for i, _, at, _ in self._marks(text, a, b):
+                if at < b and (m := _WORD_AFTER.match(text, at, b)):
+                    after = _kind(m.group(2))
+                    befores = {_kind(re.search(r"\S*$", text[max(begin, i - 40) : i]).group()) for begin in begins}
+                    out |= {after, *befores, *(f"{x} {after}" for x in befores)}
+                begins = [a, *(x for x in begins if x > i - 40), at]
+        return lang, out
+
+    def plus(self, lang: str, more: list | None) -> "Splitter":
+        """This splitter with further (name, entry) pairs of a language."""
+        if not more:
+            return self
+        own = self.model.get(lang, _NOTHING)
+        return Splitter({lang: {n: Both(s, {x for k, x in more if k == n}) for n, s in own.items()}})
 
     @staticmethod
     def _quoted(text: str, a: int, b: int) -> list[tuple[int, int]]:
@@ -434,15 +475,44 @@ class Splitter:
         return True
 
 
-def sentence_units(docs: DataFrame, model: dict[str, dict] | None = None, id_col: str = "doc_id", text_col: str = "clean_text", lang_col: str | None = None, corpus: DataFrame | None = None) -> DataFrame:
+def _with_rest(flat: DataFrame, splitter: Splitter, rest: DataFrame) -> DataFrame:
+    """`flat` with `more`: the entries of `rest` that each text asks for."""
+
+    def rule(keys, texts, langs):
+        rows = []
+        for key, text, lang in zip(keys, texts, langs):
+            own, asked = splitter.asked(text, lang)
+            rows += [(key, own, x) for x in asked]
+        return [list(c) for c in zip(*rows)] if rows else [[], [], []]
+
+    hashed = flat.withColumn("h", F.xxhash64("text", "lang"))
+    asked = map_lists(hashed.select("h", "text", "lang"), rule, "h bigint, lang string, a string").distinct()
+    held = asked.join(rest, ["lang", "a"]).groupBy("h").agg(F.collect_set(F.struct("name", "a")).alias("more"))
+    return hashed.join(held, "h", "left")
+
+
+def sentence_units(docs: DataFrame, model: dict[str, dict] | None = None, id_col: str = "doc_id", text_col: str = "clean_text", lang_col: str | None = None, corpus: DataFrame | None = None, max_entries: int = 50_000) -> DataFrame:
     """(id_col, start_pos, end_pos): the sentence units of `docs`; the model is learned from `corpus` (or `docs`)."""
-    model = learn(docs if corpus is None else corpus, text_col) if model is None else model
     flat = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.col(lang_col) if lang_col else F.lit(None).cast("string")).alias("lang"))
-    splitter = Splitter(model)
-
-    def rule(ids, texts, langs):
-        rows = [(key, a, b) for key, text, lang in zip(ids, texts, langs) for a, b in splitter.units(text, lang)]
+    more = F.lit(None).cast("array<struct<name:string,a:string>>")
+    if model is None:
+        table = cut(model_table(docs if corpus is None else corpus, text_col))
+        splitter, rest = Splitter(_as_sets(table.where(F.col("rank") <= max_entries))), table.where(F.col("rank") > max_entries)
+        if rest.limit(1).count():
+            flat, more = _with_rest(flat, splitter, rest), F.col("more")
+    else:
+        splitter = Splitter(model)
+
+    def rule(ids, texts, langs, more):
+        rows = []
+        for key, text, lang, m in zip(ids, texts, langs, more):
+            own = splitter
+            if m:
+                lang = (lang or "").lower()[:2] or language(text)
+                own = splitter.plus(lang, [(x["name"], x["a"]) for x in m])
+            rows += [(key, a, b) for a, b in own.units(text, lang)]
         return [list(c) for c in zip(*rows)] if rows else [[], [], []]
 
+    flat = flat.select("id", "text", "lang", more.alias("more"))
     kind = flat.schema["id"].dataType.simpleString()
     return map_lists(flat, rule, f"id {kind}, start_pos int, end_pos int").withColumnRenamed("id", id_col)

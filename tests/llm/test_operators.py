@@ -222,6 +222,13 @@ def test_sentences_frame(spark, splitter):
     assert sentences.sentence_units(d.limit(0)).count() == 0
 
 
+def test_entries_past_the_broadcast_ones_count(spark):
+    table = spark.read.parquet(f"{SMALL}/crawl_docs.parquet").select("doc_id", "clean_text")
+    corpus = spark.read.parquet("/root/testdata/sf0.01/crawl_docs.parquet")
+    few = sentences.sentence_units(table, corpus=corpus, max_entries=2)
+    assert rows(few, "doc_id", "start_pos", "end_pos") == rows(sentences.sentence_units(table, corpus=corpus), "doc_id", "start_pos", "end_pos")
+
+
 # ---- 5: markup -----------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize(
     "text, found",
@@ -415,6 +422,16 @@ def test_validators():
     assert personal.resident_checksum("11010519491231002X") and not personal.resident_checksum("110105194912310021")
 
 
+def test_names_past_the_broadcast_ones_count(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    names = ("doc_id", "kind", "start_pos", "end_pos")
+    assert rows(personal.personal_spans(table, max_names=2), *names) == rows(personal.personal_spans(table), *names)
+    plain = "we met Brenda Marstad there. "
+    d = spark.createDataFrame([(i, plain + f"brenda.marstad@x.example{' a.zorn@x.example' * 9}") for i in range(3)], "doc_id bigint, text string")
+    assert personal.personal_spans(d, max_names=1).where("kind = 'name'").count() == 3
+    assert [r["text"][:16] for r in personal.redact(d, max_names=1).collect()] == ["we met [NAME] th"] * 3
+
+
 def test_personal_frames(spark):
     text = "Hi Brenda Marstad, write to brenda.marstad@x.example or call +1 949-555-0140."
     d = spark.createDataFrame([(i, t, 7) for i, t in enumerate([text, text, text, None, "", LONG])], "doc_id bigint, text string, n_replaced int")
