@@ -78,6 +78,15 @@ def says_furniture(line: str) -> bool:
     return any(w in line for w in _CUE_WORDS) or bool(_CUE_START.match(line))
 
 
+_RIGHTS = re.compile(r"(?:©|copyright\b)", re.I)
+
+
+def _says_much(line: str) -> bool:
+    """Whether a long line is furniture: it begins with a claim of rights or has two of the cues that a paragraph may have one of."""
+    low = line.lower()
+    return bool(_RIGHTS.match(low)) or sum(w in low for w in _CUE_WORDS) > 1 + ("©" in low and "copyright" in low)
+
+
 _PARTS = re.compile(r"\s*[|·•›]\s*|\s+[»>/‹«]\s+")
 _CODE = re.compile(r"^\s*(?:[$#>@{}\[\]<\\|`]|\w+\s*(?:=|\+=|<-|:=)\s|(?:for|if|while|def|class|return|import|from|select|let|const|var)\b.*[:;{(\[]|\w[\w.<>, ]*\s\w+\s*=)|[;{}]\s*$|^\s*[\w.]+\(.*\)\s*$|^\s*\d[\d.,\w/_-]*,[\w.,/_-]+$|^\s*\{?\|")
 _ITEM = re.compile(r"^\s*(?:[•‣▪●*+–:;#-]|\d{1,3}[.)])\s*\S")
@@ -95,23 +104,80 @@ def line_key(text: str) -> int:
     return xxhash.xxh64_intdigest("".join(text.lower().split()).encode("utf-8", "surrogatepass")) >> 1
 
 
+_TAG = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<(/?)([A-Za-z][\w:-]*)[^<>]*>|\n", re.S | re.I)
+_NAVIGATION = frozenset(("nav", "footer", "aside", "header"))
+_BLOCK_TAGS = _NAVIGATION | frozenset("div p li ul ol dl dt dd tr table section article main form h1 h2 h3 h4 h5 h6 br".split())
+_OWN_TEXT = frozenset(("main", "article"))
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+
+
 def link_blocks(page: str | None) -> list[int]:
-    """Hashes of the blocks of an HTML page that are navigation or of which most characters are links."""
+    """Hashes of the blocks of an HTML page that are navigation or of which most characters are links, of any length.
+
+    A block ends at a line break or at a tag of a block. Navigation is what nav, footer, aside and header hold over
+    any number of lines, up to their end tag; one that is never closed holds only the line it opens. A heading in a
+    header, and a header of the page's own article, are none."""
     if not page:
         return []
-    out = []
-    body = page[m.end() :] if (m := re.search(r"<body\b[^>]*>", page, re.I)) else page
-    for block in re.split(r"\n|(?<=</div>)|(?<=</nav>)|(?<=</footer>)|(?<=</p>)|(?<=</li>)|(?<=</tr>)|(?<=</aside>)", body):
-        if "<" not in block:
+    out: dict[int, None] = {}
+    start = m.end() if (m := re.search(r"<body\b[^>]*>", page, re.I)) else 0
+    open_: list[tuple[str, int]] = []  # navigation elements, by number
+    closed: set[int] = set()
+    blocks: list[tuple[str, int, int, tuple[int, ...], bool, bool]] = []
+    text: list[str] = []
+    size = linked = links = heads = own = number = 0
+    opened_here: set[int] = set()
+
+    def flush() -> None:
+        nonlocal size, linked
+        if size:
+            blocks.append(("".join(text), size, linked, tuple(k for _, k in open_), bool(opened_here & {k for _, k in open_}), bool(heads) and all(n == "header" for n, _ in open_)))
+        text.clear()
+        size = linked = 0
+
+    at = start
+    for m in _TAG.finditer(page, start):
+        piece = html.unescape(page[at : m.start()])
+        at = m.end()
+        if piece:
+            n = len("".join(piece.split()))
+            text.append(piece)
+            size += n
+            linked += n * bool(links)
+        name = (m.group(3) or "").lower()
+        if m.group() == "\n":
+            flush()
+            opened_here.clear()
+        elif not name:
             continue
-        text = html.unescape(re.sub(r"<[^<>]*>", " ", block))
-        size = len("".join(text.split()))
-        if not size or size > 300:
-            continue
-        linked = sum(len("".join(html.unescape(re.sub(r"<[^<>]*>", "", a)).split())) for a in re.findall(r"<a\b[^<>]*>(.*?)</a>", block, re.S | re.I))
-        if linked > 0.5 * size and not re.match(r"\s*<(?:li|p|td)\b", block, re.I) or re.match(r"\s*<(?:nav|footer|aside|header)\b", block, re.I):
-            out.append(line_key(text))
-    return out
+        elif name == "a":
+            links = 0 if m.group(2) else 1
+        elif name in _BLOCK_TAGS:
+            flush()
+            if name in _OWN_TEXT:
+                own = max(0, own + (-1 if m.group(2) else 1))
+            elif name in _HEADINGS:
+                heads = 0 if m.group(2) else 1
+            elif name in _NAVIGATION and not m.group(2):
+                number += 1
+                if not (name == "header" and own):
+                    open_.append((name, number))
+                    opened_here.add(number)
+            elif name in _NAVIGATION:
+                while any(n == name for n, _ in open_):
+                    n, k = open_.pop()
+                    if n == name:
+                        closed.add(k)
+                        break
+        else:
+            text.append(" ")
+    text.append(html.unescape(page[at:]))
+    size = len("".join("".join(text).split()))
+    flush()
+    for content, size, linked, inside, here, heading in blocks:
+        if linked > 0.5 * size or not heading and (here or any(k in closed for k in inside)):
+            out[line_key(content)] = None
+    return list(out)
 
 
 def stop_density(line: str) -> float:
@@ -128,9 +194,9 @@ def _first_pass(line: str, bare: str, linked: bool) -> int:
     if linked:
         return BAD
     size = len(bare)
-    if size < 220 and not _ITEM.match(bare) and says_furniture(bare):
+    if not _ITEM.match(bare) and (says_furniture(bare) if size < 220 else _says_much(bare)):
         return BAD
-    if size < 160 and not _SENTENCE_END.search(bare):
+    if not _SENTENCE_END.search(bare):
         parts = [p for p in _PARTS.split(bare) if p]
         if len(parts) >= 3 and not _CODE.search(bare) and max(len(p) for p in parts) < 40 and ("|" in bare or "·" in bare or "»" in bare or "›" in bare or " / " in bare or " > " in bare):
             return BAD  # a menu or a breadcrumb
@@ -156,8 +222,8 @@ def furniture_lines(text: str | None, links: list[int] | None = None) -> list[in
     rows = [i for i, b in enumerate(bare) if b]
     keys = ["".join(_AROUND.sub("", bare[i]).lower().split()) if len(bare[i]) < 200 else bare[i] for i in rows]
     last = {k: j for j, k in enumerate(keys)}
-    # hashes are needed only where there are links and only for short lines
-    marks = [bool(linked) and len(bare[i]) <= 360 and line_key(bare[i]) in linked for i in rows]
+    # hashes are needed only where there are links
+    marks = [bool(linked) and line_key(bare[i]) in linked for i in rows]
     labels = []
     for j, i in enumerate(rows):
         label = _first_pass(lines[i], bare[i], marks[j] and (last[keys[j]] != j or keys.count(keys[j]) == 1))

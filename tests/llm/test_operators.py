@@ -61,6 +61,27 @@ def test_links_of_raw_html_decide(spark):
     assert {r["doc_id"] for r in found.collect()} <= {"d0", "d1", "d2"}
 
 
+def test_navigation_of_any_length_and_over_lines():
+    key = boilerplate.line_key
+    legal = "This text of the law is long and it says what the reader may do with the pages of the site when they are read. " * 6
+    menu = [f"Entry {k} of the menu which leads to a page" for k in range(12)]
+    page = (
+        "<body><nav><ul>\n" + "\n".join(f"<li><a href='/{k}'>{x}</a></li>" for k, x in enumerate(menu)) + "\n</ul></nav>\n<article><header>\n<p>The page begins with this.</p>\n</header><p>A paragraph with <a href='x'>one link</a> in it.</p></article>\n"
+        + "<ul>\n<li><a href='/r'>A related page</a></li>\n</ul>\n<header>\n<h1>Title of the page</h1>\n</header>\n<footer>\n<p>" + legal + "</p>\n</footer>\n<aside>\n<p>After an element that is never closed.</p></body>"
+    )
+    marked = set(boilerplate.link_blocks(page))
+    assert {key(legal), key("A related page"), *map(key, menu)} <= marked
+    assert not marked & {key("The page begins with this."), key("A paragraph with one link in it."), key("Title of the page"), key("After an element that is never closed.")}
+    assert boilerplate.furniture_lines(f"A sentence that is of the page and ends here.\n{legal}", list(marked)) == [2]
+
+
+def test_cues_and_menus_of_any_length():
+    menu = " | ".join(f"Part {k} of it" for k in range(30))
+    rights = "© 2024 The Acme Project. " + "No part of this site may be copied by those who do not have the right to do so. " * 4
+    body = "The worker sets a cookie when the page is opened and reads it when the page is closed, so that the state of it is known. " * 3
+    assert boilerplate.furniture_lines(f"{menu}\n{body}\n{rights}") == [1, 3]
+
+
 def test_main_body_keeps_rows_and_columns(spark):
     d = docs(spark, [PAGE, None, ""], furniture=["a", "b", "c"], key="k")
     out = boilerplate.main_body(d, None)
