@@ -9,7 +9,8 @@ Bit sampling takes `bits` steps of the walk for each of `samples` repetitions; e
 candidate, which is then verified exactly: a run of at least `min_run` equal characters through the
 window, or, with `max_edits`, an item window within that many edits.
 
-Recall is 1 for exact runs, by construction. For edits it is that of the sampled steps.
+Recall is 1 for exact runs, by construction. For edits, `samples` and `bits` are chosen for a `target_recall`
+(`sampling`): with that chance a window that holds all of `max_edits` random edits becomes a candidate.
 
 The items are a stated query set. They are read in blocks of at most `block_chars` characters, so
 what a worker holds is bounded (about 40 bytes a character) however many items there are; each
@@ -54,6 +55,15 @@ class Walk:
         self.chosen = [set(rng.choice(self.steps, size=min(bits, self.steps), replace=False).tolist()) for _ in range(samples)]
         self.weights = rng.integers(0, 1 << 63, (samples, self.steps), dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
+    def put_out(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The symbol of each step (rows) and window (columns)."""
+        out = np.zeros((self.steps, len(starts)), np.uint32)
+        at, end = starts.copy(), starts + np.int64(self.width)
+        for step in range(self.steps):
+            out[step] = np.where(at < end, codes[np.minimum(at, end - 1)], np.uint32(0))
+            at += (out[step] * self.moves[step]) >> np.uint32(31)
+        return out
+
     def keys(self, codes: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
         """`codes`: code points of all texts, followed by at least one more element; `starts`: where windows begin."""
         width = np.int64(self.width)
@@ -75,6 +85,34 @@ def _codes(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(joined, np.uint32), np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
 
 
+def sampling(width: int, max_edits: int, target_recall: float = 0.9, most_samples: int = 64, pairs: int = 400) -> tuple[int, int]:
+    """(samples, bits) for windows with `max_edits` edits: the most bits, so the fewest false candidates, of which at most
+    `most_samples` repetitions reach `target_recall`. The share of steps in
+    which a window and its edited copy differ is measured on random windows with the walk itself."""
+    if not max_edits:
+        return 2, 12
+    if not 0 < target_recall < 1:
+        raise ValueError("target_recall must lie between 0 and 1")
+    rng = np.random.default_rng(3)
+    texts = []
+    for _ in range(pairs):
+        own = rng.integers(97, 123, width + 2 * max_edits).tolist()
+        other = list(own)
+        for at in sorted(rng.choice(width, min(max_edits, width), replace=False).tolist(), reverse=True):
+            kind = rng.integers(3)
+            other[at : at + (kind < 2)] = [] if kind == 0 else [int(rng.integers(97, 123))]
+        texts += ["".join(map(chr, x)) for x in (own, other)]
+    codes, starts = _codes(texts, width)
+    put = Walk(width, 1, 1).put_out(codes, starts)
+    same = (put[:, ::2] == put[:, 1::2]).mean(axis=0)
+    for bits in range(24, 0, -1):
+        missed = 1 - same**bits
+        samples = next((n for n in range(1, most_samples + 1) if 1 - (missed**n).mean() >= target_recall), 0)
+        if samples:
+            return samples, bits
+    raise ValueError(f"{max_edits} edits in {width} characters leave too little to find windows by")
+
+
 def within_edits(window: str, text: str, most: int) -> bool:
     """Whether some part of `text` is at most `most` edits from the whole of `window`."""
     column = np.arange(len(window) + 1)
@@ -155,9 +193,13 @@ def _blocks(items: list[tuple], most: int):
         yield block
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", passage_col: str = "passage", min_run: int = 50, max_edits: int = 0, stride: int = 16, samples: int = 2, bits: int = 12, block_chars: int = 2_000_000) -> DataFrame:
+def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", passage_col: str = "passage", min_run: int = 50, max_edits: int = 0, stride: int = 16, samples: int | None = None, bits: int | None = None, block_chars: int = 2_000_000, target_recall: float = 0.9) -> DataFrame:
     """(id_col, item_col): every text that holds at least `min_run` consecutive letters and digits of an item
-    (or, with `max_edits`, an item window of that length within so many edits). An item may have several rows."""
+    (or, with `max_edits`, an item window of that length within so many edits). An item may have several rows.
+    `samples` and `bits` are those of `sampling` for `target_recall` unless given."""
+    if samples is None or bits is None:
+        own = sampling(min_run - stride + 1, max_edits, target_recall)
+        samples, bits = samples or own[0], bits or own[1]
     listed = sorted({(r[0], letters(r[1])) for r in items.select(item_col, passage_col).where(F.col(item_col).isNotNull() & F.col(passage_col).isNotNull()).toLocalIterator()})
     flat = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kinds = flat.schema["id"].dataType.simpleString(), items.schema[item_col].dataType.simpleString()

@@ -360,6 +360,23 @@ def test_leaks_with_edits(spark):
     assert leakage.within_edits("kitten", "a sitting cat", 2) and not leakage.within_edits("kitten", "dog", 2)
 
 
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_default_recall_of_edits(spark, edits):
+    rng = random.Random(edits)
+    letter = lambda: rng.choice("abcdefghijklmnopqrstuvwxyz")
+    items, bodies = [], []
+    for k in range(200):  # one run of 50 with the edits in its middle, between other letters
+        run = [letter() for _ in range(50)]
+        items.append((f"i{k}", "".join(run)))
+        for at in rng.sample(range(14, 36), edits):
+            run[at] = rng.choice(["", letter(), run[at] + letter()])
+        bodies.append((k, "".join(letter() for _ in range(rng.randint(0, 40))) + "".join(run) + "".join(letter() for _ in range(40))))
+    d, it = spark.createDataFrame(bodies, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id string, passage string")
+    got = set(rows(leakage.leaked_items(d, it, max_edits=edits), "doc_id", "item_id"))
+    assert len(got & {(k, f"i{k}") for k in range(200)}) >= 180
+    assert leakage.sampling(35, 0) == (2, 12)
+
+
 # ---- 8: mixing -----------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("weights", [[1], [1, 1], [5, 3, 2], [18, 6, 15, 10, 6, 5, 10, 8, 12, 7]])
 def test_pfair_keeps_every_prefix_within_a_block(weights):
