@@ -5,7 +5,8 @@ lines of their own, list lines start with the bullet sign, code lines are kept v
 indents, formulas are kept as they are written, links and emphasis leave their text. `main_span`
 then applies the line-block distribution: text lengths are summed over a sliding window of lines; a
 surge opens and a dive closes the kept span, so that leading and trailing markup debris (empty
-wrappers, link lists) falls away while headings, lists and code beside the body stay.
+wrappers, link lists) falls away. Lines that the rewriting knows as heading, list item, code or formula stay wherever
+they are, except list items that are nothing but a link.
 
 Everything is per row: no shuffle, one Arrow pass, each language guarded by the characters it needs.
 
@@ -166,11 +167,31 @@ _RULES = {"html": _from_html, "wiki": _from_wiki, "markdown": _from_markdown, "l
 _ORDER = ("html", "wiki", "markdown", "latex")
 
 
+_HEADS = {"html": re.compile(r"<(h[1-6]|title)\b[^<>]*>.*?</\1\s*>", re.S | re.I), "wiki": _WK_HEAD, "markdown": _MD_HEAD, "latex": _TX_HEAD}
+_CODE_BLOCK = re.compile(r"<pre\b[^<>]*>.*?</pre\s*>", re.S | re.I)
+_LINK_ITEM = {
+    "html": re.compile(r"<li\b[^<>]*>\s*<a\b[^<>]*>(?:(?!</a).)*</a\s*>\s*</li\s*>", re.S | re.I),
+    "wiki": re.compile(r"^[*#:;]+[ \t]*\[\[[^\[\]\n]+\]\][ \t]*$", re.M),
+    "markdown": re.compile(r"^[ \t]*(?:[*+-]|[0-9]{1,3}\.)[ \t]+\[[^\[\]\n]*\]\([^()\s]+\)[ \t]*$", re.M),
+}
+_FORMULA = re.compile(r"\$\$|\\begin\{(?:equation|align|math|displaymath)")
+
+
+def _wide(c: str) -> bool:
+    return "\u1100" <= c <= "\u11ff" or "\u2e80" <= c <= "\u9fff" or "\uac00" <= c <= "\ud7a3" or "\uf900" <= c <= "\ufaff" or c >= "\U00020000"
+
+
+def _size(line: str) -> int:
+    """The length of a line, in which a CJK character says as much as three letters."""
+    line = line.strip()
+    return len(line) if line.isascii() else len(line) + 2 * sum(map(_wide, line))
+
+
 def main_span(lines: list[str], window: int = 3, surge: int = 60) -> tuple[int, int]:
     """Line-block distribution: [first, last) lines between the first surge and the last dive.
     A block is the summed text length of `window` lines; a surge is a block above `surge`
     characters, a dive is where blocks fall to nothing. Without any surge all lines stay."""
-    sizes = [len(x.strip()) for x in lines]
+    sizes = [_size(x) for x in lines]
     n = len(sizes)
     blocks = [sum(sizes[i : i + window]) for i in range(n)]
     rises = [i for i in range(n) if blocks[i] > surge]
@@ -191,12 +212,24 @@ def plain_text(text: str | None, found: tuple[str, ...] | None = None) -> str |
     found = residue(text) if found is None else found
     if not found:
         return text
+    marked: list[str] = []  # headings and code as they are rewritten
+    links: list[str] = []  # list items that are nothing but a link
     for name in _ORDER:
         if name in found:
-            text = _RULES[name](text)
+            rule = _RULES[name]
+            marked = [rule(x) for x in marked + [m.group() for m in _HEADS[name].finditer(text)] + (_CODE_BLOCK.findall(text) if name == "html" else [])]
+            links = [rule(x) for x in links + ([m.group() for m in _LINK_ITEM[name].finditer(text)] if name in _LINK_ITEM else [])]
+            text = rule(text)
     lines = [x.rstrip() for x in text.split("\n")]
     a, b = main_span(lines)
-    return "\n".join(lines[a:b]).strip("\n")
+    stay, go = ({x.strip() for y in z for x in y.split("\n") if x.strip()} for z in (marked, links))
+    kept = [x for i, x in enumerate(lines) if a <= i < b or x.strip() in stay or x.strip() not in go and _is_marked(x)]
+    return "\n".join(kept).strip("\n")
+
+
+def _is_marked(line: str) -> bool:
+    """Whether a rewritten line is a list item, code or a formula."""
+    return line.lstrip().startswith("• ") or line.startswith("    ") and bool(line.strip()) or bool(_FORMULA.search(line) or _TX_MATH.search(line))
 
 
 def strip_markup(docs: DataFrame, text_cols: tuple[str, ...] = ("clean_text", "section_title"), suffix: str = "_markup") -> DataFrame:

@@ -276,6 +276,15 @@ def test_plain_text_keeps_structure():
     assert markup.plain_text("nothing to do here") == "nothing to do here" and markup.plain_text(None) is None and markup.plain_text("") == ""
 
 
+def test_marked_lines_outside_the_span_stay():
+    body = "A paragraph of text that is long enough to be a surge of the page, with **bold** words."
+    gap = "\n\n\n\n\n"
+    assert markup.plain_text(f"# Title{gap}* item{gap}{body}{gap}```\nx = 1\n```{gap}$x^{{2}}${gap}* [link](http://x){gap}debris").split() == f"Title • item {body.replace('**', '')} x = 1 $x^{{2}}$".split()
+    assert markup.plain_text(f"== Head =={gap}{body}{gap}\\section{{End}}").split("\n")[0] == "Head"
+    assert markup.plain_text(f"<h1>Top</h1>\n<p>{body}</p>{gap}<pre>y &lt; 2</pre>").split("\n")[-1] == "y < 2"
+    assert markup.main_span(["", "", "", "", "拡張は次の行を読み、それから書きます。終わり。", "", "", "", ""]) != (0, 9)
+
+
 def test_main_span():
     lines = ["", "nav", "", *["x" * 50] * 5, "", "", "foot"]
     a, b = markup.main_span(lines)
