@@ -3,32 +3,40 @@
 Each text is the set of its different word n-grams. One permutation is divided into bins; the least
 hash of a bin is its slot and empty bins borrow by optimal densification (a fixed probe sequence
 for each bin, the same for all texts). Slots are grouped into bands; equal bands put texts into one
-bucket. A bucket yields star-shaped edges from its least member, so that the number of candidate
-edges is at most the number of (text, band) rows. Two leaves of one star become a candidate pair
-only where both edges to the centre look similar by their signatures, and every candidate is
-verified exactly on the full n-gram sets.
-
-Nodes are distinct n-gram sets, not rows: exact copies are one node, so a group of copies that holds a
-third of all rows is one row of every step after the buckets. Buckets are built by a pre-aggregated
-minimum, maximum and count, to which copies in one task are one row; only buckets of three rows and
-more are joined back.
-Texts are shuffled once, and only those with a candidate (semi-join before the shuffle of sets).
-
-Recall: a pair of similarity s meets in a band with s^rows, so at 80 bands of 5 rows it is missed
-with (1 - s^5)^80: 0.15 % at 0.6, under 0.01 % at 0.65 and nothing measurable at 0.8. Chance
-meetings of unrelated texts number about texts * E[s^rows] a bucket; add a row a band (and bands
-to match) for each tenfold corpus beyond 10^8 texts.
-
-Defined results: null texts and texts with fewer words than one n-gram are in no pair and form
-groups of their own; repeated rows of one id count once.
+bucket. Candidates of a bucket are linear in its members: star-shaped edges from its first member to
+each other one, and edges from each member to the next `reach` ones in the order of further slots, in
+which like texts stand together. Buckets of up to reach + 1 members are thus compared in full. A
+neighbour edge is dropped where both ends are verified links of the star's centre, since they are
+joined through it. Every candidate is judged by short signatures, then verified on the full sets.
+
+Buckets come from one range shuffle on (bucket, order), which splits a hot bucket over tasks; the few
+rows at the seams are compared in a frame of their own, so that no neighbours are lost there.
+
+Nodes are distinct n-gram sets, not rows: exact copies are one node, and a task hands on the bands of
+a node once, so a group of copies that holds a third of all rows is a row a task and band.
+
+`near_duplicate_links` and `near_duplicate_groups` need only these linear candidates. All pairs
+(`near_duplicate_pairs`) are as many as the answer asks for: texts with a common link are compared,
+too, which in a group of k like texts is k * k / 2 pairs, of which most are in the answer.
+
+Recall: a pair of similarity s meets in a band with s^rows, so at 80 bands of 5 rows it meets nowhere
+with (1 - s^5)^80: 0.15 % at 0.6, under 0.01 % at 0.65 and nothing measurable at 0.8. Where it meets
+only in buckets of more than reach + 1 texts unlike it, it must stand near in one of their orders.
+Chance meetings of unrelated texts number about texts * E[s^rows] a bucket; add a row a band (and
+bands to match) for each tenfold corpus beyond 10^8 texts.
+
+Defined results: null texts and texts with fewer words than one n-gram are in no pair and in a group
+of none; repeated rows count once; a null id is an id like others; an id with two texts is in the
+class of each.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.batches import map_lists
@@ -38,8 +46,10 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _PROBES = 64
 #: Bytes of a signature, one slot each, to judge candidates before the exact check.
 _SIGNATURE = 128
-#: Rows of the build side up to which buckets are joined back by broadcast: 16 bytes each, 64 MB.
-_BROADCAST_ROWS = 4_000_000
+#: Keys of wanted texts up to which they are broadcast: about 40 bytes each in a hashed relation, 40 MB; beyond it texts are shuffled.
+_BROADCAST_ROWS = 1_000_000
+#: Nodes that a task remembers so as to hand on their bands once.
+_SEEN = 1_000_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -98,14 +108,21 @@ def _sketches(words: int, bands: int, rows: int):
     salt = _mix(np.arange(1, bands + 1, dtype=np.uint64) << np.uint64(20))
     pick = np.arange(_SIGNATURE) * bins // _SIGNATURE
 
-    def rule(ids, texts):
-        out = [[], [], [], [], []]
-        for key, grams in zip(ids, gram_sets(texts, words)):
-            if not len(grams):
-                continue
-            values = slots(grams, bins, probes)
-            keys = _mix((values.reshape(bands, rows) * weights).sum(1, dtype=np.uint64) ^ salt)
-            row = (key, xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63), len(grams), keys.astype(np.int64), (values[pick] & np.uint64(255)).astype(np.uint8).tobytes())
+    seen: set[int] = set()
+
+    def rule(ids, hashes, texts):
+        out = [[] for _ in range(6)]
+        for key, h, grams in zip(ids, hashes, gram_sets(texts, words)):
+            row = [key, h, None, 0, None, None]
+            if len(grams):
+                row[2:4] = _node(grams), len(grams)
+                if row[2] not in seen:
+                    if len(seen) >= _SEEN:
+                        seen.clear()
+                    seen.add(row[2])
+                    values = slots(grams, bins, probes)
+                    keys = _mix((values.reshape(bands, rows) * weights).sum(1, dtype=np.uint64) ^ salt)
+                    row[4:] = keys.astype(np.int64), (values[pick] & np.uint64(255)).astype(np.uint8).tobytes()
             for column, value in zip(out, row):
                 column.append(value)
         return out
@@ -113,9 +130,24 @@ def _sketches(words: int, bands: int, rows: int):
     return rule
 
 
+def _node(grams: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63)
+
+
 def _sets(words: int):
-    def rule(nodes, texts):
-        return [nodes, [g.astype(np.int64) for g in gram_sets(texts, words)]]
+    seen: set[int] = set()
+
+    def rule(texts):
+        out = [[], []]
+        for grams in gram_sets(texts, words):
+            node = _node(grams)
+            if len(grams) and node not in seen:
+                if len(seen) >= _SEEN:
+                    seen.clear()
+                seen.add(node)
+                out[0].append(node)
+                out[1].append(grams.astype(np.int64))
+        return out
 
     return rule
 
@@ -139,49 +171,164 @@ def _judged(edges: DataFrame, signatures: DataFrame, keep: float) -> DataFrame:
     return map_lists(both, _likeness(keep), "a bigint, b bigint", rows=8192)
 
 
-def _stars(base: DataFrame) -> DataFrame:
-    """Distinct edges (a, b), a < b: from the least node of every bucket to each other one. `base` may hold a node
-    many times: minimum and maximum do not mind, and repeated edges collapse in the tasks that make them."""
-    rows = base.select("node", F.explode("bands").alias("bucket"))
-    buckets = cut(rows.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b"))
-    large = buckets.where("n > 2").select("bucket", "a")
-    if large.count() <= _BROADCAST_ROWS:
-        large = F.broadcast(large)
-    else:
-        large = large.repartition("bucket")  # a plain shuffle on both sides lets adaptive execution split hot buckets
-    rest = rows.join(large, "bucket").where("node <> a").select("a", F.col("node").alias("b"))
-    return buckets.where("n = 2").select("a", "b").union(rest).distinct()
-
-
-def near_duplicate_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "clean_text", threshold: float = 0.8, words: int = 5, bands: int = 80, rows: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(members, pairs). members (id, node, size): every distinct id with the class of its n-gram set;
-    pairs (a, b, similarity), a < b: all pairs of different classes with Jaccard similarity >= threshold."""
-    flat = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = flat.schema["id"].dataType.simpleString()
-    base = cut(map_lists(flat, _sketches(words, bands, rows), f"id {kind}, node bigint, size int, bands array<bigint>, signature binary", rows=128))
-    members = base.select("id", "node", "size").distinct()
-    signatures = base.select("node", "signature").distinct()
-    low = max(0.05, threshold / 2 - 0.12)
-    stars = cut(_judged(_stars(base), signatures, low))
-    wedges = stars.alias("x").join(stars.alias("y"), F.col("x.a") == F.col("y.a")).where("x.b < y.b").select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct()
-    near = max(0.05, threshold - 0.20)
-    candidates = cut(stars.union(_judged(wedges, signatures, near)).distinct())
-    wanted = candidates.select(F.col("a").alias("node")).union(candidates.select(F.col("b").alias("node"))).distinct()
-    one = base.groupBy("node").agg(F.min("id").alias("id")).join(wanted, "node", "left_semi")
-    texts = flat.join(one, "id").dropDuplicates(["node"])
-    sets = cut(map_lists(texts.select("node", "text"), _sets(words), "node bigint, grams array<bigint>", rows=128))
-    joined = candidates.join(sets.toDF("a", "ga"), "a").join(sets.toDF("b", "gb"), "b")
-    both = F.size(F.array_intersect("ga", "gb"))
-    pairs = (
-        joined.select("a", "b", both.alias("both"), (F.size("ga") + F.size("gb")).alias("sum"))
-        .select("a", "b", (F.col("both") / (F.col("sum") - F.col("both"))).alias("similarity"))
-        .where(F.col("similarity") >= threshold)
-    )
-    return members, pairs
-
-
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, root): the least node of each connected component, by alternating large and small stars.
+EDGES = "a bigint, b bigint, centre bigint, bucket bigint, place binary"
+
+
+def _neighbours(reach: int):
+    """Edges (a, b, centre) of rows (bucket, place, node) in order; a star's edges have no centre. Rows at the seams of a
+    partition come out as (node, null, centre, bucket, place)."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("centre", pa.int64()), ("bucket", pa.int64()), ("place", pa.binary())])
+
+    def run(batches):
+        tail = (np.empty(0, np.int64),) * 3  # the last rows: bucket, node, centre
+        ends: list = []  # (bucket, place, node) of the last rows
+        first, opening = None, 0
+
+        def out(a, b, centre, bucket=None, place=None):
+            n = len(a)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(centre, pa.int64()), pa.array(bucket or [None] * n, pa.int64()), pa.array(place or [None] * n, pa.binary())], schema=schema)
+
+        for batch in batches:
+            bucket, node = (np.asarray(batch.column(i)) for i in (0, 2))
+            before = len(tail[0])
+            bucket, node = np.concatenate([tail[0], bucket]), np.concatenate([tail[1], node])
+            new = np.ones(len(bucket), bool)
+            new[1:] = (bucket[1:] != bucket[:-1]) | (node[1:] != node[:-1])
+            new[:before] = True
+            rows = np.flatnonzero(new)
+            bucket, node = bucket[rows], node[rows]
+            n = len(rows)
+            if n == before:
+                continue
+            begins = np.flatnonzero(np.diff(bucket, prepend=bucket[0] ^ 1))
+            centre = np.repeat(node[begins], np.diff(begins, append=n))
+            if before:
+                centre[bucket == tail[0][-1]] = tail[2][-1]
+                centre[:before] = tail[2]
+            leaf = np.flatnonzero(centre != node)
+            leaf = leaf[leaf >= before]
+            yield out(centre[leaf], node[leaf], [None] * len(leaf))
+            for k in range(1, reach + 1):
+                late = np.arange(max(k, before), n)
+                late = late[bucket[late] == bucket[late - k]]
+                late = late[(node[late - k] != centre[late]) & (node[late] != centre[late])]
+                if len(late):
+                    yield out(node[late - k], node[late], centre[late])
+            if first is None:
+                first = bucket[0]
+            if opening <= reach:
+                start = np.flatnonzero(bucket[before:] == first)[: reach + 1 - opening] + before
+                opening += len(start) if len(start) and bucket[-1] == first else reach + 1
+                place = batch.column(1).take(pa.array(rows[start] - before)).to_pylist()
+                yield out(node[start], [None] * len(start), centre[start], bucket[start].tolist(), place)
+            keep = np.arange(max(0, n - reach), n)
+            fresh = keep[keep >= before]
+            ends = [*ends, *zip(fresh.tolist(), batch.column(1).take(pa.array(rows[fresh] - before)).to_pylist(), bucket[fresh].tolist(), node[fresh].tolist(), centre[fresh].tolist())][-reach:]
+            tail = bucket[keep], node[keep], centre[keep]
+        if ends:
+            ends = [e for e in ends if e[2] == ends[-1][2]]
+            yield out([e[3] for e in ends], [None] * len(ends), [e[4] for e in ends], [e[2] for e in ends], [e[1] for e in ends])
+
+    return run
+
+
+def _edges(base: DataFrame, reach: int) -> DataFrame:
+    """Distinct (a, b, centre), a < b: stars (without centre) and neighbours in the order of further slots, bucket by bucket."""
+    place = F.expr(f"substring(signature, 1 + (pos * 37) % {_SIGNATURE - 7}, 8)")
+    rows = base.where("bands is not null").select("node", "signature", F.posexplode("bands").alias("pos", "bucket")).select("bucket", place.alias("place"), "node")
+    order = ("bucket", "place", "node")
+    return joined_seams(cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours(reach), EDGES)), reach)
+
+
+def joined_seams(found: DataFrame, reach: int) -> DataFrame:
+    """The edges of all partitions and those over their seams, of at most 2 * reach + 1 rows a partition."""
+    seam = Window.partitionBy("bucket").orderBy("place", "a")
+    rest = found.where("bucket is not null").select("bucket", "place", "a", "centre").distinct().withColumn("head", F.first("centre").over(seam))
+    nexts = rest.withColumn("after", F.array(*(F.lead("a", k).over(seam) for k in range(1, reach + 1)))).withColumn("b", F.explode("after"))
+    none = F.lit(None).cast("bigint")
+    heads = rest.select("head", F.explode(F.array("centre", "a")).alias("b"), none)
+    nexts = nexts.where("b is not null and a <> head").select("a", "b", "head")
+    every = found.where("bucket is null").select("a", "b", "centre").union(heads).union(nexts)
+    return every.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "centre").distinct()
+
+
+def _few(keys: DataFrame) -> DataFrame:
+    """Keys for a semi-join: broadcast only where their count allows."""
+    keys = cut(keys)
+    return F.broadcast(keys) if keys.count() <= _BROADCAST_ROWS else keys
+
+
+class Collection:
+    """The classes, candidates and links of one collection."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, threshold: float, words: int, bands: int, rows: int, reach: int) -> None:
+        self.threshold, self.words = threshold, words
+        self.texts = docs.select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+        flat = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+        kind = flat.schema["id"].dataType.simpleString()
+        self.base = cut(map_lists(flat, _sketches(words, bands, rows), f"id {kind}, key bigint, node bigint, size int, bands array<bigint>, signature binary", rows=128))
+        self.members = self.base.select("id", "node", "size").distinct()
+        self.signatures = self.base.where("signature is not null").select("node", "signature").distinct()
+        edges = cut(_edges(self.base, reach))
+        stars = self.judged(edges.where("centre is null").select("a", "b"))
+        nexts = self.judged(edges.where("centre is not null").select("a", "b").distinct())
+        self.candidates = cut(stars.withColumn("star", F.lit(True)).union(nexts.withColumn("star", F.lit(False))).groupBy("a", "b").agg(F.max("star").alias("star")))
+        self.sets = self._sets()
+        first = cut(self.verified(self.candidates.where("star").select("a", "b")))
+        linked = first.select(F.col("a").alias("x"), F.col("b").alias("centre")).union(first.select("b", "a"))
+        # an edge both of whose ends are links of a centre joins what is joined
+        through = edges.where("centre is not null").join(linked.withColumnRenamed("x", "a"), ["a", "centre"], "left_semi").join(linked.withColumnRenamed("x", "b"), ["b", "centre"], "left_semi")
+        rest = self.candidates.where("not star").select("a", "b").join(through.select("a", "b").distinct(), ["a", "b"], "left_anti")
+        self.links = cut(first.union(self.verified(rest)))
+
+    def judged(self, edges: DataFrame) -> DataFrame:
+        """Edges that are similar enough by their signatures to be verified: five deviations below the threshold."""
+        return _judged(edges, self.signatures, max(0.05, self.threshold - 0.20))
+
+    def _sets(self) -> DataFrame:
+        """(node, grams) of the nodes of all candidates."""
+        wanted = self.candidates.select(F.col("a").alias("node")).union(self.candidates.select(F.col("b").alias("node"))).distinct()
+        keys = self.base.where("bands is not null").groupBy("node").agg(F.min("key").alias("key")).join(wanted, "node", "left_semi").select("key").distinct()
+        texts = self.texts.join(_few(keys), "key", "left_semi").select("text")
+        return cut(map_lists(texts, _sets(self.words), "node bigint, grams array<bigint>", rows=128).dropDuplicates(["node"]))
+
+    def verified(self, edges: DataFrame) -> DataFrame:
+        """(a, b, similarity) of the edges at or above the threshold, by their whole sets."""
+        edges = cut(edges)
+        sets = self.sets.join(_few(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()), "node", "left_semi")
+        joined = edges.join(sets.toDF("a", "ga"), "a").join(sets.toDF("b", "gb"), "b")
+        both = F.size(F.array_intersect("ga", "gb"))
+        return (
+            joined.select("a", "b", both.alias("both"), (F.size("ga") + F.size("gb")).alias("sum"))
+            .select("a", "b", (F.col("both") / (F.col("sum") - F.col("both"))).alias("similarity"))
+            .where(F.col("similarity") >= self.threshold)
+        )
+
+    def pairs(self) -> DataFrame:
+        """(a, b, similarity): the links and all further pairs that have a common link."""
+        ends = self.links.select(F.col("a").alias("mid"), F.col("b").alias("x")).union(self.links.select("b", "a"))
+        two = ends.join(ends.withColumnRenamed("x", "y"), "mid").where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+        new = two.join(self.links, ["a", "b"], "left_anti")
+        return self.links.union(self.verified(self.judged(new)))
+
+
+def near_duplicate_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "clean_text", threshold: float = 0.8, words: int = 5, bands: int = 80, rows: int = 5, reach: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(members, links). members (id, node, size): every distinct id with the class of its n-gram set (null for
+    none); links (a, b, similarity), a < b: verified pairs of different classes through which all classes of a group
+    are joined. Their number is linear in the texts."""
+    own = Collection(docs, id_col, text_col, threshold, words, bands, rows, reach)
+    return own.members, own.links
+
+
+def near_duplicate_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "clean_text", threshold: float = 0.8, words: int = 5, bands: int = 80, rows: int = 5, reach: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(members, pairs) as `near_duplicate_links`, but with all pairs of different classes at or above the threshold."""
+    own = Collection(docs, id_col, text_col, threshold, words, bands, rows, reach)
+    return own.members, own.pairs()
+
+
+def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+    """(node, root): the least node of each connected component, by alternating large and small stars to the fixed
+    point (RuntimeError if `rounds` do not reach it; they number about the square of the logarithm of the nodes).
     The edges are written to the checkpoint folder each round; nothing is gathered."""
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
@@ -202,28 +349,22 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if tuple(mark) == seen:
             break
         seen = tuple(mark)
+    else:
+        raise RuntimeError(f"{rounds} rounds did not join the components")
     return now.groupBy(F.greatest("a", "b").alias("node")).agg(F.min(F.least("a", "b")).alias("root"))
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "clean_text", threshold: float = 0.8, words: int = 5, bands: int = 80, rows: int = 5) -> DataFrame:
-    """(id_col, group_id, links): one row per distinct id. group_id is the class of the least n-gram set
-    that can be reached over pairs at or above the threshold; links counts the pairs of the text's class
-    with other classes. Texts without n-grams have a null group_id and no links."""
-    members, pairs = near_duplicate_pairs(docs, id_col, text_col, threshold, words, bands, rows)
-    pairs = cut(pairs)
-    links = pairs.select("a").union(pairs.select("b")).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("links"))
-    ids = docs.select(F.col(id_col).alias("id")).distinct()
-    return (
-        ids.join(members, "id", "left")
-        .join(components(pairs), "node", "left")
-        .join(links, "node", "left")
-        .select(F.col("id").alias(id_col), F.coalesce("root", "node").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    )
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "clean_text", threshold: float = 0.8, words: int = 5, bands: int = 80, rows: int = 5, reach: int = 8) -> DataFrame:
+    """(id_col, class_id, group_id): one row per distinct id and class. class_id names the n-gram set, group_id the
+    least class that can be reached over links at or above the threshold; both are null for texts without n-grams."""
+    members, links = near_duplicate_links(docs, id_col, text_col, threshold, words, bands, rows, reach)
+    return members.join(components(links), "node", "left").select(F.col("id").alias(id_col), F.col("node").alias("class_id"), F.coalesce("root", "node").alias("group_id"))
 
 
 def document_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b), a < b: all pairs of different ids, copies of one class included."""
-    copies = members.alias("x").join(members.alias("y"), "node").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    left = pairs.join(members.select(F.col("node").alias("a"), F.col("id").alias("ida")), "a")
-    across = left.join(members.select(F.col("node").alias("b"), F.col("id").alias("idb")), "b")
-    return across.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).union(copies)
+    known = members.where("node is not null")
+    copies = known.alias("x").join(known.alias("y"), "node").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    left = pairs.join(known.select(F.col("node").alias("a"), F.col("id").alias("ida")), "a")
+    across = left.join(known.select(F.col("node").alias("b"), F.col("id").alias("idb")), "b").where("ida <> idb")
+    return across.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).union(copies).distinct()
