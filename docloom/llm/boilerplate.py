@@ -1,31 +1,38 @@
 """Problem 1: page furniture mixed with the main body.
 
-Two passes over the lines of a page. The first decides lines by length, stop-word density and
-link density: long lines with function words, sentences, list items and code are main body; lines
-that are mostly links, menus of short parts between separators, and short lines that say what only
-furniture says (cookies, sharing, rights, bylines, dates of builds) are not. A line that recurs
-further down as a heading is an entry of the contents list. Short lines are left open. The second
-pass gives each open line the label of its nearest decided neighbours; a heading-like line joins the main body
-that follows it even over furniture.
+Blocks are the lines of a page. The first pass classifies them by link density, length and stop-word
+density: blocks that are mostly links and menus of short parts between separators are furniture; long
+blocks with function words, sentences, list items and code are main body; a line that recurs further down
+as a heading is an entry of the contents list. Short blocks that nothing decides are left open. The second
+pass gives each open block the label of its nearest decided neighbours; a heading-like line joins the main
+body that follows it even over furniture.
 
 Link density comes from the raw HTML where it is kept: each block's linked characters over all its
-characters, kept as hashes of mostly-linked and of navigation blocks. Pages join it by file path;
-pages without HTML fall back on separators. One shuffle, on the path, with nulls spread by page id.
-
-Defined results: null and empty texts have no lines; empty lines are never named; repeated rows of one id
-count once.
+characters, navigation elements counting as linked. Pages join their marked blocks by file path. Where
+no HTML is kept, link density is estimated from the words of a block: `link_model` counts words, pairs
+of words and openings of blocks in linked and in other blocks of pages with HTML, and a block's log-odds
+decide it where they are clear. The counts come from a bounded sample of labelled pages
+(`sample_pages`). Phrases that furniture is known by (cookies, rights, bylines) break ties only: they
+label a block that neither density nor estimate decides, or one of a collection without any HTML.
+
+Defined results: null and empty texts have no lines; empty lines are never named; repeated rows count once; a
+path with several pages counts the one of the greatest hash; rows of one id are judged each by its own text.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
+from collections import Counter
 
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.batches import free_name, map_lists
+from docloom.session import cut
 
 # Frequent function words of ten languages; for scripts without spaces, characters and endings.
 _STOP = frozenset(
@@ -46,9 +53,9 @@ _CUE_WORDS = (
     "cookie", "куки", "クッキー", "كوكيز", "ملفات تعريف", "कुकी", "คุกกี้",
     "©", "copyright", "all rights reserved", "alle rechte vorbehalten", "tous droits réservés", "todos los derechos", "все права защищены", "保留所有权利", "無断転載", "著作権", "جميع الحقوق", "สงวนลิขสิทธิ์",
     "without warranty", "is a trademark of", "are trademarks of", "may change without notice", "ohne gewähr", "sans garantie", "sin garantía",
-    "was this page helpful", "was this helpful", "hilfreich?", "vous a-t-elle aidé", "ha servido esta", "была полезна", "有帮助吗", "役に立ちましたか", "found this useful", "found this helpful",
+    "was this page helpful", "was this helpful", "hilfreich?", "vous a-t-elle aidé", "ha servido esta", "была полезна", "有帮助吗", "役に立ちましたか",
     "seite teilen", "share this page", "partager cette page", "compartir esta página", "поделиться страницей", "分享本页", "このページを共有",
-    "newsletter", "seats left", "hosting from", "in this article", "report a problem", "edit this page",
+    "newsletter", "in this article", "report a problem", "edit this page",
 )
 # What furniture begins with, or is as a whole, in lower case.
 _CUE_START = re.compile(
@@ -63,12 +70,12 @@ _CUE_START = re.compile(
     r"|(?:last (?:built|updated|modified|edited)|built on|updated on|zuletzt geändert|stand:|dernière mise à jour|última actualización|обновлено|最后更新|最終更新|آخر تحديث|generated (?:by|on))"
     r"|(?:tags?|labels?|filed under|categories|category|topics|keywords|schlagwörter|mots-clés|etiquetas|теги|метки|标签|タグ)(?:\s*[:：–—-]\s*\S|\s+\S+(?:,\s*\S+)+$|\s+\S+$)"
     r"|(?:related|you may also like|read next|see next|next up|next|previous|prev|up next|more like this|ähnliche|weiter|zurück|suivant|précédent|siguiente|anterior|далее|назад|相关|下一页|上一页|次へ|前へ)\s*(?:[:：→←»«–—-]|$)|[←→‹›]\s*\S.{0,120}$|[«»]\s+[^«»]{2,80}$"
-    r"|(?:advert(?:isement|ising)?|sponsored|sponsor|webinar|anzeige|werbung|publicité|publicidad|anuncio|реклама|广告|広告|ad)\s*(?:[:：–—-]|$)|try .{2,40} free for \d+"
-    r"|(?:subscribe|abonnieren|abonnez|suscríbase|suscribirse|подпис|订阅|購読)|.{0,60}to the monthly .{2,30} letter$"
+    r"|(?:advert(?:isement|ising)?|sponsored|sponsor|webinar|anzeige|werbung|publicité|publicidad|anuncio|реклама|广告|広告|ad)\s*(?:[:：–—-]|$)"
+    r"|(?:subscribe|abonnieren|abonnez|suscríbase|suscribirse|подпис|订阅|購読)"
     r"|(?:page views|views|seitenaufrufe|vues|visitas|просмотры|浏览|閲覧)\s*[:：]?\s*\d+|\d+ (?:readers|views|people|leser|lecteurs|lectores)\b"
     r"|comment(?:s|aire|ario)? (?:by|von|de|par)\b|\d+ comments?$|\S{2,30} wrote:|@?\S{2,24} [·•|-] \d+ \w+ ago\b"
     r"|(?:back to top|nach oben|haut de page|volver arriba|наверх|返回顶部|トップへ|listen to this|print this|view source|improve this page|on this page|table of contents|contents|inhaltsverzeichnis|sommaire|índice de contenidos|содержание|目录|目次)\b.{0,30}$"
-    r"|[\w &'-]{2,30} documentation, release [\d.]+$|[\w &'-]{2,30} meets .{2,30}, \d{4}$"
+    r"|[\w &'-]{2,30} documentation, release [\d.]+$"
     r"|.{2,24}(?:文档组|文書班|编写组|編集部)$"
 )
 
@@ -89,6 +96,7 @@ def _says_much(line: str) -> bool:
 
 _PARTS = re.compile(r"\s*[|·•›]\s*|\s+[»>/‹«]\s+")
 _CODE = re.compile(r"^\s*(?:[$#>@{}\[\]<\\|`]|\w+\s*(?:=|\+=|<-|:=)\s|(?:for|if|while|def|class|return|import|from|select|let|const|var)\b.*[:;{(\[]|\w[\w.<>, ]*\s\w+\s*=)|[;{}]\s*$|^\s*[\w.]+\(.*\)\s*$|^\s*\d[\d.,\w/_-]*,[\w.,/_-]+$|^\s*\{?\|")
+_ROW = re.compile(r"\{?\|.*\|$")  # a row of a table
 _ITEM = re.compile(r"^\s*(?:[•‣▪●*+–:;#-]|\d{1,3}[.)])\s*\S")
 _SENTENCE_END = re.compile(r"[.!?…。！？।؟][\"'”’»)\]）」]*\s*$")
 _NAME_LIKE = re.compile(r"[A-Za-z]+_[A-Za-z_]+|[A-Za-z]\.[a-z]+\(\)|[A-Za-z][a-z]+[A-Z][a-z]+")
@@ -190,71 +198,174 @@ def stop_density(line: str) -> float:
     return max(sum(w.strip(",.;:!?()\"'«»„“”¿¡، ؟") in _STOP for w in words) / len(words), 4 * signs / max(len(line), 1))
 
 
-def _first_pass(line: str, bare: str, linked: bool) -> int:
-    if linked:
-        return BAD
-    size = len(bare)
-    if not _ITEM.match(bare) and (says_furniture(bare) if size < 220 else _says_much(bare)):
-        return BAD
-    if not _SENTENCE_END.search(bare):
-        parts = [p for p in _PARTS.split(bare) if p]
-        if len(parts) >= 3 and not _CODE.search(bare) and max(len(p) for p in parts) < 40 and ("|" in bare or "·" in bare or "»" in bare or "›" in bare or " / " in bare or " > " in bare):
-            return BAD  # a menu or a breadcrumb
+_EDGES = ".,;:!?()[]\"'«»„“”¿¡،؟…"
+_RUN = re.compile(r"[0-9]+")
+_CODE_WORD = re.compile(r"[\w@{}]*(?:[_@{}()/#]|[a-z][A-Z]|\w\.\w|[^\W\d]\d)[^\s]*")
+
+
+def _unspaced(c: str) -> bool:
+    return "\u0e00" <= c <= "\u0eff" or "\u3040" <= c <= "\u9fff" or "\uac00" <= c <= "\ud7a3"
+
+
+def block_features(line: str) -> tuple[set[str], list[str]]:
+    """The words, pairs of words and the openings of a block: in lower case, digits as #, identifiers as @,
+    scripts without spaces in pairs of characters."""
+    words = []
+    for w in line.split():
+        bare = w.strip(_EDGES)
+        if bare and any(map(_unspaced, bare)):
+            words += [bare[i : i + 2] for i in range(max(1, len(bare) - 1))]
+        elif _CODE_WORD.fullmatch(bare):
+            words.append("@")
+        else:
+            words.append(_RUN.sub("#", (bare or w).lower()))
+    openings = ["^" + " ".join(words[:k]) for k in (4, 3, 2) if len(words) >= k]
+    head = line.split(None, 1)[0].lower()
+    if len(head) < 24 and not head[-1].isalnum() and not _RUN.search(head):
+        openings.append("^^" + head)  # "related:", an arrow
+    return {*words, *map(" ".join, zip(words, words[1:]))}, openings
+
+
+class LinkModel:
+    """Estimated link density of blocks by their words: log-odds of being linked."""
+
+    def __init__(self, weights: dict[str, float], sure: float = 3.0, body: float = -9.0) -> None:
+        self.weights, self.sure, self.body = weights, sure, body
+
+    def linked(self, line: str) -> int:
+        """1 for a block that is linked by all odds, -1 for one that is not, 0 for neither."""
+        words, openings = block_features(line)
+        opening = max((self.weights[o] for o in openings if o in self.weights), default=0.0)
+        known = [self.weights[w] for w in words if w in self.weights]
+        odds = sum(known) / math.sqrt(len(known)) if known else 0.0
+        return 1 if opening > self.sure or odds > self.sure else -1 if odds < self.body else 0
+
+
+def labelled_blocks(text: str, links: list[int]) -> set[tuple[str, bool]]:
+    """The different blocks of a page and whether each is linked. A linked block whose words recur further down, before body,
+    is an entry of the contents list, and what recurs is the heading."""
+    marked = set(links)
+    bare = [b for x in text.split("\n") if (b := " ".join(x.split()))]
+    hit = [line_key(b) in marked for b in bare]
+    last, times = {b: j for j, b in enumerate(bare)}, Counter(bare)
+    return {(b, h and not (times[b] > 1 and last[b] == j and j + 1 < len(bare) and not hit[j + 1])) for j, (b, h) in enumerate(zip(bare, hit))}
+
+
+def _label_counts(batches):
+    """(feature, linked, plain) of the blocks of pages, the feature "" for all blocks, counted in the task."""
+    linked, plain = Counter(), Counter()
+
+    def rows():
+        keys = list(linked.keys() | plain.keys())
+        out = [pa.array(keys, pa.string()), pa.array([linked[k] for k in keys], pa.int64()), pa.array([plain[k] for k in keys], pa.int64())]
+        linked.clear(), plain.clear()
+        return pa.RecordBatch.from_arrays(out, names=["feature", "linked", "plain"])
+
+    for batch in batches:
+        for text, links in zip(*(c.to_pylist() for c in batch.columns)):
+            for line, is_linked in labelled_blocks(text, links):
+                words, openings = block_features(line)
+                (linked if is_linked else plain).update([*words, *openings, ""])
+        if len(linked) + len(plain) > 500_000:
+            yield rows()
+    yield rows()
+
+
+def link_model(labelled: DataFrame, sample_pages: int = 20_000, least: int = 3) -> LinkModel | None:
+    """The model of `labelled` (text, links): pages and the hashes of their linked blocks. At most `sample_pages` pages, in the order of
+    their hashes, are counted, which bounds what comes to the driver; features seen `least` times or more count. None without linked blocks."""
+    pages = labelled.where("text is not null and size(links) > 0").select("text", "links", F.xxhash64("text").alias("h"))
+    sample = pages.orderBy("h").limit(sample_pages).select("text", "links")
+    counts = sample.mapInArrow(_label_counts, "feature string, linked bigint, plain bigint").groupBy("feature").agg(F.sum("linked").alias("linked"), F.sum("plain").alias("plain"))
+    rows = counts.where(F.col("linked") + F.col("plain") >= least).collect()
+    all_ = next(((r["linked"], r["plain"]) for r in rows if not r["feature"]), (0, 0))
+    if not all(all_):
+        return None
+    odds = lambda r: math.log((r["linked"] + 0.5) / (all_[0] + 1)) - math.log((r["plain"] + 0.5) / (all_[1] + 1))
+    return LinkModel({r["feature"]: round(o, 3) for r in rows if r["feature"] and abs(o := odds(r)) > 0.2})
+
+
+def _dense(bare: str) -> int:
+    """What length and stop-word density say of a block that is not linked."""
     if _HEAD_MARK.match(bare):
         return GOOD
-    wide = size * (2 if any("぀" <= c <= "鿿" for c in bare[:40]) else 1)
+    wide = len(bare) * (2 if any("\u3040" <= c <= "\u9fff" for c in bare[:40]) else 1)
     if wide >= 52 and (stop_density(bare) >= 0.15 or wide >= 60 and ". " in bare):
         return GOOD
     if wide >= 90 or _SENTENCE_END.search(bare) and wide >= 25 and (stop_density(bare) > 0.08 or wide >= 50):
         return GOOD
-    if _ITEM.match(bare) and wide > 12 or _CODE.search(bare):
-        return GOOD
-    return OPEN
+    return GOOD if _ITEM.match(bare) and wide > 12 or _CODE.search(bare) else OPEN
+
+
+def _is_menu(bare: str) -> bool:
+    """Short parts between separators: a menu or a breadcrumb."""
+    if _SENTENCE_END.search(bare) or not any(x in bare for x in ("|", "·", "»", "›", " / ", " > ")):
+        return False
+    parts = [p for p in _PARTS.split(bare) if p]
+    return len(parts) >= 3 and not _CODE.search(bare) and max(map(len, parts)) < 40
+
+
+def _says(bare: str) -> bool:
+    return not _ITEM.match(bare) and (says_furniture(bare) if len(bare) < 220 else _says_much(bare))
+
+
+def _first_pass(bare: str, linked: bool, model: LinkModel | None) -> int:
+    if linked or _is_menu(bare):
+        return BAD
+    if model is None:
+        return BAD if _says(bare) else _dense(bare)
+    odds = 0 if _ROW.match(bare) else model.linked(bare)
+    if odds:
+        return BAD if odds > 0 else _dense(bare)
+    return BAD if _says(bare) else _dense(bare)  # a tie
 
 
-def furniture_lines(text: str | None, links: list[int] | None = None) -> list[int]:
-    """The numbers (from 1) of the non-empty lines that are not main body."""
+def furniture_lines(text: str | None, links: list[int] | None = None, model: LinkModel | None = None) -> list[int]:
+    """The numbers (from 1) of the non-empty lines that are not main body; linear in the lines."""
     if not text:
         return []
     linked = set(links or ())
-    lines = text.split("\n")
-    bare = [" ".join(x.split()) for x in lines]
+    bare = [" ".join(x.split()) for x in text.split("\n")]
     rows = [i for i, b in enumerate(bare) if b]
-    keys = ["".join(_AROUND.sub("", bare[i]).lower().split()) if len(bare[i]) < 200 else bare[i] for i in rows]
-    last = {k: j for j, k in enumerate(keys)}
-    # hashes are needed only where there are links
-    marks = [bool(linked) and line_key(bare[i]) in linked for i in rows]
-    labels = []
-    for j, i in enumerate(rows):
-        label = _first_pass(lines[i], bare[i], marks[j] and (last[keys[j]] != j or keys.count(keys[j]) == 1))
-        if label == OPEN and last[keys[j]] > j and len(bare[i]) < 120:
+    keys = ["".join(_AROUND.sub("", bare[i]).lower().split()) for i in rows]
+    first, last, times = {}, {}, Counter(keys)
+    for j, k in enumerate(keys):
+        first.setdefault(k, j)
+        last[k] = j
+    n, labels = len(rows), []
+    for j, (i, key) in enumerate(zip(rows, keys)):
+        # hashes are needed only where there are links; the heading that a contents entry points to has its words
+        marked = bool(linked) and line_key(bare[i]) in linked and (last[key] != j or times[key] == 1)
+        label = _first_pass(bare[i], marked, model)
+        if label == OPEN and last[key] > j and len(bare[i]) < 120:
             label = BAD  # an entry of the contents list
-        elif label == OPEN and keys.index(keys[j]) < j:
+        elif label == OPEN and first[key] < j:
             label = GOOD  # the heading it points to
         if label == OPEN and labels and labels[-1] == GOOD and rows[j - 1] == i - 1 and len(bare[i - 1]) >= 40 and not _SENTENCE_END.search(bare[i - 1]) and not _ITEM.match(bare[i - 1]) and _SENTENCE_END.search(bare[i]):
             label = GOOD  # the end of a wrapped sentence
         labels.append(label)
+    before, after = [-1] * n, [n] * n  # the nearest decided block on either side
+    for j in range(1, n):
+        before[j] = j - 1 if labels[j - 1] else before[j - 1]
+    for j in range(n - 2, -1, -1):
+        after[j] = j + 1 if labels[j + 1] else after[j + 1]
     out = []
-    n = len(rows)
     for j, label in enumerate(labels):
         if label == OPEN:
-            before = next((k for k in range(j - 1, -1, -1) if labels[k]), -1)
-            after = next((k for k in range(j + 1, n) if labels[k]), n)
-            left = labels[before] if before >= 0 else BAD
-            right = labels[after] if after < n else BAD
-            if left == GOOD and right == BAD and not any(x == GOOD for x in labels[after : after + 4]):
+            left = labels[before[j]] if before[j] >= 0 else BAD
+            right = labels[after[j]] if after[j] < n else BAD
+            if left == GOOD and right == BAD and GOOD not in labels[after[j] : after[j] + 4]:
                 label = BAD  # nothing follows that it could head
             elif left == right:
                 label = left
             else:
-                label = left if j - before < after - j else right
+                label = left if j - before[j] < after[j] - j else right
             if label == GOOD and left != right and not _heading_like(bare[rows[j]]):
                 label = BAD
             elif label == BAD and _heading_like(bare[rows[j]]):
                 # a heading belongs to the body after it, over furniture between them
                 follows = next((k for k in range(j + 1, min(n, j + 5)) if labels[k] == GOOD), None)
-                between = follows is not None and all(labels[k] == BAD or _heading_like(bare[rows[k]]) for k in range(j + 1, follows))
-                if between:
+                if follows is not None and all(labels[k] == BAD or _heading_like(bare[rows[k]]) for k in range(j + 1, follows)):
                     label = GOOD
         if label == BAD:
             out.append(rows[j] + 1)
@@ -265,28 +376,48 @@ def _heading_like(line: str) -> bool:
     return len(line) < 120 and bool(_NAME_LIKE.search(line) or line.lower() in _SECTION or len(line.split()) >= 3 and not re.search(r"\(\d+\)$", line))
 
 
-def boilerplate_lines(docs: DataFrame, pages: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "clean_text", path_col: str = "raw_file_path", html_col: str = "html") -> DataFrame:
+def _linked(docs: DataFrame, pages: DataFrame | None, text_col: str, path_col: str, html_col: str, sample_pages: int) -> tuple[DataFrame, LinkModel | None, str]:
+    """`docs` with a further column of the hashes of the linked blocks of each page, the model, and the column's name."""
+    links = free_name(docs, "links")
+    if pages is None or path_col not in docs.columns:
+        return docs.withColumn(links, F.lit(None).cast("array<bigint>")), None, links
+    blocks = map_lists(pages.where(F.col(path_col).isNotNull()).select(path_col, html_col), lambda p, h: [p, [x and xxhash.xxh64_intdigest(x) >> 1 for x in h], [link_blocks(x) for x in h]], "path string, h bigint, links array<bigint>", rows=128)
+    path, key = free_name(docs, "path"), free_name(docs, "key")
+    blocks = cut(blocks.groupBy(F.col("path").alias(path)).agg(F.max_by("links", "h").alias(links)))
+    # null paths join nothing; they are spread over the partitions by their text
+    own = docs.withColumn(path, F.coalesce(path_col, F.concat(F.lit("\x00"), F.xxhash64(text_col).cast("string"))))
+    both = own.join(blocks, path, "left").select(*docs.columns, links)
+    wanted = docs.where(F.col(text_col).isNotNull()).select(F.col(path_col).alias(key), F.xxhash64(text_col).alias("h"))
+    known = blocks.where(F.size(links) > 0).select(F.col(path).alias(key))
+    # the sample is chosen by hash before any text moves; its paths are `sample_pages` at most
+    chosen = F.broadcast(cut(wanted.join(known, key, "left_semi").orderBy("h", key).limit(sample_pages).select(key).distinct()))
+    texts = docs.select(F.col(path_col).alias(key), F.col(text_col).alias("text")).join(chosen, key, "left_semi")
+    marks = blocks.select(F.col(path).alias(key), F.col(links).alias("links")).join(chosen, key, "left_semi")
+    return both, link_model(texts.join(marks, key).select("text", "links"), sample_pages), links
+
+
+def boilerplate_lines(docs: DataFrame, pages: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "clean_text", path_col: str = "raw_file_path", html_col: str = "html", sample_pages: int = 20_000) -> DataFrame:
     """(id_col, line_no): each non-empty line that is not main body."""
-    return _judged(docs, pages, id_col, text_col, path_col, html_col).select(F.col("id").alias(id_col), F.explode("furniture").alias("line_no")).distinct()
-
-
-def _judged(docs, pages, id_col, text_col, path_col, html_col) -> DataFrame:
-    flat = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(path_col).alias("path") if path_col in docs.columns else F.lit(None).cast("string").alias("path"))
-    if pages is None:
-        both = flat.withColumn("links", F.lit(None).cast("array<bigint>"))
-    else:
-        blocks = map_lists(pages.where(F.col(path_col).isNotNull()).select(path_col, html_col), lambda p, h: [p, [link_blocks(x) for x in h]], "path string, links array<bigint>", rows=128).dropDuplicates(["path"])
-        # null paths join nothing; spread over the partitions by id
-        key = F.coalesce("path", F.concat(F.lit("\x00"), F.col("id").cast("string")))
-        both = flat.withColumn("key", key).join(blocks.withColumnRenamed("path", "key"), "key", "left")
-    kind = flat.schema["id"].dataType.simpleString()
-    return map_lists(both.select("id", "text", "links"), lambda i, t, k: [i, [furniture_lines(a, b) for a, b in zip(t, k)]], f"id {kind}, furniture array<int>", rows=128)
-
-
-def main_body(docs: DataFrame, pages: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "clean_text", path_col: str = "raw_file_path", html_col: str = "html") -> DataFrame:
-    """`docs` with only the main body in `text_col`; other columns and rows as they were."""
-    gone, key = free_name(docs, "furniture"), free_name(docs, "key")
-    found = boilerplate_lines(docs, pages, id_col, text_col, path_col, html_col).groupBy(F.col(id_col).alias(key)).agg(F.collect_list("line_no").alias(gone))
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda line, i: ~F.array_contains(F.col(gone), (i + 1).cast("int"))), "\n")
-    joined = docs.join(found, docs[id_col].eqNullSafe(F.col(key)), "left")
-    return joined.withColumn(text_col, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns)
+    flat = docs.select(id_col, text_col, *([path_col] if path_col in docs.columns else []))
+    both, model, links = _linked(flat, pages, text_col, path_col, html_col, sample_pages)
+    kind = flat.schema[id_col].dataType.simpleString()
+    judged = map_lists(both.select(id_col, text_col, links), lambda i, t, k: [i, [furniture_lines(a, b, model) for a, b in zip(t, k)]], f"id {kind}, furniture array<int>", rows=128)
+    return judged.select(F.col("id").alias(id_col), F.explode("furniture").alias("line_no")).distinct()
+
+
+def main_body(docs: DataFrame, pages: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "clean_text", path_col: str = "raw_file_path", html_col: str = "html", sample_pages: int = 20_000) -> DataFrame:
+    """`docs` with only the main body in `text_col`; other columns and rows as they were. Each row is judged by its own text."""
+    both, model, links = _linked(docs, pages, text_col, path_col, html_col, sample_pages)
+    at = docs.columns.index(text_col)
+
+    def rule(*columns):
+        *columns, marks = columns
+        texts = []
+        for text, own in zip(columns[at], marks):
+            gone = set(furniture_lines(text, own, model))
+            texts.append(text if not gone else "\n".join(x for i, x in enumerate(text.split("\n"), 1) if i not in gone))
+        columns[at] = texts
+        return columns
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return map_lists(both.select(*docs.columns, links), rule, fields, rows=128)

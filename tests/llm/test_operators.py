@@ -83,13 +83,50 @@ def test_cues_and_menus_of_any_length():
 
 
 def test_main_body_keeps_rows_and_columns(spark):
-    d = docs(spark, [PAGE, None, ""], furniture=["a", "b", "c"], key="k")
+    d = docs(spark, [PAGE, None, ""], furniture=["a", "b", "c"], key="k", links="l", path="p")
     out = boilerplate.main_body(d, None)
     assert out.columns == d.columns and out.count() == 3
     assert "cookie" not in out.orderBy("doc_id").first()["clean_text"] and "Every session owns" in out.orderBy("doc_id").first()["clean_text"]
     assert boilerplate.boilerplate_lines(d.limit(0), None).count() == 0
 
 
+def test_rows_of_one_id_are_judged_each_by_its_text(spark):
+    own, other = "Home | Guides | Reference\nThis is the body of the first text, which is as long as it must be.", "This is the other text of the same id, and it is all body.\nHome | Guides | Reference"
+    d = spark.createDataFrame([("x", own), ("x", other), (None, own), (None, None)], "doc_id string, clean_text string")
+    got = sorted(r["clean_text"] or "" for r in boilerplate.main_body(d).collect())
+    assert got == sorted(["", own.split("\n")[1], own.split("\n")[1], other.split("\n")[0]])
+
+
+def learned_pages(n):
+    """Pages whose furniture says things that no phrase list knows, with their HTML."""
+    body = ["The worker reads the payload when it is asked for it, and then it writes the schema.", "Every session owns a table which the reader opens before the batch is closed."]
+    lines = ["Zorble wumpkin frand", "Brindle the quonk of your friends for a while and more", *body, "Snarfle this with everyone you know"]
+    html = "<body><nav><a href='/1'>{}</a></nav>\n<nav><a href='/2'>{}</a></nav>\n<p>{}</p>\n<p>{}</p>\n<footer>{}</footer></body>".format(*lines)
+    return "\n".join(lines), html
+
+
+def test_link_density_is_learned_for_pages_without_html(spark):
+    text, page = learned_pages(0)
+    d = spark.createDataFrame([(f"d{k}", f"{text}\nThe end of page {k} is a sentence of its own.", f"p{k}" if k < 12 else None) for k in range(16)], "doc_id string, clean_text string, raw_file_path string")
+    pages = spark.createDataFrame([(f"p{k}", page) for k in range(12)], "raw_file_path string, html string")
+    found = set(rows(boilerplate.boilerplate_lines(d, pages), "doc_id", "line_no"))
+    assert found == {(f"d{k}", i) for k in range(16) for i in (1, 2, 5)}
+    # without HTML nothing tells them from headings and sentences
+    assert ("d15", 2) not in set(rows(boilerplate.boilerplate_lines(d, None), "doc_id", "line_no"))
+
+
+def test_long_pages_are_linear():
+    import time
+
+    took = []
+    for n in (4000, 16000):
+        text = "\n".join(f"Entry {k} of it" for k in range(n))
+        began = time.perf_counter()
+        boilerplate.furniture_lines(text)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0]
+
+
 # ---- 2: splitting --------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("text", ["word " * 500, "x" * 3000, "A sentence ends. " * 200, "一" * 1500 + "。" + "二" * 900, "a\u0301" * 1200, "Para.\n\nPara two is here.\n" * 90, "👩‍👩‍👧" * 400])
 @pytest.mark.parametrize("most, overlap", [(100, 0), (100, 20), (720, 80), (7, 3)])
