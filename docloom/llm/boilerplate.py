@@ -207,38 +207,64 @@ def _unspaced(c: str) -> bool:
     return "\u0e00" <= c <= "\u0eff" or "\u3040" <= c <= "\u9fff" or "\uac00" <= c <= "\ud7a3"
 
 
-def block_features(line: str) -> tuple[set[str], list[str]]:
-    """The words, pairs of words and the openings of a block: in lower case, digits as #, identifiers as @,
-    scripts without spaces in pairs of characters."""
-    words = []
-    for w in line.split():
-        bare = w.strip(_EDGES)
-        if bare and any(map(_unspaced, bare)):
-            words += [bare[i : i + 2] for i in range(max(1, len(bare) - 1))]
-        elif _CODE_WORD.fullmatch(bare):
-            words.append("@")
+_FORMS: dict[str, tuple[str, ...]] = {}
+
+
+def _forms(word: str) -> tuple[str, ...]:
+    """A word in lower case, digits as #, an identifier as @, scripts without spaces in pairs of characters; remembered, since words recur."""
+    own = _FORMS.get(word)
+    if own is None:
+        bare = word.strip(_EDGES)
+        if bare and not bare.isascii() and any(map(_unspaced, bare)):
+            own = tuple(bare[i : i + 2] for i in range(max(1, len(bare) - 1)))
         else:
-            words.append(_RUN.sub("#", (bare or w).lower()))
-    openings = ["^" + " ".join(words[:k]) for k in (4, 3, 2) if len(words) >= k]
-    head = line.split(None, 1)[0].lower()
+            own = ("@",) if _CODE_WORD.fullmatch(bare) else (_RUN.sub("#", (bare or word).lower()),)
+        if len(_FORMS) >= 200_000:
+            _FORMS.clear()
+        _FORMS[word] = own
+    return own
+
+
+def _openings(words: list[str]) -> list[str]:
+    """The openings of a block of (raw) words: up to four words, and a first one with a mark, such as "related:" or an arrow."""
+    if not words:
+        return []
+    start = [f for w in words[:4] for f in _forms(w)][:4]
+    out = ["^" + " ".join(start[:k]) for k in range(2, len(start) + 1)]
+    head = words[0].lower()
     if len(head) < 24 and not head[-1].isalnum() and not _RUN.search(head):
-        openings.append("^^" + head)  # "related:", an arrow
-    return {*words, *map(" ".join, zip(words, words[1:]))}, openings
+        out.append("^^" + head)
+    return out
+
+
+def _word_features(words: list[str]) -> set[str]:
+    forms = [f for w in words for f in _forms(w)]
+    return {*forms, *map(" ".join, zip(forms, forms[1:]))}
+
+
+def block_features(line: str) -> tuple[set[str], list[str]]:
+    """The words with their pairs, and the openings of a block."""
+    words = line.split()
+    return _word_features(words), _openings(words)
 
 
 class LinkModel:
-    """Estimated link density of blocks by their words: log-odds of being linked."""
+    """Estimated link density of blocks: log-odds of being linked, by their opening and, for blocks shorter than a paragraph, all words."""
 
-    def __init__(self, weights: dict[str, float], sure: float = 3.0, body: float = -9.0) -> None:
-        self.weights, self.sure, self.body = weights, sure, body
+    def __init__(self, weights: dict[str, float], sure: float = 3.0, body: float = -9.0, paragraph: int = 200) -> None:
+        self.weights, self.sure, self.body, self.paragraph = weights, sure, body, paragraph
 
     def linked(self, line: str) -> int:
         """1 for a block that is linked by all odds, -1 for one that is not, 0 for neither."""
-        words, openings = block_features(line)
-        opening = max((self.weights[o] for o in openings if o in self.weights), default=0.0)
-        known = [self.weights[w] for w in words if w in self.weights]
+        long = len(line) >= self.paragraph
+        words = line.split(None, 4) if long else line.split()
+        if any(self.weights.get(o, 0.0) > self.sure for o in _openings(words)):
+            return 1
+        if long:
+            return 0
+        known = [self.weights[w] for w in _word_features(words) if w in self.weights]
         odds = sum(known) / math.sqrt(len(known)) if known else 0.0
-        return 1 if opening > self.sure or odds > self.sure else -1 if odds < self.body else 0
+        return 1 if odds > self.sure else -1 if odds < self.body else 0
 
 
 def labelled_blocks(text: str, links: list[int]) -> set[tuple[str, bool]]:
@@ -271,12 +297,10 @@ def _label_counts(batches):
     yield rows()
 
 
-def link_model(labelled: DataFrame, sample_pages: int = 20_000, least: int = 3) -> LinkModel | None:
-    """The model of `labelled` (text, links): pages and the hashes of their linked blocks. At most `sample_pages` pages, in the order of
-    their hashes, are counted, which bounds what comes to the driver; features seen `least` times or more count. None without linked blocks."""
-    pages = labelled.where("text is not null and size(links) > 0").select("text", "links", F.xxhash64("text").alias("h"))
-    sample = pages.orderBy("h").limit(sample_pages).select("text", "links")
-    counts = sample.mapInArrow(_label_counts, "feature string, linked bigint, plain bigint").groupBy("feature").agg(F.sum("linked").alias("linked"), F.sum("plain").alias("plain"))
+def link_model(sample: DataFrame, least: int = 3) -> LinkModel | None:
+    """The model of a bounded sample (text, links) of pages and the hashes of their linked blocks; features seen `least`
+    times or more count. None without linked blocks."""
+    counts = sample.select("text", "links").mapInArrow(_label_counts, "feature string, linked bigint, plain bigint").groupBy("feature").agg(F.sum("linked").alias("linked"), F.sum("plain").alias("plain"))
     rows = counts.where(F.col("linked") + F.col("plain") >= least).collect()
     all_ = next(((r["linked"], r["plain"]) for r in rows if not r["feature"]), (0, 0))
     if not all(all_):
@@ -393,7 +417,7 @@ def _linked(docs: DataFrame, pages: DataFrame | None, text_col: str, path_col: s
     chosen = F.broadcast(cut(wanted.join(known, key, "left_semi").orderBy("h", key).limit(sample_pages).select(key).distinct()))
     texts = docs.select(F.col(path_col).alias(key), F.col(text_col).alias("text")).join(chosen, key, "left_semi")
     marks = blocks.select(F.col(path).alias(key), F.col(links).alias("links")).join(chosen, key, "left_semi")
-    return both, link_model(texts.join(marks, key).select("text", "links"), sample_pages), links
+    return both, link_model(texts.join(marks, key)), links
 
 
 def boilerplate_lines(docs: DataFrame, pages: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "clean_text", path_col: str = "raw_file_path", html_col: str = "html", sample_pages: int = 20_000) -> DataFrame:
