@@ -1,12 +1,15 @@
 """Problem 5: residue of HTML, Markdown, wiki and LaTeX markup.
 
-One pass over the lines of a text finds the residue of each language and rewrites it: headings become
-lines of their own, list lines start with the bullet sign, code lines are kept verbatim between
-indents, formulas are kept as they are written, links and emphasis leave their text. `main_span`
-then applies the line-block distribution: text lengths are summed over a sliding window of lines; a
-surge opens and a dive closes the kept span, so that leading and trailing markup debris (empty
-wrappers, link lists) falls away. Lines that the rewriting knows as heading, list item, code or formula stay wherever
-they are, except list items that are nothing but a link.
+`strip_markup` finds the residue of each language by its rules and rewrites it: headings become lines of
+their own, list lines start with the bullet sign, code is kept as it is written, formulas stay, links and
+emphasis leave their text. Code is held apart first, so that no other rule touches it. Then the line-block
+distribution decides what is text: the lengths of the lines, of which lines that are nothing but a link have
+none, are summed over a sliding window; a surge of the sum opens a stretch of text, a dive to nothing
+closes it, and what lies outside all stretches (debris of markup, lists of links) goes. Lines that the
+rewriting knows as heading, list item, code or formula stay wherever they are.
+
+The rows of `residue_rows` are the languages that the first step of the same pass found in each field.
+They do not depend on the line-block distribution, which says where text is and not what markup is.
 
 Everything is per row: no shuffle, one Arrow pass, each language guarded by the characters it needs.
 
@@ -52,11 +55,13 @@ _MD_ROW = re.compile(r"^[ \t]*\|(.+)\|[ \t]*$", re.M)
 
 _WK_LINK = re.compile(r"\[\[(?:[^\[\]|\n]*\|)?([^\[\]|\n]+)\]\]")
 _WK_CALL = re.compile(r"\{\{((?:[^{}\n]|\{[^{}\n]*\})+)\}\}")
+_WK_CITE = re.compile(r"[ ]*(?:cit[a-z]*|refs?|refn|efn|sfn|fn)(?:[ ][^|]*)?\|", re.I)
 _WK_QUOTE = re.compile(r"(?<!')('{2,3}|'{5})(?=[^'\s])([^\n]*?[^'\s])\1(?!')")
 _WK_HEAD = re.compile(r"^[ \t]*(={2,6})[ \t]*([^=\n](?:.*?[^=\s])?)[ \t]*\1[ \t]*$", re.M)
 _WK_TABLE = re.compile(r"^[ \t]*(?:\{\|.*|\|\}|\|-+|\|\+.*)[ \t]*$", re.M)
+_WK_TABLE_LINE = re.compile(_WK_TABLE.pattern + r"\n?", re.M)
 _WK_CELLS = re.compile(r"^[ \t]*[!|][ \t]*(.+(?:!!|\|\|).+)$", re.M)
-_WK_ITEM = re.compile(r"^([*#:;]+)[ \t]*(?=\S)", re.M)
+_WK_ITEM = re.compile(r"^[*#:;]+(?:[ \t]+(?=\S)|(?=\[\[|''))")
 
 _TX_ENV = re.compile(r"\\(begin|end)\{([a-zA-Z]+\*?)\}(?:\[[^\]\n]*\]|\{[^{}\n]*\})?")
 _TX_HEAD = re.compile(r"\\(?:part|chapter|(?:sub){0,2}section|(?:sub)?paragraph)\*?\{([^{}\n]*)\}")
@@ -98,83 +103,107 @@ def residue(text: str | None) -> tuple[str, ...]:
     return tuple(found)
 
 
+# Marks that the rules leave in a text, of characters that no text holds: a break, a line of code, a heading, a line that is one link, something held.
+_BREAK, _CODE, _HEAD, _LINK, _HELD = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3", "\ufdd4"
+
+_FENCED = re.compile(r"^[ \t]*(```|~~~)[\w+-]*[ \t]*(?:\n|\Z)(.*?)(?:^[ \t]*\1[ \t]*$|\Z)", re.M | re.S)
+_VERBATIM = re.compile(r"\\begin\{(verbatim|lstlisting|minted)\*?\}(?:\[[^\]\n]*\]|\{[^{}\n]*\})?\n?(.*?)(?:\\end\{\1\*?\}|\Z)", re.S)
+_PRE = re.compile(r"<pre\b[^<>]*>(.*?)(?:</pre\s*>|\Z)", re.S | re.I)
+_HELD_AT = re.compile(f"{_HELD}([0-9]+){_HELD}")
+_HTML_LINK_ITEM = re.compile(r"<li\b[^<>]*>\s*(?=<a\b[^<>]*>(?:(?!</a).)*</a\s*>\s*</li\s*>)", re.S | re.I)
+_WK_LINK_ITEM = re.compile(r"^[*#:;]+[ \t]*(?=\[\[[^\[\]\n]+\]\][ \t]*$)", re.M)
+_MD_LINK_ITEM = re.compile(r"^([ \t]*)(?:[*+-]|[0-9]{1,3}\.)[ \t]+(?=\[[^\[\]\n]*\]\([^()\s]+\)[ \t]*$)", re.M)
+_FORMULA = re.compile(r"\$\$|\\begin\{(?:equation|align|math|displaymath)")
+
+
+def _unescape(text: str) -> str:
+    for _ in range(2):  # some entities are escaped twice
+        text = html.unescape(text)
+    return text.replace("\xa0", " ")
+
+
+def _hold_code(text: str, found: tuple[str, ...], held: list[str]) -> str:
+    """The text with its code taken out."""
+
+    def hold(content: str) -> str:
+        held.append(content)
+        return f"{_HELD}{len(held) - 1}{_HELD}"
+
+    def block(content: str, indent: str) -> str:
+        return hold("\n".join(_CODE + indent + x for x in content.strip("\n").split("\n"))) if content.strip() else ""
+
+    if "markdown" in found and ("```" in text or "~~~" in text):
+        text = _FENCED.sub(lambda m: block(m[2], "    "), text)
+    if "latex" in found and "\\begin{" in text:
+        text = _VERBATIM.sub(lambda m: block(m[2], "    "), text)
+    if "html" in found and "<" in text:
+        text = _PRE.sub(lambda m: _BREAK + block(_unescape(_TAG.sub("", m[1])), "") + _BREAK, text)
+    if "markdown" in found and "`" in text:
+        text = _MD_CODE.sub(lambda m: hold(m[1]), text)
+    return text
+
+
 def _from_html(text: str) -> str:
     text = _COMMENT.sub("", text)
     text = re.sub(r"<(script|style)\b[^<>]*>.*?</\1\s*>", "", text, flags=re.I | re.S)
-    text = re.sub(r"[ \t]*<h([1-6])\b[^<>]*>[ \t]*", "\n", text, flags=re.I)
-    text = re.sub(r"[ \t]*<li\b[^<>]*>[ \t]*", "\n• ", text, flags=re.I)
-    text = re.sub(r"</(?:h[1-6]|li|p|div|pre|tr|table|ul|ol|blockquote|section|article)\s*>", "\n", text, flags=re.I)
-    text = re.sub(r"<(?:p|div|pre|tr|table|ul|ol|blockquote|section|article)\b[^<>]*>", "\n", text, flags=re.I)
+    text = re.sub(r"[ \t]*<(?:h[1-6]|title)\b[^<>]*>[ \t]*", _BREAK + _HEAD, text, flags=re.I)
+    text = _HTML_LINK_ITEM.sub(f"{_BREAK}• {_LINK}", text)
+    text = re.sub(r"[ \t]*<li\b[^<>]*>[ \t]*", f"{_BREAK}• ", text, flags=re.I)
     text = re.sub(r"</t[dh]\s*>\s*<t[dh]\b[^<>]*>", " | ", text, flags=re.I)
+    text = re.sub(r"</?(?:h[1-6]|title|li|p|div|tr|table|ul|ol|blockquote|section|article)\b[^<>]*>", _BREAK, text, flags=re.I)
     text = re.sub(r"<br\b[^<>]*>", " ", text, flags=re.I)
-    text = _TAG.sub("", text)
-    for _ in range(2):  # some entities are escaped twice
-        text = html.unescape(text)
-    return re.sub(r"\n{2,}", "\n", text).replace("\xa0", " ")
+    return _unescape(_TAG.sub("", text))
+
+
+def _wiki_items(text: str) -> str:
+    """Bullets for wiki list lines: those with wiki markup, and runs of two and more; a single "# line" is none."""
+    lines = text.split("\n")
+    item = [bool(_WK_ITEM.match(x)) for x in lines]
+    for i, line in enumerate(lines):
+        if item[i] and (line[0] in "*:;" or _WK_LINK.search(line) or _WK_QUOTE.search(line) or i and item[i - 1] or i + 1 < len(lines) and item[i + 1]):
+            lines[i] = _WK_ITEM.sub("• ", line)
+    return "\n".join(lines)
 
 
 def _from_wiki(text: str) -> str:
-    text = _WK_HEAD.sub(r"\2", text)
-    text = _WK_TABLE.sub("", text)
+    text = _WK_HEAD.sub(_HEAD + r"\2", text)
+    text = _WK_TABLE_LINE.sub("", text)
     text = _WK_CELLS.sub(lambda m: " | ".join(x.strip() for x in re.split(r"!!|\|\|", m[1])), text)
+    text = _wiki_items(_WK_LINK_ITEM.sub(f"• {_LINK}", text))
     text = _WK_LINK.sub(r"\1", text)
-    text = _WK_CALL.sub(lambda m: re.sub(r"^\d+=", "", m[1].partition("|")[2] or m[1]), text)
-    text = _WK_QUOTE.sub(r"\2", text)
-    return _WK_ITEM.sub("• ", text)
+    text = _WK_CALL.sub(lambda m: "" if _WK_CITE.match(m[1]) else re.sub(r"^\d+=", "", m[1].partition("|")[2] or m[1]), text)
+    return _WK_QUOTE.sub(r"\2", text)
 
 
 def _from_markdown(text: str) -> str:
-    out, code = [], False
+    out = []
     for line in text.split("\n"):
-        if _MD_FENCE.match(line):
-            code = not code
-        elif code:
-            out.append("    " + line)
-        elif not _MD_RULE.match(line):
-            line = _MD_ANCHOR.sub("", _MD_HEAD.sub(r"\2", line))
-            line = _MD_ITEM.sub(r"\1• ", line)
-            line = _MD_LINK.sub(r"\2", line)
-            line = _MD_STRIKE.sub(r"\1", _MD_BOLD.sub(r"\1", line))
-            line = _MD_EM.sub(r"\1", _MD_CODE.sub(r"\1", line))
-            out.append(_MD_ROW.sub(lambda m: m[1].strip(), line))
+        if _MD_FENCE.match(line) or _MD_RULE.match(line):
+            continue
+        line = _MD_ANCHOR.sub("", _MD_HEAD.sub(_HEAD + r"\2", line))
+        line = _MD_ITEM.sub(r"\1• ", _MD_LINK_ITEM.sub(rf"\1• {_LINK}", line))
+        line = _MD_LINK.sub(r"\2", line)
+        line = _MD_EM.sub(r"\1", _MD_STRIKE.sub(r"\1", _MD_BOLD.sub(r"\1", line)))
+        out.append(_MD_ROW.sub(lambda m: m[1].strip(), line))
     return "\n".join(out)
 
 
 def _from_latex(text: str) -> str:
-    out, code = [], False
+    out = []
     for line in text.split("\n"):
         env = _TX_ENV.search(line)
-        if env and env[2].rstrip("*") in ("verbatim", "lstlisting", "minted"):
-            code = env[1] == "begin"
-            line = _TX_ENV.sub("", line)
-            if line.strip():
-                out.append(line)
-        elif code:
-            out.append("    " + line)
-        else:
-            line = _TX_HEAD.sub(r"\1", _TX_GONE.sub("", line))
-            line = _TX_ITEM.sub(lambda m: "• " + (m[1] + " " if m[1] else ""), line)
-            kept = [line] if not _TX_ENV.search(line) or re.search(r"\{(?:equation|align|math|displaymath)", line) else [_TX_ENV.sub("", line)]
-            line = _TX_HREF.sub(r"\1", kept[0])
-            for _ in range(3):
-                line = _TX_TEXT.sub(r"\1", line)
-            if line.strip() or not env:
-                out.append(line)
+        line = _TX_HEAD.sub(_HEAD + r"\1", _TX_GONE.sub("", line))
+        line = _TX_ITEM.sub(lambda m: "• " + (m[1] + " " if m[1] else ""), line)
+        line = line if not _TX_ENV.search(line) or _FORMULA.search(line) or re.search(r"\\end\{(?:equation|align|math|displaymath)", line) else _TX_ENV.sub("", line)
+        line = _TX_HREF.sub(r"\1", line)
+        for _ in range(3):
+            line = _TX_TEXT.sub(r"\1", line)
+        if line.strip() or not env:
+            out.append(line)
     return "\n".join(out)
 
 
-_RULES = {"html": _from_html, "wiki": _from_wiki, "markdown": _from_markdown, "latex": _from_latex}
-_ORDER = ("html", "wiki", "markdown", "latex")
-
-
-_HEADS = {"html": re.compile(r"<(h[1-6]|title)\b[^<>]*>.*?</\1\s*>", re.S | re.I), "wiki": _WK_HEAD, "markdown": _MD_HEAD, "latex": _TX_HEAD}
-_CODE_BLOCK = re.compile(r"<pre\b[^<>]*>.*?</pre\s*>", re.S | re.I)
-_LINK_ITEM = {
-    "html": re.compile(r"<li\b[^<>]*>\s*<a\b[^<>]*>(?:(?!</a).)*</a\s*>\s*</li\s*>", re.S | re.I),
-    "wiki": re.compile(r"^[*#:;]+[ \t]*\[\[[^\[\]\n]+\]\][ \t]*$", re.M),
-    "markdown": re.compile(r"^[ \t]*(?:[*+-]|[0-9]{1,3}\.)[ \t]+\[[^\[\]\n]*\]\([^()\s]+\)[ \t]*$", re.M),
-}
-_FORMULA = re.compile(r"\$\$|\\begin\{(?:equation|align|math|displaymath)")
+_RULES = (("html", _from_html), ("wiki", _from_wiki), ("markdown", _from_markdown), ("latex", _from_latex))
 
 
 def _wide(c: str) -> bool:
@@ -187,22 +216,23 @@ def _size(line: str) -> int:
     return len(line) if line.isascii() else len(line) + 2 * sum(map(_wide, line))
 
 
-def main_span(lines: list[str], window: int = 3, surge: int = 60) -> tuple[int, int]:
-    """Line-block distribution: [first, last) lines between the first surge and the last dive.
-    A block is the summed text length of `window` lines; a surge is a block above `surge`
-    characters, a dive is where blocks fall to nothing. Without any surge all lines stay."""
-    sizes = [_size(x) for x in lines]
-    n = len(sizes)
-    blocks = [sum(sizes[i : i + window]) for i in range(n)]
-    rises = [i for i in range(n) if blocks[i] > surge]
-    if not rises:
-        return 0, n
-    first, last = rises[0], rises[-1] + window
-    while first > 0 and sizes[first - 1]:  # headings and lists that touch the surge
-        first -= 1
-    while last < n and sizes[last]:
-        last += 1
-    return first, min(last, n)
+def text_spans(sizes: list[int], window: int = 3, surge: int = 60) -> list[tuple[int, int]]:
+    """Line-block distribution: the stretches [first, last) of lines that are text. A block is the summed length of `window`
+    lines; a block above `surge` opens a stretch, with the lines that touch it from above; a dive, a block
+    without any text, closes it. Without any surge all lines stay."""
+    n, out, i = len(sizes), [], 0
+    blocks = [sum(sizes[k : k + window]) for k in range(n)]
+    while i < n:
+        if blocks[i] <= surge:
+            i += 1
+            continue
+        first, low = next(k for k in range(i, n) if sizes[k]), out[-1][1] if out else 0
+        while first > low and sizes[first - 1]:
+            first -= 1
+        while i < n and blocks[i]:
+            i += 1
+        out.append((first, i))
+    return out or [(0, n)]
 
 
 def plain_text(text: str | None, found: tuple[str, ...] | None = None) -> str | None:
@@ -212,24 +242,36 @@ def plain_text(text: str | None, found: tuple[str, ...] | None = None) -> str |
     found = residue(text) if found is None else found
     if not found:
         return text
-    marked: list[str] = []  # headings and code as they are rewritten
-    links: list[str] = []  # list items that are nothing but a link
-    for name in _ORDER:
+    held: list[str] = []
+    text = _hold_code(text, found, held)
+    for name, rule in _RULES:
         if name in found:
-            rule = _RULES[name]
-            marked = [rule(x) for x in marked + [m.group() for m in _HEADS[name].finditer(text)] + (_CODE_BLOCK.findall(text) if name == "html" else [])]
-            links = [rule(x) for x in links + ([m.group() for m in _LINK_ITEM[name].finditer(text)] if name in _LINK_ITEM else [])]
             text = rule(text)
-    lines = [x.rstrip() for x in text.split("\n")]
-    a, b = main_span(lines)
-    stay, go = ({x.strip() for y in z for x in y.split("\n") if x.strip()} for z in (marked, links))
-    kept = [x for i, x in enumerate(lines) if a <= i < b or x.strip() in stay or x.strip() not in go and _is_marked(x)]
-    return "\n".join(kept).strip("\n")
+    text = re.sub(f"\n?{_BREAK}(?:[ \t]*\n?[ \t]*{_BREAK})*\n?", "\n", text)
+    while _HELD in text:
+        text = _HELD_AT.sub(lambda m: held[int(m[1])], text)
+    lines = text.split("\n")
+    stays = [_CODE in x or _HEAD in x or _LINK not in x and _is_marked(x) for x in lines]
+    links = [_LINK in x for x in lines]
+    lines = [re.sub(f"[{_BREAK}-{_HELD}]", "", x).rstrip() for x in lines]
+    spans = text_spans([0 if link else _size(x) for x, link in zip(lines, links)])
+    inside = [False] * len(lines)
+    for a, b in spans:
+        inside[a:b] = [True] * (b - a)
+    out, blank, kept = [], [], False
+    for x, keep, mark in zip(lines, inside, stays):
+        if not x.strip():
+            blank.append(x)  # empty lines stay between lines that stay
+            continue
+        now = keep or mark
+        out += [*(blank if kept and now else []), x] if now else []
+        blank, kept = [], now
+    return "\n".join(out)
 
 
 def _is_marked(line: str) -> bool:
-    """Whether a rewritten line is a list item, code or a formula."""
-    return line.lstrip().startswith("• ") or line.startswith("    ") and bool(line.strip()) or bool(_FORMULA.search(line) or _TX_MATH.search(line))
+    """Whether a rewritten line is a list item or a formula."""
+    return line.lstrip().startswith("• ") or bool(_FORMULA.search(line) or _TX_MATH.search(line))
 
 
 def strip_markup(docs: DataFrame, text_cols: tuple[str, ...] = ("clean_text", "section_title"), suffix: str = "_markup") -> DataFrame:

@@ -382,13 +382,37 @@ def test_marked_lines_outside_the_span_stay():
     assert markup.plain_text(f"# Title{gap}* item{gap}{body}{gap}```\nx = 1\n```{gap}$x^{{2}}${gap}* [link](http://x){gap}debris").split() == f"Title • item {body.replace('**', '')} x = 1 $x^{{2}}$".split()
     assert markup.plain_text(f"== Head =={gap}{body}{gap}\\section{{End}}").split("\n")[0] == "Head"
     assert markup.plain_text(f"<h1>Top</h1>\n<p>{body}</p>{gap}<pre>y &lt; 2</pre>").split("\n")[-1] == "y < 2"
-    assert markup.main_span(["", "", "", "", "拡張は次の行を読み、それから書きます。終わり。", "", "", "", ""]) != (0, 9)
+    sizes = [markup._size(x) for x in ["", "", "", "", "拡張は次の行を読み、それから書きます。終わり。", "", "", "", ""]]
+    assert markup.text_spans(sizes) == [(4, 5)]
+
+
+def test_code_and_structure_survive_other_rules():
+    """Each text holds several languages, of which one would spoil what another keeps."""
+    long = "A sentence that is long enough to be a surge of the page, and it has [[Page|a link]] in it."
+    got = markup.plain_text(f"## Heading two\n{long}\n#include <stdio.h>\n**bold** words here").split("\n")
+    assert got == ["Heading two", long.replace("[[Page|a link]]", "a link"), "#include <stdio.h>", "bold words here"]
+    got = markup.plain_text(f"# one [[A]]\n# two\n\n* three\n; four\n{long}").split("\n")
+    assert got[:5] == ["• one A", "• two", "", "• three", "• four"]
+    code = "```html\n<p>x &lt; 1 &amp;&amp; y</p>\n\n**kw and [[x]] and \\textbf{y}\n```"
+    got = markup.plain_text(f"A &amp; B\n\n{long}\n\n{code}\nuse `&lt;b&gt;` so\n\nThe end of <b>it</b> is a sentence.")
+    assert got.split("\n") == ["A & B", "", long.replace("[[Page|a link]]", "a link"), "", "    <p>x &lt; 1 &amp;&amp; y</p>", "", "    **kw and [[x]] and \\textbf{y}", "use &lt;b&gt; so", "", "The end of it is a sentence."]
+    got = markup.plain_text(f"<p>{long}</p>\n<pre>f(**kw)\n  a &lt; b</pre>\n<p>One</p>\n\n<p>Two</p>").split("\n")
+    assert got[-5:] == ["f(**kw)", "  a < b", "One", "", "Two"]
+    got = markup.plain_text("\\begin{verbatim}\n\\textbf{x} [[y]]\n\\end{verbatim}\nIt is \\emph{so} and [[that]] too.")
+    assert got.split("\n") == ["    \\textbf{x} [[y]]", "It is so and that too."]
+
+
+def test_lists_of_links_inside_a_text_go():
+    body = "A paragraph of text that is long enough to be a surge of the page, with **bold** words."
+    links = "\n".join(f"* [Page {k}](http://x/{k})" for k in range(5))
+    got = markup.plain_text(f"{body}\n\n{links}\n\n{body}\n* an item of the text\n* another")
+    assert "Page" not in got and got.count("A paragraph") == 2 and got.endswith("• an item of the text\n• another")
 
 
-def test_main_span():
-    lines = ["", "nav", "", *["x" * 50] * 5, "", "", "foot"]
-    a, b = markup.main_span(lines)
-    assert a <= 3 and b >= 8 and markup.main_span([]) == (0, 0) and markup.main_span(["a", "b"]) == (0, 2)
+def test_text_spans():
+    lines = ["", "nav", "", *["x" * 50] * 5, "", "", "", "foot", "", "", *["y" * 70] * 2]
+    assert markup.text_spans(list(map(len, lines))) == [(3, 8), (14, 16)]
+    assert markup.text_spans([]) == [(0, 0)] and markup.text_spans([1, 1]) == [(0, 2)]
 
 
 def test_markup_frames(spark):
