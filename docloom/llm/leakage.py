@@ -9,13 +9,15 @@ Bit sampling takes `bits` steps of the walk for each of `samples` repetitions; e
 candidate, which is then verified exactly: a run of at least `min_run` equal characters through the
 window, or, with `max_edits`, an item window within that many edits.
 
+The corpus is read once, whatever the number of items. Keys of item windows are a table; their high bits
+make a bit mask of a fixed size (8 MB), which all workers hold. Corpus windows that the mask lets through
+go, with the characters around them, to an equi-join with the table on the key, and are verified there,
+so no text is joined back and no item is on the driver. The mask lets
+through windows / 2^26 of the rest by chance, which costs rows of the join and loses nothing.
+
 Recall is 1 for exact runs, by construction. For edits, `samples` and `bits` are chosen for a `target_recall`
 (`sampling`): with that chance a window that holds all of `max_edits` random edits becomes a candidate.
 
-The items are a stated query set. They are read in blocks of at most `block_chars` characters, so
-what a worker holds is bounded (about 40 bytes a character) however many items there are; each
-block is one pass over the corpus without any shuffle of its texts.
-
 Defined results: null and short texts and items are in no result; repeated rows give one row.
 """
 
@@ -29,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.batches import map_lists
+from docloom.session import cut
 
 _TAG = re.compile(r"</?[A-Za-z!][^<>]*>")
 _OTHER = re.compile(r"[\W_]+")
@@ -90,7 +93,7 @@ def sampling(width: int, max_edits: int, target_recall: float = 0.9, most_sample
     `most_samples` repetitions reach `target_recall`. The share of steps in
     which a window and its edited copy differ is measured on random windows with the walk itself."""
     if not max_edits:
-        return 2, 12
+        return 1, 24  # equal windows have equal keys
     if not 0 < target_recall < 1:
         raise ValueError("target_recall must lie between 0 and 1")
     rng = np.random.default_rng(3)
@@ -114,110 +117,133 @@ def sampling(width: int, max_edits: int, target_recall: float = 0.9, most_sample
 
 
 def within_edits(window: str, text: str, most: int) -> bool:
-    """Whether some part of `text` is at most `most` edits from the whole of `window`."""
-    column = np.arange(len(window) + 1)
-    pattern = np.frombuffer(window.encode("utf-32-le", "surrogatepass"), np.uint32)
-    steps = np.arange(len(window) + 1)
-    for c in np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32):
-        best = np.minimum(column[1:] + 1, column[:-1] + (pattern != c))
-        after = np.concatenate([[0], best])
-        column = np.minimum.accumulate(after - steps) + steps
-        if column[-1] <= most:
+    """Whether some part of `text` is at most `most` edits from the whole of `window`. One of most + 1 pieces of the window must
+    stand in such a part as it is; then the columns of the edit table are kept as the bits of two integers."""
+    n = len(window)
+    if n and not any(window[n * k // (most + 1) : n * (k + 1) // (most + 1)] in text for k in range(most + 1)):
+        return False
+    if n <= most:
+        return True
+    places: dict[str, int] = {}
+    for i, c in enumerate(window):
+        places[c] = places.get(c, 0) | 1 << i
+    full, top = (1 << n) - 1, 1 << (n - 1)
+    up, down, score = full, 0, n  # where the column rises and falls, and its last value
+    for c in text:
+        same = places.get(c, 0)
+        carry = ((((same & up) + up) ^ up) | same | down) & full
+        rise, fall = (down | ~(carry | up)) & full, up & carry
+        score += bool(rise & top) - bool(fall & top)
+        if score <= most:
             return True
+        rise, fall = (rise << 1) & full, (fall << 1) & full
+        up, down = (fall | ~((same | down) | rise)) & full, rise & (same | down)
     return False
 
 
-class Index:
-    """The windows of one block of items."""
+#: Bits of the mask of item keys.
+_MASK = 26
+
+
+class Windows:
+    """The windows of texts with their keys and the characters around them."""
 
-    def __init__(self, items: list[tuple], min_run: int, stride: int, samples: int, bits: int) -> None:
-        self.min_run, self.stride, self.width = min_run, stride, min_run - stride + 1
+    def __init__(self, min_run: int, stride: int, max_edits: int, samples: int, bits: int) -> None:
+        self.min_run, self.stride, self.max_edits, self.width = min_run, stride, max_edits, min_run - stride + 1
         self.walk = Walk(self.width, samples, bits)
-        self.names = [i for i, _ in items]
-        self.texts = [t for _, t in items]
-        codes, begins = _codes(self.texts, self.width)
-        own = [np.arange(max(0, len(t) - self.width + 1), dtype=np.int64) for t in self.texts]
-        which = np.repeat(np.arange(len(own)), [len(o) for o in own])
-        offset = np.concatenate(own) if own else np.empty(0, np.int64)
-        self.tables = []
-        for key in self.walk.keys(codes, begins[which] + offset) if len(which) else []:
-            order = np.argsort(key, kind="stable")
-            mask = np.zeros(1 << 22, bool)
-            mask[key >> np.uint64(42)] = True
-            self.tables.append((mask, key[order], which[order], offset[order]))
-
-    def found(self, texts: list[str], max_edits: int) -> set[tuple[int, int]]:
-        """(text, item) by position."""
+
+    def of(self, texts: list[str], step: int, mask: np.ndarray | None = None):
+        """(text, key, start) of the windows at every `step`, of those that the mask lets through."""
         codes, begins = _codes(texts, self.width)
-        own = [np.arange(0, max(0, len(t) - self.width + 1), self.stride, dtype=np.int64) for t in texts]
+        own = [np.arange(0, max(0, len(t) - self.width + 1), step, dtype=np.int64) for t in texts]
         which = np.repeat(np.arange(len(own)), [len(o) for o in own])
-        if not len(which) or not self.tables:
-            return set()
+        if not len(which):
+            return
         offset = np.concatenate(own)
-        out: set[tuple[int, int]] = set()
-        for key, (mask, keys, items, places) in zip(self.walk.keys(codes, begins[which] + offset), self.tables):
-            near = np.flatnonzero(mask[key >> np.uint64(42)])
-            low, high = np.searchsorted(keys, key[near], "left"), np.searchsorted(keys, key[near], "right")
-            for w, a, b in zip(near[low < high], low[low < high], high[low < high]):
-                text = which[w]
-                for k in range(a, b):
-                    if (text, items[k]) not in out and self._verified(texts[text], int(offset[w]), self.texts[items[k]], int(places[k]), max_edits):
-                        out.add((int(text), int(items[k])))
-        return out
-
-    def _verified(self, text: str, p: int, item: str, q: int, max_edits: int) -> bool:
-        left = right = 0
-        while right < len(text) - p and right < len(item) - q and text[p + right] == item[q + right]:
-            right += 1
-        if right >= self.width:
+        for k, key in enumerate(self.walk.keys(codes, begins[which] + offset)):
+            key = (key ^ np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+            key ^= key >> np.uint64(29)
+            near = np.arange(len(key))
+            if mask is not None:
+                bit = key >> np.uint64(64 - _MASK)
+                near = np.flatnonzero(mask[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & np.uint8(1))
+            yield from zip(which[near].tolist(), key[near].astype(np.int64).tolist(), offset[near].tolist())
+
+    def around(self, text: str, at: int) -> tuple[str, int]:
+        """A window with what verifying may need on either side, and its place therein."""
+        start = max(0, at - self.stride - self.max_edits)
+        return text[start : at + self.min_run + self.stride + self.max_edits], at - start
+
+    def verified(self, text: str, p: int, item: str, q: int) -> bool:
+        width = self.width
+        if text[p : p + width] == item[q : q + width]:
+            left, right = 0, width
             while left < p and left < q and text[p - left - 1] == item[q - left - 1]:
                 left += 1
+            while right < len(text) - p and right < len(item) - q and text[p + right] == item[q + right]:
+                right += 1
             if left + right >= self.min_run:
                 return True
-        if not max_edits:
+        if not self.max_edits:
             return False
-        part = text[max(0, p - self.stride - max_edits) : p + self.min_run + self.stride + max_edits]
         starts = range(max(0, q - self.stride + 1), min(q, len(item) - self.min_run) + 1)
-        return any(within_edits(item[s : s + self.min_run], part, max_edits) for s in starts)
+        return any(within_edits(item[s : s + self.min_run], text, self.max_edits) for s in starts)
 
 
-def _blocks(items: list[tuple], most: int):
-    block, size = [], 0
-    for item in items:
-        if block and size + len(item[1]) > most:
-            yield block
-            block, size = [], 0
-        block.append(item)
-        size += len(item[1])
-    if block:
-        yield block
+def _mask(keys: DataFrame) -> np.ndarray | None:
+    """The bits of the keys' high ends: at most 2^20 rows of 64 bits come to the driver, however many keys there are."""
+    bit = F.shiftrightunsigned("key", 64 - _MASK)
+    words = keys.select(bit.alias("bit")).select(F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("bits"))
+    rows = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).collect()
+    if not rows:
+        return None
+    mask = np.zeros(1 << (_MASK - 6), np.int64)
+    mask[[r["word"] for r in rows]] = [r["bits"] for r in rows]
+    return mask.view(np.uint8)
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", passage_col: str = "passage", min_run: int = 50, max_edits: int = 0, stride: int = 16, samples: int | None = None, bits: int | None = None, block_chars: int = 2_000_000, target_recall: float = 0.9) -> DataFrame:
+def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", passage_col: str = "passage", min_run: int = 50, max_edits: int = 0, stride: int = 16, samples: int | None = None, bits: int | None = None, target_recall: float = 0.9) -> DataFrame:
     """(id_col, item_col): every text that holds at least `min_run` consecutive letters and digits of an item
     (or, with `max_edits`, an item window of that length within so many edits). An item may have several rows.
     `samples` and `bits` are those of `sampling` for `target_recall` unless given."""
     if samples is None or bits is None:
         own = sampling(min_run - stride + 1, max_edits, target_recall)
         samples, bits = samples or own[0], bits or own[1]
-    listed = sorted({(r[0], letters(r[1])) for r in items.select(item_col, passage_col).where(F.col(item_col).isNotNull() & F.col(passage_col).isNotNull()).toLocalIterator()})
+    windows = Windows(min_run, stride, max_edits, samples, bits)
+    asked = items.where(F.col(item_col).isNotNull() & F.col(passage_col).isNotNull()).select(F.col(item_col).alias("item"), F.col(passage_col).alias("passage"))
     flat = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kinds = flat.schema["id"].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
-    out = None
-    for block in _blocks([x for x in listed if len(x[1]) >= min_run], block_chars):
-        cache: list[Index] = []
-
-        def rule(ids, texts, block=block, cache=cache):
-            if not cache:
-                cache.append(Index(block, min_run, stride, samples, bits))
-            pairs = sorted(cache[0].found([letters(t) for t in texts], max_edits))
-            return [[ids[t] for t, _ in pairs], [cache[0].names[i] for _, i in pairs]]
-
-        part = map_lists(flat, rule, f"id {kinds[0]}, item {kinds[1]}", rows=256)
-        out = part if out is None else out.union(part)
-    if out is None:
-        out = docs.sparkSession.createDataFrame([], f"id {kinds[0]}, item {kinds[1]}")
-    return out.distinct().toDF(id_col, item_col)
+    kinds = flat.schema["id"].dataType.simpleString(), asked.schema["item"].dataType.simpleString()
+
+    listed = cut(map_lists(asked, lambda names, texts: [names, [letters(x) for x in texts]], f"item {kinds[1]}, passage string").distinct().where(F.length("passage") >= min_run).withColumn("entry", F.xxhash64("item", "passage")))
+    listed = listed.repartition(docs.sparkSession.sparkContext.defaultParallelism)  # one file of items has many windows
+
+    def item_rule(entries, passages):
+        rows = [(entries[t], key, at) for t, key, at in windows.of(passages, 1)]
+        return [list(c) for c in zip(*rows)] if rows else [[], [], []]
+
+    keys = cut(map_lists(listed.select("entry", "passage"), item_rule, "entry bigint, key bigint, place int", rows=64))
+    mask = _mask(keys)
+    if mask is None:
+        return docs.sparkSession.createDataFrame([], f"id {kinds[0]}, item {kinds[1]}").toDF(id_col, item_col)
+
+    def text_rule(ids, texts):
+        texts = [letters(t) for t in texts]
+        rows = [(ids[t], key, at, *windows.around(texts[t], at)) for t, key, at in windows.of(texts, stride, mask)]
+        return [list(c) for c in zip(*rows)] if rows else [[], [], [], [], []]
+
+    def verify(ids, near, at, names, passages, places):
+        seen: dict = {}
+        for i, t, p, name, q, r in zip(ids, near, at, names, passages, places):
+            if (i, name) not in seen and windows.verified(t, p, q, r):
+                seen[i, name] = True
+        return [[i for i, _ in seen], [n for _, n in seen]]
+
+    near = map_lists(flat, text_rule, f"id {kinds[0]}, key bigint, start int, near string, at int", rows=256)
+    met = near.join(keys, "key")
+    if samples > 1:  # a pair of windows that meets in several samples is verified once
+        met = met.dropDuplicates(["id", "start", "entry", "place", "near"])
+    met = met.join(listed, "entry").select("id", "near", "at", "item", "passage", "place")
+    return map_lists(met, verify, f"id {kinds[0]}, item {kinds[1]}", rows=8192).distinct().toDF(id_col, item_col)
 
 
 def leak_report(found: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:

@@ -47,10 +47,23 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return markup.residue_rows(table(spark, folder, "crawl_docs"))
 
 
-def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+def _items(spark: SparkSession, folder: str) -> DataFrame:
     items = table(spark, folder, "eval_items").select(F.col("id").alias("item_id"), F.col("question").alias("passage"))
-    items = items.union(table(spark, folder, "eval_passages").select("item_id", "passage"))
-    return leakage.leaked_items(table(spark, folder, "documents"), items)
+    return items.union(table(spark, folder, "eval_passages").select("item_id", "passage"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, folder, "documents"), _items(spark, folder))
+
+
+def p7_edited(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold fifty letters and digits of an item with at most one edit."""
+    return leakage.leaked_items(table(spark, folder, "documents"), _items(spark, folder), max_edits=1)
+
+
+def p7_report(spark: SparkSession, folder: str) -> DataFrame:
+    """In how many documents each item leaked."""
+    return leakage.leak_report(p7_found(spark, folder), _items(spark, folder))
 
 
 def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -70,7 +83,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return personal.personal_spans(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p6_found, p7_found, p8_mix, p8_shares, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p6_found, p7_found, p7_edited, p7_report, p8_mix, p8_shares, p9_found)}
 
 _WS = r"[\t\n\x0b\f\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 

@@ -468,8 +468,8 @@ def test_leaks_equal_brute_force(spark):
     norm = [leakage.letters(b) for b in bodies]
     want = {(k, i) for k, n in enumerate(norm) for i, p in items if i and p for q in [leakage.letters(p)] if any(q[j : j + 50] in n for j in range(len(q) - 49))}
     assert len(want) > 20
-    for block in (2_000_000, 300):  # also with the items in several blocks
-        assert set(rows(leakage.leaked_items(d, it, block_chars=block), "doc_id", "item_id")) == want
+    for parts in (1, 5):  # also with the items in several tasks
+        assert set(rows(leakage.leaked_items(d, it.repartition(parts)), "doc_id", "item_id")) == want
     report = dict(rows(leakage.leak_report(leakage.leaked_items(d, it), it), "item_id", "documents"))
     assert report["short"] == 0 and sum(report.values()) == len(want)
     assert leakage.leaked_items(d.limit(0), it).count() == 0 and leakage.leaked_items(d, it.limit(0)).count() == 0
@@ -507,7 +507,42 @@ def test_default_recall_of_edits(spark, edits):
     d, it = spark.createDataFrame(bodies, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id string, passage string")
     got = set(rows(leakage.leaked_items(d, it, max_edits=edits), "doc_id", "item_id"))
     assert len(got & {(k, f"i{k}") for k in range(200)}) >= 180
-    assert leakage.sampling(35, 0) == (2, 12)
+    assert leakage.sampling(35, 0) == (1, 24)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_within_edits_equals_the_table(seed):
+    rng = random.Random(seed)
+
+    def table(window, text, most):
+        column = list(range(len(window) + 1))
+        for c in ["", *text]:
+            if c:
+                after = [0]
+                for i, w in enumerate(window):
+                    after.append(min(column[i] + (w != c), column[i + 1] + 1, after[i] + 1))
+                column = after
+            if column[-1] <= most:
+                return True
+        return False
+
+    for _ in range(400):
+        window = "".join(rng.choice("abc") for _ in range(rng.randint(1, 70)))
+        text = "".join(rng.choice("abc") for _ in range(rng.randint(0, 90)))
+        if rng.random() < 0.6:
+            own = list(window)
+            for _ in range(rng.randint(0, 5)):
+                own[rng.randrange(len(own))] = rng.choice(["", "a", "bc"])
+            text = text[:20] + "".join(own) + text[20:]
+        most = rng.randint(0, 4)
+        assert leakage.within_edits(window, text, most) == table(window, text, most)
+
+
+def test_phrases_shared_by_many_items(spark):
+    shared = "this phrase of the terms of use stands in every one of the items that are held out from the corpus"
+    it = spark.createDataFrame([(f"i{k}", f"{shared} and number {k * 7919}") for k in range(400)], "item_id string, passage string")
+    d = spark.createDataFrame([(k, f"text {k} says {shared} here") for k in range(50)] + [(99, "nothing")], "doc_id bigint, text string")
+    assert leakage.leaked_items(d, it).count() == 50 * 400
 
 
 # ---- 8: mixing -----------------------------------------------------------------------------------------------------
