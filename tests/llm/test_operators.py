@@ -561,6 +561,33 @@ def test_pfair_keeps_every_prefix_within_a_block(weights):
     assert done == blocks
 
 
+@pytest.mark.parametrize("weights, longest", [(["0.5", "0.3", "0.2"], 1000), (["0.313", "0.187", "0.25", "0.25"], 5000), (["0.3333333", "0.1234567", "0.5432100"], 100), (["0.0133333", "0.4434567", "0.5432100"], 20)])
+def test_slots_of_epochs(spark, weights, longest):
+    weights = [Fraction(w) for w in weights]
+    whole = sum(weights)
+    blocks = [int(3000 * w / whole) for w in weights]
+    table = mixing.slot_table(spark, list("abcd"[: len(weights)]), weights, blocks, longest).orderBy("slot").collect()
+    assert len(table) == sum(blocks) and len({r["slot"] for r in table}) == len(table)
+    done, most = dict.fromkeys("abcd", 0), 1 if mixing.epochs(weights, longest)[1] else 2
+    for r in table:
+        assert r["block"] == done[r["source"]]
+        done[r["source"]] += 1
+        if r["slot"] < 2900:
+            assert all(abs(done[s] - w / whole * (r["slot"] + 1)) < most for s, w in zip("abcd", weights))
+    assert [done[s] for s, _ in zip("abcd", blocks)] == blocks
+
+
+def test_tokens_of_long_texts_are_those_of_the_whole():
+    rng = random.Random(9)
+    word = lambda: rng.choice(["alpha", "don't", "x_1", "12345", "—", "你好世界", "。", "...", "we'll", "é", "🙂", "a\u0301b", "\n\n", "  ", "\t", "ภาษาไทย"])
+    for _ in range(20):
+        text = "".join(word() + rng.choice(["", " ", "\n"]) for _ in range(400))
+        assert "".join(mixing.parts(text, 30)) == text
+        for longest in (30, 200):
+            count = mixing.token_counts(TOKENIZER, longest)([1], ["s"], [text])[2][0]
+            assert count == len(mixing._encoding(TOKENIZER).encode_ordinary(text))
+
+
 def test_mix(spark):
     rng = random.Random(1)
     data = [(i, " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(rng.randint(1, 60))), rng.choices(["big", "small", "tiny", "other", None], [60, 10, 3, 5, 2])[0]) for i in range(1500)] + [(9001, None, "big"), (9002, "", "big")]
