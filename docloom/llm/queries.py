@@ -33,7 +33,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "crawl_docs").select("doc_id", "source_name", "clean_text")
-    return repeated_lines.repeated_lines(docs).select("doc_id", "line_no")
+    return repeated_lines.repeated_lines(docs).select("doc_id", "line_no").distinct()
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -11,8 +11,9 @@ mean lines a page for each source; the join back is an equi-join on the hash who
 that small set, which adaptive execution broadcasts when its measured size allows and splits by
 skew otherwise.
 
-Defined results: a null text has no lines; a null source is a source of its own; a null page id
-is one page of its source; repeated rows of one page count once; empty lines are never named.
+Defined results: a null text has no lines; a null source is a source of its own; each different text
+without an id is a page of its own; an id with several texts is one page that has the lines of all, and
+each text loses its own lines; repeated rows of one page count once; empty lines are never named.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ def line_keys(text: str) -> list[str]:
     return [line.strip() for line in text.split("\n")]
 
 
-def _hashes(ids, sources, texts):
+def _hashes(ids, sources, keys, texts):
     out = []
     for source, text in zip(sources, texts):
         seed = 0 if source is None else xxhash.xxh64_intdigest(source.encode()) | 1
@@ -48,21 +49,25 @@ def _hashes(ids, sources, texts):
             continue
         # 0 stands for an empty line; shifted by one bit so that it fits a signed long
         out.append([xxhash.xxh64_intdigest(k.encode("utf-8", "surrogatepass"), seed) >> 1 | 1 if k else 0 for k in line_keys(text)])
-    return [ids, sources, out]
+    return [ids, sources, keys, out]
 
 
 def hashed_lines(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source_name", text_col: str = "clean_text") -> DataFrame:
-    """(id, source, lines): one row per distinct page with the hashes of its lines in order."""
-    flat = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
+    """(id, source, texts): one row per distinct page, with (key, lines) of each different text: the hash of the text and
+    those of its lines in order."""
+    key = F.xxhash64(text_col)
+    flat = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), key.alias("key"), F.col(text_col).alias("text"))
     kind = flat.schema["id"].dataType.simpleString()
-    return map_lists(flat, _hashes, f"id {kind}, source string, lines array<bigint>").dropDuplicates(["id", "source"])
+    rows = map_lists(flat, _hashes, f"id {kind}, source string, key bigint, lines array<bigint>")
+    # copies of a page collapse in the task that makes them
+    return rows.groupBy("id", "source", F.when(F.col("id").isNull(), F.col("key")).alias("own")).agg(F.collect_set(F.struct("key", "lines")).alias("texts")).drop("own")
 
 
 def frequent_lines(lines: DataFrame, min_pages: int = 3, min_share: float = 0.10) -> DataFrame:
     """(source, hash, pages): lines in at least `min_pages` pages and `min_share` of the pages of their source."""
     pages = lines.groupBy("source").agg(F.count(F.lit(1)).alias("of"))
     counts = (
-        lines.select("source", F.explode(F.array_distinct("lines")).alias("hash"))
+        lines.select("source", F.explode(F.array_distinct(F.flatten("texts.lines"))).alias("hash"))
         .where("hash <> 0")
         .groupBy("source", "hash")
         .agg(F.count(F.lit(1)).alias("pages"))
@@ -76,24 +81,28 @@ def frequent_lines(lines: DataFrame, min_pages: int = 3, min_share: float = 0.10
     )
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source_name", text_col: str = "clean_text", min_pages: int = 3, min_share: float = 0.10) -> DataFrame:
-    """(id_col, source_col, line_no, pages): every non-empty line of every page that recurs too often."""
+def _found(docs: DataFrame, id_col: str, source_col: str, text_col: str, min_pages: int, min_share: float) -> DataFrame:
+    """(id, source, key, line_no, pages) of every line that recurs too often."""
     lines = cut(hashed_lines(docs, id_col, source_col, text_col))
     frequent = frequent_lines(lines, min_pages, min_share).select("hash", "pages")
-    return (
-        lines.select("id", "source", F.posexplode("lines").alias("pos", "hash"))
-        .where("hash <> 0")
-        .join(frequent, "hash")
-        .select(F.col("id").alias(id_col), F.col("source").alias(source_col), (F.col("pos") + 1).cast("int").alias("line_no"), "pages")
-    )
+    each = lines.select("id", "source", F.explode("texts").alias("t")).select("id", "source", "t.key", F.posexplode("t.lines").alias("pos", "hash"))
+    return each.where("hash <> 0").join(frequent, "hash").select("id", "source", "key", (F.col("pos") + 1).cast("int").alias("line_no"), "pages")
+
+
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source_name", text_col: str = "clean_text", min_pages: int = 3, min_share: float = 0.10) -> DataFrame:
+    """(id_col, source_col, line_no, pages, text_key): every non-empty line of every page that recurs too often; text_key tells the
+    texts of one id apart."""
+    found = _found(docs, id_col, source_col, text_col, min_pages, min_share)
+    return found.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "line_no", "pages", F.col("key").alias("text_key"))
 
 
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source_name", text_col: str = "clean_text", min_pages: int = 3, min_share: float = 0.10) -> DataFrame:
     """`docs` with `text_col` rebuilt without the lines that recur too often; other columns and rows as they were."""
-    found = repeated_lines(docs, id_col, source_col, text_col, min_pages, min_share)
+    found = _found(docs, id_col, source_col, text_col, min_pages, min_share)
     drop, key, src = free_name(docs, "drop"), free_name(docs, "key"), free_name(docs, "src")
-    gone = found.groupBy(F.col(id_col).alias(key), F.col(source_col).alias(src)).agg(F.collect_set("line_no").alias(drop))
-    joined = docs.join(gone, docs[id_col].eqNullSafe(F.col(key)) & docs[source_col].eqNullSafe(F.col(src)), "left")
+    # by source and text: the same text of a source loses the same lines, whatever its id
+    gone = found.groupBy(F.col("key").alias(key), F.col("source").alias(src)).agg(F.collect_set("line_no").alias(drop))
+    joined = docs.join(gone, F.xxhash64(text_col).eqNullSafe(F.col(key)) & docs[source_col].eqNullSafe(F.col(src)), "left")
     kept = F.array_join(
         F.filter(F.split(F.col(text_col), "\n", -1), lambda line, i: ~F.array_contains(F.col(drop), (i + 1).cast("int"))), "\n"
     )

@@ -177,8 +177,16 @@ def _log(p, n, k):
     return k * F.log(p) + (n - k) * F.log(1 - p)
 
 
-def model_table(docs: DataFrame, text_col: str = "clean_text") -> DataFrame:
-    """The model as (lang, name, a, rank), rank by score within lang and name: for each language starters, others (types seen often and hardly ever at a start), abbreviations,
+def _likelihood_ratio(n_a, n_b, n_ab, n):
+    """Dunning's log-likelihood ratio of b being as frequent with a (n_ab of n_a) as it is at all (n_b of n)."""
+    rest = F.greatest(F.lit(1), n - n_a)
+    p, p1, p2 = n_b / n, n_ab / n_a, (n_b - n_ab) / rest
+    return -2 * (_log(p, n_a, n_ab) + _log(p, n - n_a, n_b - n_ab) - _log(p1, n_a, n_ab) - _log(p2, n - n_a, n_b - n_ab))
+
+
+def model_table(docs: DataFrame, text_col: str = "clean_text", max_entries: int = 50_000) -> DataFrame:
+    """The model as (lang, name, a, rank), rank by score within lang and name (null where it is certain to be beyond
+    `max_entries`): for each language starters, others (types seen often and hardly ever at a start), abbreviations,
     collocations and chunk features."""
     schema = "lang string, kind string, a string, b string, n bigint"
     counts = docs.select(F.col(text_col)).where(F.length(text_col) > 0).mapInArrow(_count, schema).groupBy("lang", "kind", "a", "b").agg(F.sum("n").alias("n"))
@@ -195,9 +203,7 @@ def model_table(docs: DataFrame, text_col: str = "clean_text") -> DataFrame:
         .withColumn("ratio", F.col("n_start") / F.col("n_word"))
         .withColumn("base", F.col("s_all") / F.col("n_all"))
     )
-    p1, p2 = F.col("ratio"), (F.col("s_all") - F.col("n_start")) / F.greatest(F.lit(1), F.col("n_all") - F.col("n_word"))
-    llr = -2 * (_log(F.col("base"), F.col("n_word"), F.col("n_start")) + _log(F.col("base"), F.col("n_all") - F.col("n_word"), F.col("s_all") - F.col("n_start")) - _log(p1, F.col("n_word"), F.col("n_start")) - _log(p2, F.col("n_all") - F.col("n_word"), F.col("s_all") - F.col("n_start")))
-    typed = typed.withColumn("llr", llr)
+    typed = typed.withColumn("llr", _likelihood_ratio(*map(F.col, ("n_word", "s_all", "n_start", "n_all"))))
     starters = typed.where("ratio > base and llr > 7.88 and ratio > 0.02").select("lang", "a", "llr")
     others = typed.where("n_word >= 8 and ratio < 0.004").select("lang", "a", F.col("n_word").cast("double").alias("llr"))
 
@@ -227,15 +233,20 @@ def model_table(docs: DataFrame, text_col: str = "clean_text") -> DataFrame:
         .select("lang", "a", "llr", "n_end", "n_dot")
     )
     finals = abbreviations.where("n_end > 0.25 * n_dot").select("lang", "a", "llr")
+    # significant by the ratio of likelihoods, and strong: a good part of the periods of the first type and of the second type
     collocations = (
-        pair.where("b not in ('$', '@', '_', '#', '~')").join(dotted.select("lang", "a", "n_dot"), ["lang", "a"]).join(word.withColumnsRenamed({"a": "b", "n_word": "n_b"}), ["lang", "b"])
-        .where("n >= 4 and n > 0.3 * n_dot and n > 0.1 * n_b").select("lang", F.concat_ws(" ", "a", "b").alias("a"), F.col("n").cast("double").alias("llr"))
+        pair.where("b not in ('$', '@', '_', '#', '~') and n > 1").join(dotted.select("lang", "a", "n_dot"), ["lang", "a"]).join(word.withColumnsRenamed({"a": "b", "n_word": "n_b"}), ["lang", "b"]).join(F.broadcast(all_words), "lang")
+        .withColumn("llr", _likelihood_ratio(*map(F.col, ("n_dot", "n_b", "n", "n_all"))))
+        .where("llr > 7.88 and n / n_dot > n_b / n_all and n > 0.3 * n_dot and n > 0.1 * n_b").select("lang", F.concat_ws(" ", "a", "b").alias("a"), "llr")
     )
     at_start = counts.where("kind = 'g'").select("lang", "a", F.col("n").alias("g"))
     chunks = counts.where("kind = 'f'").join(at_start, ["lang", "a"]).where("g >= 2 and g > 0.02 * n and a not in ('#', '@')").select("lang", "a", F.col("g").cast("double").alias("llr"))
     frames = (("starters", starters), ("others", others), ("abbreviations", abbreviations), ("collocations", collocations), ("chunks", chunks), ("lowered", lowered), ("finals", finals))
     union = reduce(DataFrame.unionAll, (f.select("lang", F.lit(name).alias("name"), "a", "llr") for name, f in frames))
-    return union.select("lang", "name", "a", F.row_number().over(Window.partitionBy("lang", "name").orderBy(F.desc("llr"), "a")).alias("rank"))
+    # the head of a list of one language is that of the heads of its hashed parts, so no task ranks a whole list
+    part = F.pmod(F.xxhash64("a"), F.lit(64))
+    union = union.withColumn("head", F.row_number().over(Window.partitionBy("lang", "name", part).orderBy(F.desc("llr"), "a")) <= max_entries)
+    return union.select("lang", "name", "a", F.when(F.col("head"), F.row_number().over(Window.partitionBy("lang", "name", F.when(~F.col("head"), part)).orderBy(F.desc("llr"), "a"))).alias("rank"))
 
 
 def learn(docs: DataFrame, text_col: str = "clean_text") -> dict[str, dict]:
@@ -496,8 +507,8 @@ def sentence_units(docs: DataFrame, model: dict[str, dict] | None = None, id_col
     flat = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.col(lang_col) if lang_col else F.lit(None).cast("string")).alias("lang"))
     more = F.lit(None).cast("array<struct<name:string,a:string>>")
     if model is None:
-        table = cut(model_table(docs if corpus is None else corpus, text_col))
-        splitter, rest = Splitter(_as_sets(table.where(F.col("rank") <= max_entries))), table.where(F.col("rank") > max_entries)
+        table = cut(model_table(docs if corpus is None else corpus, text_col, max_entries))
+        splitter, rest = Splitter(_as_sets(table.where(F.col("rank") <= max_entries))), table.where(F.coalesce("rank", F.lit(max_entries + 1)) > max_entries)
         if rest.limit(1).count():
             flat, more = _with_rest(flat, splitter, rest), F.col("more")
     else:

@@ -336,6 +336,18 @@ def test_abbreviations_before_words_seen_once(spark):
     assert len(sentences.Splitter({"en": learned}).units("The report of Dipl. Sander was read.", "en")) == 1
 
 
+def test_likelihood_ratio(spark):
+    import math
+
+    def log(p, n, k):
+        return k * math.log(p) + (n - k) * math.log(1 - p)
+
+    a, b, ab, n = 30, 40, 12, 1000
+    want = -2 * (log(b / n, a, ab) + log(b / n, n - a, b - ab) - log(ab / a, a, ab) - log((b - ab) / (n - a), n - a, b - ab))
+    got = spark.range(1).select(sentences._likelihood_ratio(*map(F.lit, (a, b, ab, n))).alias("x")).first()["x"]
+    assert abs(got - want) < 1e-6 and want > 7.88
+
+
 def test_sentences_frame(spark, splitter):
     d = docs(spark, [None, "", "One. Two.", LONG, "One. Two."])
     got = sentences.sentence_units(d, splitter.model).groupBy("doc_id").count()
@@ -450,6 +462,14 @@ def test_repeated_lines_edges(spark):
     assert repeated_lines.repeated_lines(d.limit(0)).count() == 0
 
 
+def test_lines_of_null_and_clashing_ids(spark):
+    data = [(None, "s", "real first line\nshare this page\nbody one"), (None, "s", "share this page\nnull body two"), ("a", "s", "share this page\nbody three"), ("a", "s", "body four\nshare this page"), (None, "s", "share this page\nnull body two")]
+    d = spark.createDataFrame(data, "doc_id string, source_name string, clean_text string")
+    assert sorted(r["clean_text"] for r in repeated_lines.without_repeated_lines(d).collect()) == ["body four", "body three", "null body two", "null body two", "real first line\nbody one"]
+    found = repeated_lines.repeated_lines(d)
+    assert {r["pages"] for r in found.collect()} == {3} and found.count() == 4
+
+
 # ---- 7: leakage ----------------------------------------------------------------------------------------------------
 def test_leaks_equal_brute_force(spark):
     rng = random.Random(2)
