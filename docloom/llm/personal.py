@@ -203,7 +203,7 @@ def _address_signs(text: str, k: int):
             yield m.start(), m.end()
 
 
-_ADDRESS_CUE = re.compile(r"(?:address|adresse|anschrift|dirección|direccion|office|ship_to|ship the board to|moved to|meetup is at|placa a|lives at|wohnt|habite|vive en|deliver)[^\n]{0,12}$", re.I)
+_ADDRESS_CUE = re.compile(r"(?:address|adresse|anschrift|dirección|direccion|office|ship(?:ped)?(?:_| )to|moved to|lives at|wohnt|habite|vive en|deliver)[^\n]{0,12}$", re.I)
 
 # ---- names --------------------------------------------------------------------------------------
 _PARTICLE = r"(?:(?:van der|van den|van de|van|von|de la|de|del|der|di|da|du|le|la|ten|ter|bin|al|VAN DER|VAN DE|VAN|VON|DE LA|DE|DEL|DER|DI|DA|DU)[ ])"
@@ -222,7 +222,7 @@ _INITIAL_AT = re.compile(rf"((?:[{_UP}]\.[ ]?){{1,2}})({_FAMILY})")
 _NAME_CUE = re.compile(
     r"(?:hi|hello|hallo|dear|cc|owner:|reviewer = \"|thanks to|signed-off-by:|reported by:?|@author|author:|maintainer:|--|as|was|that|by|from|contact:?|danke an|gemeldet von|merci à|signalé par|gracias a|reportado por|informó|name:)[ ]?$", re.I
 )
-_NAME_AFTER = re.compile(r"^(?:, could you| asked whether| who first| wrote last| rewrote| for the patch| and the release| \(maintainer\)|\"|, bitte| für den| pour le| por el|[ ]?[|;·\t]|\n|$)")
+_NAME_AFTER = re.compile(r"^(?:, could you| asked | wrote | said | \(maintainer\)|\"|, bitte|[ ]?[|;·\t]|\n|$)")
 _TITLE = r"(?:(?:Dr|Prof|Mr|Mrs|Ms|Herr|Frau|M|Mme|Sr|Sra|Señor|Señora|Monsieur|Madame)\.?[ ])?"
 #: What announces a name whatever the learned lists hold, from the surest on.
 _CUES = (
@@ -232,8 +232,8 @@ _CUES = (
 )
 _CLOSING = re.compile(r"(?:regards|sincerely|cheers|thanks|best wishes|grüßen|grüße|cordialement|salutations|saludos|atentamente),?[ ]?\r?\n[ ]?$", re.I)
 #: What only follows a person, what mostly does, and what ends a line or field.
-_PERSON_AFTER = re.compile(r"(?:, could you| asked whether| who first| \(maintainer\)|, pouvez-|, bitte|, ¿)")
-_SAID_AFTER = re.compile(r"(?: wrote last| rewrote| for the patch| and the release| für den| pour le| por el)")
+_PERSON_AFTER = re.compile(r"(?:, (?:could|can|would) you| (?:asked|said|wrote|replied|suggested)\b| \(maintainer\)|, pouvez-|, bitte|, ¿)")
+_SAID_AFTER = re.compile(r"(?: (?:rewrote|fixed|reported|noticed|who)\b)")
 _ENDS_AFTER = re.compile(r"[ ]?(?:[|;·\t\r\n]|$)|[,\"]")
 _MADE = re.compile(r"(?:Mc|Mac|[A-Z]['’])[A-ZÀ-Þ]|[a-z]|(?:VAN|VON|DE|DER|DI|DA|DU|DEL)[ ]")
 # Words in capitals beside a cue that make a title, a group or a firm of it.
@@ -257,6 +257,21 @@ _CJK = (
 )
 
 
+def _announced(labels: str, titles: str, name: str, end: str) -> re.Pattern:
+    """Names after a label with a colon, or after a title."""
+    return re.compile(rf"(?:(?:{labels})[ ]?[:：][ ]?|(?<![^\W\d_])(?:{titles}))({name}){end}")
+
+
+_AR, _HI, _TH, _KO = "[\u0621-\u064a\u064b-\u0652]{2,}", "[\u0900-\u0963\u0970-\u097f]{2,}", "[\u0e01-\u0e4e]{2,}", "[가-힣]"
+#: Scripts without capitals: only where a label or a title announces the name.
+_OTHER = (
+    (re.compile("[\u0621-\u064a]"), _announced("الاسم|المؤلف|الكاتب|المبلغ|كتبه|أبلغ عنه|جهة الاتصال", "(?:السيدة?|الدكتورة?)[ ]", rf"{_AR}(?:[ ]{_AR}){{1,2}}", "")),
+    (re.compile("[\u0900-\u097f]"), _announced("नाम|लेखक|संपर्क|रिपोर्टकर्ता|प्रेषक", "(?:श्री|श्रीमती|डॉ\\.)[ ]", rf"{_HI}(?:[ ]{_HI}){{1,2}}", "")),
+    (re.compile("[\u0e01-\u0e4e]"), _announced("ชื่อ|ผู้เขียน|ผู้รายงาน|ผู้ติดต่อ|ผู้ดูแล", "นางสาว|นาย|นาง|คุณ", rf"{_TH}[ ]{_TH}", "")),
+    (re.compile("[가-힣]"), _announced("이름|성명|작성자|담당자|보고자|연락처|저자|제보자", "(?!)", rf"{_KO}{{2,4}}(?:[ ]{_KO}{{1,3}})?", "(?!\\w)")),
+    (re.compile("[가-힣]"), re.compile(rf"(?<!\w)({_KO}{{2,4}})(?=[ ]?(?:씨|님)(?!\w))")),
+)
+
 #: Letters that Unicode does not decompose.
 _LATIN = str.maketrans({"ß": "ss", "ø": "o", "æ": "ae", "œ": "oe", "đ": "d", "ł": "l", "ð": "d", "þ": "th"})
 
@@ -404,6 +419,9 @@ class Finder:
             for pattern in _CJK:
                 for m in pattern.finditer(text):
                     found.append((4, m.start(1), m.end(1), 0.8))
+        for sign, pattern in _OTHER:
+            if sign.search(text):
+                found += [(4, m.start(1), m.end(1), 0.8) for m in pattern.finditer(text)]
 
     def _unlisted(self, text: str, start: int, end: int, first: str, last: str, middle: bool, found: list) -> float:
         """The score of a given name that no list holds: cues, row and the family name's list and form."""
@@ -445,11 +463,11 @@ class Finder:
 
 def name_list(docs: DataFrame, text_col: str = "text", min_count: int = 3) -> DataFrame:
     """(kind, name, n): given and family names in the parts of e-mail addresses of all texts, given names in at least `min_count` addresses."""
-    parts = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"(?<![\w.+-])[a-z]{3,20}(?:[._][a-z]{3,30}|\+docs)(?=@|\(at\))"), 0)
+    parts = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"(?<![\w.+-])[a-z]{3,20}[._][a-z]{3,30}(?=@|\(at\))"), 0)
     local = docs.where(F.col(text_col).contains("@") | F.col(text_col).contains("(at)")).select(F.explode(parts).alias("local"))
-    split = local.select(F.split("local", r"[._+]").alias("p"), F.col("local").contains("+").alias("plus"))
-    both = F.array(F.struct(F.lit("given").alias("kind"), F.col("p")[0].alias("name")), F.struct(F.when(~F.col("plus"), F.lit("family")).alias("kind"), F.col("p")[1].alias("name")))
-    counts = split.select(F.explode(both).alias("x")).select("x.kind", "x.name").where("kind is not null").groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n"))
+    split = local.select(F.split("local", r"[._]").alias("p"))
+    both = F.array(F.struct(F.lit("given").alias("kind"), F.col("p")[0].alias("name")), F.struct(F.lit("family").alias("kind"), F.col("p")[1].alias("name")))
+    counts = split.select(F.explode(both).alias("x")).select("x.kind", "x.name").groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n"))
     both = counts.groupBy("name").agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(k) for k in ("given", "family")))
     # a word that is a family name far more often is no given name
     kept = F.array(F.struct(F.lit("given").alias("kind"), F.when((F.col("given") >= min_count) & (F.col("given") > F.col("family")), F.col("given")).alias("n")), F.struct(F.lit("family").alias("kind"), F.when(F.col("family") > 0, F.col("family")).alias("n")))

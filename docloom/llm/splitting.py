@@ -2,7 +2,8 @@
 
 The least number of pieces that the limit allows is computed, equal-length targets are placed, and
 each target snaps to the strongest boundary near it: paragraph, line, sentence, clause, word. A
-piece is a span of the text; every piece but the first starts `overlap` characters before the cut.
+piece is a span of the text; every piece but the first starts `overlap` characters before the cut, or up
+to half of the overlap earlier, where a word begins there; never inside a grapheme, if the limit allows.
 When a target finds no boundary that keeps all limits, one more piece is tried; after
 `extra` more pieces the cut is made at the target itself, never inside a grapheme.
 
@@ -55,45 +56,53 @@ def _hard(text: str, target: int, low: int, high: int) -> int:
     return min(max(target, low), high)
 
 
-def cut_points(text: str, max_chars: int, overlap: int, extra: int = 3) -> list[int]:
-    """Where the pieces of `text` end, without the last end: piece k is
-    text[max(0, cut[k-1] - overlap) : cut[k]], and no piece is longer than `max_chars`."""
+def _begin(text: str, cut: int, overlap: int) -> int:
+    """Where the piece after a cut starts."""
+    at = max(0, cut - overlap)
+    if not overlap or not at:
+        return at
+    word = next((k for k in range(at, max(0, at - overlap // 2) - 1, -1) if not k or text[k - 1].isspace() and not text[k].isspace()), None)
+    if word is not None:
+        return word
+    while at and _inside_grapheme(text, at):
+        at -= 1
+    return at
+
+
+def spans(text: str, max_chars: int, overlap: int, extra: int = 3) -> list[tuple[int, int]]:
+    """(start, end) of each piece; no piece is longer than `max_chars`, and neighbours share `overlap` characters and what `_begin` adds."""
     n, room = len(text), max_chars - overlap
     if n <= max_chars:
-        return []
+        return [(0, n)]
     if room <= 0:
         raise ValueError("the overlap must be less than the limit")
     least = 1 + -(-(n - max_chars) // room)
     for count in range(least, least + extra + 1):
-        cuts, at, last = [], 0, count == least + extra
+        out, begin, at, last = [], 0, 0, count == least + extra
         share = (n - overlap) / count
         slack = max(1, int(share / 3))
         for k in range(1, count):
             target = round(overlap + k * share)
             low = max(at + 1, overlap + 1, n - (count - k) * room, target - slack)
-            high = min(at + (room if at else max_chars), target + slack, n - 1)
+            high = min(begin + max_chars, target + slack, n - 1)
             if low > high:
                 low = max(at + 1, n - (count - k) * room)
-                high = min(at + (room if at else max_chars), n - 1)
+                high = min(begin + max_chars, n - 1)
             target = min(max(target, low), high)
             to = _snap(text, target, low, high)
             if to is None:
                 if not last:
                     break
                 to = _hard(text, target, low, high)
-            cuts.append(to)
-            at = to
-        if len(cuts) == count - 1:
-            return cuts
+            out.append((begin, to))
+            begin, at = _begin(text, to, overlap), to
+            if n > begin + max_chars + (count - k - 1) * room or begin + max_chars <= to or begin <= out[-1][0]:
+                begin = max(0, to - overlap)  # what is left would not fit
+        if len(out) == count - 1:
+            return [*out, (begin, n)]
     raise AssertionError("unreachable")
 
 
-def spans(text: str, max_chars: int, overlap: int) -> list[tuple[int, int]]:
-    """(start, end) of each piece."""
-    cuts = [*cut_points(text, max_chars, overlap), len(text)]
-    return [(max(0, a - overlap) if k else 0, b) for k, (a, b) in enumerate(zip([0, *cuts], cuts))]
-
-
 def split_oversized(df: DataFrame, text_col: str, max_chars: int, overlap: int, only_oversized: bool = False, with_text: bool = True) -> DataFrame:
     """One row per piece: the columns of `df` without `text_col`, then piece_no (from 0), n_pieces, start_pos,
     end_pos and, unless `with_text` is false, piece_text. Texts within the limit stay whole in the JVM."""

@@ -134,12 +134,20 @@ def test_pieces(text, most, overlap):
     own = splitting.spans(text, most, overlap)
     assert own[0][0] == 0 and own[-1][1] == len(text)
     assert all(0 < b - a <= most for a, b in own)
-    assert all(b - c == overlap for (_, b), (c, _) in zip(own, own[1:]))
-    assert "".join(text[a + (overlap if k else 0) : b] for k, (a, b) in enumerate(own)) == text
+    assert all(overlap <= b - c <= overlap + max(overlap // 2, 12) and a < c for (a, b), (c, _) in zip(own, own[1:]))
+    assert text[: own[0][1]] + "".join(text[e:b] for (_, e), (_, b) in zip(own, own[1:])) == text
     least = 1 if len(text) <= most else 1 + -(-(len(text) - most) // (most - overlap))
     assert len(own) <= least + 3
 
 
+@pytest.mark.parametrize("text, most", [("a\u0301" * 1200, 100), ("e\u0301te\u0301 vie\u0300ge " * 200, 100), ("👩‍👩‍👧" * 300, 100), ("word and another " * 90, 120)])
+def test_pieces_start_at_graphemes_and_words(text, most):
+    own = splitting.spans(text, most, 20)
+    assert not any(splitting._inside_grapheme(text, a) for a, _ in own[1:])
+    if " " in text:
+        assert all(text[a - 1] == " " for a, _ in own[1:])
+
+
 def test_pieces_balance_and_snap():
     text = "One sentence ends here. " * 100
     own = splitting.spans(text, 720, 80)
@@ -662,6 +670,17 @@ def test_names_that_no_list_holds(text, found):
     assert [text[a:b] for k, a, b in personal.Finder(set(), set()).spans(text) if k == "name"] == found
 
 
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("الاسم: سمير الحداد، وشكرا", ["سمير الحداد"]), ("قال السيد سمير الحداد", ["سمير الحداد"]), ("लेखक: अनिता वर्मा।", ["अनिता वर्मा"]), ("श्री अनिल वर्मा", ["अनिल वर्मा"]), ("ชื่อ: สมชาย ใจดี", ["สมชาย ใจดี"]), ("담당자: 김민수, 확인", ["김민수"]),
+        ("어제 김민수 님이 보냈다", ["김민수"]), ("السجل يعيد قيمة", []), ("ไฟล์นี้ อธิบายฟิลด์", []), ("सूचकांक खाली है", []), ("이 파일은 한 줄이다", []),
+    ],
+)
+def test_names_in_scripts_without_capitals(text, found):
+    assert [text[a:b] for k, a, b in personal.Finder(set(), set()).spans(text) if k == "name"] == found
+
+
 def test_accents_of_given_names_are_flattened():
     text = "today Zoë Marlow and Jürgen Odell said"
     assert [text[a:b] for _, a, b in personal.Finder({"zoe", "jurgen"}, set()).spans(text)] == ["Zoë Marlow", "Jürgen Odell"]
