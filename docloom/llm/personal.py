@@ -269,7 +269,7 @@ _OTHER = (
     (re.compile("[\u0900-\u097f]"), _announced("नाम|लेखक|संपर्क|रिपोर्टकर्ता|प्रेषक", "(?:श्री|श्रीमती|डॉ\\.)[ ]", rf"{_HI}(?:[ ]{_HI}){{1,2}}", "")),
     (re.compile("[\u0e01-\u0e4e]"), _announced("ชื่อ|ผู้เขียน|ผู้รายงาน|ผู้ติดต่อ|ผู้ดูแล", "นางสาว|นาย|นาง|คุณ", rf"{_TH}[ ]{_TH}", "")),
     (re.compile("[가-힣]"), _announced("이름|성명|작성자|담당자|보고자|연락처|저자|제보자", "(?!)", rf"{_KO}{{2,4}}(?:[ ]{_KO}{{1,3}})?", "(?!\\w)")),
-    (re.compile("[가-힣]"), re.compile(rf"(?<!\w)({_KO}{{2,4}})(?=[ ]?(?:씨|님)(?!\w))")),
+    (re.compile("[가-힣]"), re.compile(rf"(?<!\w)({_KO}{{2,4}})(?=[ ]?(?:씨|님)(?:께서|[이가은는을를의께도])?(?!\w))")),
 )
 
 #: Letters that Unicode does not decompose.
