@@ -1,4 +1,4 @@
-"""python -m docloom build|ask|eval|analyze|status|generate-train --root FOLDER ..."""
+"""python -m docloom build|crawl|ask|eval|analyze|status|generate-train|train|serve --root FOLDER ..."""
 
 from __future__ import annotations
 
@@ -6,16 +6,22 @@ import argparse
 import json
 
 from docloom.operators import evaluation
+from docloom.operators.crawl import fetched_pages
 from docloom.plans.engine import Engine
+from docloom.plans.server import make_server
 from docloom.session import local_session
 from docloom.sources import artifacts
 
 
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="docloom")
-    p.add_argument("command", choices=("build", "ask", "eval", "analyze", "status", "generate-train"))
+    p.add_argument("command", choices=("build", "crawl", "ask", "eval", "analyze", "status", "generate-train", "train", "serve"))
     p.add_argument("--root", required=True)
-    p.add_argument("--documents", help="parquet table of documents, for build")
+    p.add_argument("--documents", help="parquet table or JSON array of documents, for build")
+    p.add_argument("--pages", help="parquet table of pages (source_url, html), for crawl; without it pages are fetched")
+    p.add_argument("--sources", help="parquet table of sources, for crawl")
+    p.add_argument("--pairs", help="JSON lines of pairs, for train")
+    p.add_argument("--port", type=int, default=8000)
     p.add_argument("--items", help="JSON array or parquet table of evaluation items")
     p.add_argument("--question")
     p.add_argument("--threshold", type=float, default=0.01)
@@ -27,7 +33,14 @@ def main(argv: list[str] | None = None) -> None:
     engine = Engine(spark, a.root)
     items = lambda: artifacts.read_eval_set(spark, a.items) if a.items.endswith(".json") else spark.read.parquet(a.items)
     if a.command == "build":
-        out = engine.build(spark.read.parquet(a.documents))
+        out = engine.build(artifacts.read_documents_json(spark, a.documents) if a.documents.endswith(".json") else spark.read.parquet(a.documents))
+    elif a.command == "crawl":
+        out = engine.build_from_pages(spark.read.parquet(a.pages) if a.pages else fetched_pages(), spark.read.parquet(a.sources))
+    elif a.command == "train":
+        out = engine.train(artifacts.read_pairs(spark, a.pairs or f"{a.root}/training_pairs"))
+    elif a.command == "serve":
+        print(f"http://127.0.0.1:{a.port}")
+        return make_server(engine, port=a.port).serve_forever()
     elif a.command == "ask":
         out = engine.ask(a.question, a.threshold, a.style)
     elif a.command == "status":

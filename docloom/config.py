@@ -2,18 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
-
-@dataclass(frozen=True)
-class SourceConfig:
-    """One crawl source: pages whose host contains `allowed_netloc` and whose URL matches a pattern."""
-
-    source_name: str
-    base_url: str
-    allowed_netloc: str
-    seed_pages: tuple[str, ...] = field(default_factory=tuple)
-    allow_patterns: tuple[str, ...] = field(default_factory=tuple)
+from dataclasses import dataclass
 
 
 @dataclass(frozen=True)
@@ -40,8 +29,10 @@ class EngineConfig:
     embedding_dim: int = 256
     #: Questions answered in one plan; larger batches are run in blocks of this size.
     question_block: int = 2000
-    #: Query-term rows up to which they are broadcast (about 60 bytes each).
-    broadcast_rows: int = 1_000_000
+    #: Query-term rows up to which they are broadcast: about 100 bytes each in a hashed relation, 50 MB.
+    broadcast_rows: int = 500_000
+    #: Different query terms up to which they are a filter of the scan.
+    filter_terms: int = 5000
 
 
 # Words left out of tokens.

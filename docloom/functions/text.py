@@ -123,6 +123,7 @@ def dense_text(source: Column | str, title: Column | str, section: Column | str,
 
 
 def passage_pair(title: Column | str, section: Column | str, text: Column | str, size: int = 2200) -> Column:
+    """What a plugged-in reranker reads beside the question."""
     return F.concat(F.lit("Title: "), F.coalesce(col(title), F.lit("")), F.lit("\nSection: "), F.coalesce(col(section), F.lit("")), F.lit("\nPassage: "), F.substring(normalize_ws(text), 1, size))
 
 

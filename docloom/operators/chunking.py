@@ -54,13 +54,6 @@ def build_chunks(docs: DataFrame, config: EngineConfig = EngineConfig()) -> Data
     )
 
 
-def chunk_count_guard(chunks: DataFrame) -> DataFrame:
-    """The chunks, or RuntimeError where there are none."""
-    if chunks.isEmpty():
-        raise RuntimeError("no chunks were made")
-    return chunks
-
-
 def passed_gate(text: Column | str, config: EngineConfig = EngineConfig()) -> Column:
     """Whether a page has enough characters and words to be kept."""
     return (F.length(col(text)) >= config.min_clean_chars) & (F.size(words(text)) >= config.min_word_count)

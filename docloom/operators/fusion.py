@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.config import EngineConfig
-from docloom.functions.text import expand_query, overlap, terms
+from docloom.functions.text import expand_query, normalize_ws, overlap, passage_pair, terms
 from docloom.operators.sparse import best, title_terms
+from docloom.session import cut
 
 
 def fuse(sparse: DataFrame, dense: DataFrame, k: int = 60) -> DataFrame:
@@ -20,7 +21,8 @@ def fuse(sparse: DataFrame, dense: DataFrame, k: int = 60) -> DataFrame:
 def hybrid_candidates(fused: DataFrame, questions: DataFrame, chunks: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
     """The best candidates of each question with their chunk: fusion plus a tenth of the title overlap.
     Chunks are joined by id to at most 40 rows a question."""
-    meta = chunks.dropDuplicates(["chunk_id"]).select("chunk_id", "source_name", "title", "section_title", "source_url", "chunk_text")
+    fused = cut(fused)
+    meta = chunks.select("chunk_id", "source_name", "title", "section_title", "source_url", "chunk_text").join(fused.select("chunk_id").distinct(), "chunk_id", "left_semi").dropDuplicates(["chunk_id"])
     q = questions.select("qid", "question", terms(expand_query("question")).alias("expanded_terms"), terms("question").alias("query_terms"))
     rows = fused.join(meta, "chunk_id").join(q, "qid").withColumn("title_terms", title_terms("title", "section_title"))
     scored = rows.withColumn("hybrid_score", F.round(F.col("rrf") + F.lit(0.10) * overlap(F.col("expanded_terms"), F.col("title_terms")), 6))
@@ -29,11 +31,14 @@ def hybrid_candidates(fused: DataFrame, questions: DataFrame, chunks: DataFrame,
 
 def lexical_rerank_score() -> Column:
     """The default reranker: term overlap of question and titled passage, below zero without any. Lexical, not neural."""
-    body = overlap(F.col("query_terms"), terms(F.substring("chunk_text", 1, 2200)))
+    body = overlap(F.col("query_terms"), terms(F.substring(normalize_ws("chunk_text"), 1, 2200)))
     title = overlap(F.col("query_terms"), F.col("title_terms"))
     return F.when((body == 0) & (title == 0), F.lit(-1.0)).otherwise(F.lit(8.0) * body + F.lit(2.0) * title)
 
 
 def rerank(candidates: DataFrame, score: Column | None = None, config: EngineConfig = EngineConfig()) -> DataFrame:
-    scored = candidates.withColumn("reranker_score", F.round(lexical_rerank_score() if score is None else score, 6))
+    """The best candidates by the reranker. A plugged-in score is a column over `question` and `passage`, the titled and clipped text."""
+    if score is not None:
+        candidates = candidates.withColumn("passage", passage_pair("title", "section_title", "chunk_text", config.max_context_chars))
+    scored = candidates.withColumn("reranker_score", F.round(lexical_rerank_score() if score is None else score, 6)).drop("passage")
     return best(scored, config.top_k_rerank, "reranker_score").withColumnRenamed("rank", "rerank_rank")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,19 @@ def span_search(starts: Column | str, ends: Column | str, top: int = 12, longest
     return bind(F.array_min(fit), lambda m: F.when(m.isNotNull(), F.struct((-m["p"]).alias("score"), m["first"].alias("first"), m["last"].alias("last"))))
 
 
+def read_spans(context: Column | str, offsets: Column | str, starts: Column | str, ends: Column | str) -> Column:
+    """struct(answer, score) from the probabilities of a model over the tokens of a context: the text from the start of the first to the
+    end of the last token of the best span, ("", 0) for none. `offsets`: array of struct(first, last) characters of each token,
+    `last` exclusive."""
+    x, o = col(context), col(offsets)
+
+    def cut_out(span: Column) -> Column:
+        a, b = F.get(o, span["first"])["first"], F.get(o, span["last"])["last"]
+        return F.when(span.isNotNull() & (b > a), normalize_ws(F.substring(x, a + 1, b - a))).otherwise(F.lit(""))
+
+    return bind(span_search(starts, ends), lambda s: bind(cut_out(s), lambda t: F.struct(t.alias("answer"), F.when(t != "", s["score"]).otherwise(F.lit(0.0)).alias("score"))))
+
+
 def best_sentence(query_terms: Column | str, context: Column | str) -> Column:
     """struct(score, sentence): the first sentence with the largest share of the query's terms; ("", 0) for none."""
     q = col(query_terms)
@@ -64,7 +79,7 @@ def compared_sentences(reranked: DataFrame, chunks: DataFrame, seen: DataFrame)
     the three best candidates, not seen before; B does not take A's sentence."""
     asked = reranked.where("rerank_rank <= 3").withColumn("pair", compare_terms("question")).where("pair is not null")
     urls = asked.select("qid", "query_terms", "pair", "source_url").distinct()
-    own = chunks.dropDuplicates(["chunk_id"]).select(*_META, "chunk_text").join(urls.select("source_url").distinct(), "source_url", "left_semi")
+    own = chunks.select(*_META, "chunk_text").join(urls.select("source_url").distinct(), "source_url", "left_semi").dropDuplicates(["chunk_id"])
     rows = urls.join(own, "source_url").withColumn("term", F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("pair.left").alias("text")), F.struct(F.lit(2).alias("side"), F.col("pair.right").alias("text")))))
     rows = rows.where(F.contains(F.lower("chunk_text"), F.col("term.text"))).select("*", F.posexplode(split_sentences("chunk_text")).alias("pos", "sentence"))
     rows = rows.where(F.contains(F.lower("sentence"), F.col("term.text")))
@@ -87,17 +102,21 @@ def support_sentences(reranked: DataFrame, chunks: DataFrame, config: EngineConf
     return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= config.support_sentences).drop("pos", "rerank_rank")
 
 
-def term_definitions(wanted: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(qid, term, definition) of wanted (qid, term, urls): what "term is primarily ..." says in the first chunk that says
-    it, chunks of `urls` first, then in order of chunk_id. One scan of the chunks that say so of anything."""
-    text = F.lower(normalize_ws("chunk_text"))
-    says = chunks.dropDuplicates(["chunk_id"]).select("chunk_id", "source_url", text.alias("low")).where(F.col("low").rlike(r"(?U)is\s+primarily\s"))
-    name = F.regexp_replace("term", r"([\\^$.|?*+()\[\]{}\-/])", r"\\\\$1")
-    tail = F.lit(r"\s+is\s+primarily\s+([^.]+?)(?:\.|$)")
-    # a substring allows no equi-join: the stated terms (two a question of one block) go to the chunks that define anything
-    pairs = F.broadcast(wanted.where("term <> ''")).join(says, F.contains(F.col("low"), F.col("term")))
-    extract = lambda pattern: F.call_function("regexp_extract", F.col("low"), pattern, F.lit(1))
-    found = F.coalesce(F.nullif(extract(F.concat(F.lit(r"(?U)\."), name, tail)), F.lit("")), extract(F.concat(F.lit("(?U)"), name, tail)))
-    pairs = pairs.withColumn("definition", normalize_ws(found)).where("definition <> ''")
-    first = F.min_by("definition", F.struct((~F.array_contains("urls", F.col("source_url"))).alias("other"), F.col("chunk_id")))
+def term_definitions(wanted: DataFrame, chunks: DataFrame, says: str = "is primarily") -> DataFrame:
+    """(qid, term, definition) of wanted (qid, term, urls): what "term is primarily ..." says up to the next period in the
+    first chunk that says it, chunks of `urls` first, then in order of chunk_id; within a chunk ".term" first, then what comes first. A
+    term is matched as the end of the text before the phrase, as it is written. Terms meet chunks by an equi-join on the ends of
+    the last word before the phrase; only chunks that say the phrase of anything are read and deduplicated."""
+    phrase = r"(?U)\s+" + r"\s+".join(re.escape(w) for w in says.split()) + r"\s+"
+    said = chunks.select("chunk_id", "source_url", F.lower(normalize_ws("chunk_text")).alias("low")).where(F.col("low").rlike(phrase)).dropDuplicates(["chunk_id"])
+    parts = said.select("chunk_id", "source_url", F.split("low", phrase, -1).alias("p")).select("chunk_id", "source_url", "p", F.posexplode(F.slice("p", 1, F.size("p") - 1)).alias("at", "before"))
+    # what follows, over later uses of the phrase if no period comes before them
+    after = F.array_join(F.slice("p", F.col("at") + 2, F.size("p")), f" {says} ")
+    rows = parts.select("chunk_id", "source_url", "at", "before", normalize_ws(F.regexp_extract(after, r"^([^.]+)", 1)).alias("definition")).where("definition <> ''")
+    word = F.regexp_extract("before", r"(\S+)$", 1)
+    ends = rows.withColumn("word", word).withColumn("end", F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda k: F.substr(F.col("word"), k)))).where("word <> ''")
+    asked = wanted.where("term <> ''").select("qid", "term", "urls", F.regexp_extract("term", r"(\S+)$", 1).alias("end"))
+    pairs = ends.join(asked, "end").where(F.endswith("before", F.col("term")))
+    dotted = F.endswith("before", F.concat(F.lit("."), F.col("term")))
+    first = F.min_by("definition", F.struct((~F.coalesce(F.array_contains("urls", F.col("source_url")), F.lit(False))).alias("other"), "chunk_id", (~dotted).alias("plain"), "at"))
     return pairs.groupBy("qid", "term").agg(first.alias("definition"))

@@ -12,7 +12,7 @@ from docloom.config import EngineConfig
 from docloom.functions.text import asked_style, bind, compare_terms, expand_query, normalize_ws, overlap
 from docloom.operators import decision, fusion, reading
 from docloom.operators.dense import dense_search, embed_texts
-from docloom.operators.sparse import bm25_search
+from docloom.operators.sparse import TermIndex, bm25_search
 from docloom.session import cut
 
 _META = ("chunk_id", "source_name", "title", "section_title", "source_url")
@@ -20,7 +20,10 @@ _META = ("chunk_id", "source_name", "title", "section_title", "source_url")
 
 @dataclass(frozen=True)
 class Scorers:
-    """What scores passages and reads spans: columns over the candidate rows. The defaults are lexical, not neural."""
+    """What scores passages and reads spans: columns over the candidate rows. The defaults are lexical, not neural.
+
+    `rerank` makes a score of `question` and `passage` (the titled, clipped text); `read` makes struct(answer, score) of the terms of the
+    question and the clipped context. A reader of probabilities goes through `reading.read_spans`."""
 
     rerank: Callable[[], Column] = fusion.lexical_rerank_score
     read: Callable[[Column, Column], Column] = reading.lexical_reader
@@ -32,11 +35,11 @@ def valid_questions(questions: DataFrame) -> DataFrame:
     return q.where((F.length("question") >= 3) & F.col("threshold").between(0, 1)).withColumn("style", F.when(F.col("style").isin("extractive", "explanatory"), F.col("style")).otherwise("auto"))
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, config: EngineConfig = EngineConfig()) -> DataFrame:
-    """Hybrid candidates of (qid, question)."""
-    vectors = embed_texts(chunks.dropDuplicates(["chunk_id"]).select("chunk_id", "dense_text"), "dense_text", config.embedding_dim) if vectors is None else vectors
-    asked = embed_texts(questions.select("qid", expand_query("question").alias("query")), "query", config.embedding_dim)
-    sparse = bm25_search(questions, chunks, config=config)
+def retrieve(questions: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, config: EngineConfig = EngineConfig(), index: TermIndex | None = None, weights: list[float] | None = None) -> DataFrame:
+    """Hybrid candidates of (qid, question), by the built index and vectors or else from the chunks."""
+    vectors = embed_texts(chunks.select("chunk_id", "dense_text"), "dense_text", config.embedding_dim, weights=weights) if vectors is None else vectors
+    asked = embed_texts(questions.select("qid", expand_query("question").alias("query")), "query", config.embedding_dim, weights=weights)
+    sparse = bm25_search(questions, chunks, config=config, index=index)
     dense = dense_search(asked, vectors, config.top_k_dense)
     return fusion.hybrid_candidates(fusion.fuse(sparse, dense, config.rrf_k), questions, chunks, config)
 
@@ -63,12 +66,12 @@ def _gathered(rows: DataFrame, place: str, name: str) -> DataFrame:
     return rows.groupBy("qid").agg(F.transform(items, lambda x: x["row"]).alias(name))
 
 
-def answer_many(questions: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, scorers: Scorers = Scorers(), config: EngineConfig = EngineConfig()) -> DataFrame:
+def answer_many(questions: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, scorers: Scorers = Scorers(), config: EngineConfig = EngineConfig(), index: TermIndex | None = None, weights: list[float] | None = None) -> DataFrame:
     """(qid, question, question_style, answer_type, final_answer, confidence, evidence, support_sentences) of each valid
     question of (qid, question, threshold, style). Equal questions are retrieved and read once."""
     asked = cut(valid_questions(questions))
     texts = cut(asked.groupBy("question").agg(F.min("qid").alias("qid")).select("qid", "question"))
-    reranked = cut(fusion.rerank(retrieve(texts, chunks, vectors, config), scorers.rerank(), config))
+    reranked = cut(fusion.rerank(retrieve(texts, chunks, vectors, config, index, weights), scorers.rerank(), config))
     evidence = _gathered(read_evidence(reranked, scorers, config), "rerank_rank", "evidence")
     support_rows = cut(reading.support_sentences(reranked, chunks, config))
     support = _gathered(support_rows.select("qid", "place", "sentence", "score", *_META), "place", "support_sentences")

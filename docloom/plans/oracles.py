@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.config import BANNED_EXTENSIONS, COMPARE_CONTEXTS, ERROR_CLASSES, EXPLANATORY_MARKERS, QUERY_EXPANSIONS, STOPWORDS, SWEEP_THRESHOLDS
+from docloom.config import BANNED_EXTENSIONS, COMPARE_CONTEXTS, ERROR_CLASSES, EXPLANATORY_MARKERS, NOISE_LINES, QUERY_EXPANSIONS, STOPWORDS, SWEEP_THRESHOLDS
 
 _WS = r"\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
@@ -116,15 +116,41 @@ def _bm25(questions: str, k: int = 20) -> str:
 
 
 _TITLE = _terms("coalesce(title, '') || ' ' || coalesce(section_title, '')")
-_HYBRID = f"""{_VALID}, {_bm25('valid')},
+
+
+def _features(source: str, key: str, text: str, out: str) -> str:
+    """CTE `out` (key, i, v): unit vectors of signed token counts, in single precision."""
+    return f"""{out}_t AS (SELECT {key}, unnest({_tok(f"coalesce({text}, '')")}) AS t FROM {source}),
+    {out}_c AS (SELECT {key}, ('0x' || md5(t)[7:8])::bigint AS i, sum(CASE WHEN md5(t)[9:9] < '8' THEN 1 ELSE -1 END)::double AS c FROM {out}_t GROUP BY ALL),
+    {out}_n AS (SELECT {key}, sqrt(sum(c * c)) AS norm FROM {out}_c GROUP BY {key}),
+    {out} AS (SELECT {key}, i, CASE WHEN norm > 0 THEN (c / norm)::float ELSE 0 END AS v FROM {out}_c JOIN {out}_n USING ({key}))"""
+
+
+def _hybrid(questions: str) -> str:
+    """CTEs that end in hybrid (qid, chunk_id, hybrid_score, question, title_terms, hybrid_rank), by BM25 and dense search."""
+    return f"""{_bm25(questions)},
     tt AS (SELECT chunk_id, {_TITLE} AS title_terms FROM chunks),
-    tscore AS (SELECT qid, chunk_id, count(*) AS score FROM (SELECT chunk_id, unnest(title_terms) AS term FROM tt) JOIN (SELECT qid, unnest({_terms(_expand('question'))}) AS term FROM valid) USING (term) GROUP BY ALL),
-    tlist AS (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM tscore QUALIFY rank <= 20),
-    fused AS (SELECT qid, chunk_id, coalesce(1.0::double / (60 + b.rank), 0) + coalesce(1.0::double / (60 + t.rank), 0) AS rrf FROM bm25 b FULL JOIN tlist t USING (qid, chunk_id)),
-    hs AS (SELECT f.qid, chunk_id, round(rrf + 0.1::double * {_overlap(_terms(_expand('question')), 'title_terms')}, 6) AS hybrid_score, question, title_terms FROM fused f JOIN tt USING (chunk_id) JOIN valid v ON v.qid = f.qid),
+    {_features('chunks', 'chunk_id', 'dense_text', 'cv')}, {_features(f'(SELECT qid, {_expand("question")} AS x FROM {questions})', 'qid', 'x', 'qv')},
+    sums AS (SELECT qid, chunk_id, sum(qv.v::double * cv.v::double) AS s FROM qv JOIN cv USING (i) GROUP BY ALL),
+    every AS (SELECT qid, chunk_id, round(coalesce(s, 0), 6) AS score FROM {questions} CROSS JOIN (SELECT chunk_id FROM chunks) LEFT JOIN sums USING (qid, chunk_id)),
+    dense AS (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM every QUALIFY rank <= 20),
+    fused AS (SELECT qid, chunk_id, coalesce(1.0::double / (60 + b.rank), 0) + coalesce(1.0::double / (60 + t.rank), 0) AS rrf FROM bm25 b FULL JOIN dense t USING (qid, chunk_id)),
+    hs AS (SELECT f.qid, chunk_id, round(rrf + 0.1::double * {_overlap(_terms(_expand('question')), 'title_terms')}, 6) AS hybrid_score, question, title_terms FROM fused f JOIN tt USING (chunk_id) JOIN {questions} v ON v.qid = f.qid),
     hybrid AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY hybrid_score DESC, chunk_id) AS hybrid_rank FROM hs QUALIFY hybrid_rank <= 20)"""
 
 
+def _reranked() -> str:
+    """CTE reranked over hybrid: the seven best of each question."""
+    return f"""rr AS (SELECT h.*, {_overlap(_terms('question'), _terms(f"({_norm('c.chunk_text')})[1:2200]"))} AS body, {_overlap(_terms('question'), 'h.title_terms')} AS title_share FROM hybrid h JOIN chunks c ON c.chunk_id = h.chunk_id),
+    rs AS (SELECT *, round(CASE WHEN body = 0 AND title_share = 0 THEN -1.0 ELSE 8.0 * body + 2.0 * title_share END, 6) AS reranker_score FROM rr),
+    reranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY reranker_score DESC, chunk_id) AS rerank_rank FROM rs QUALIFY rerank_rank <= 7)"""
+
+
+_HYBRID = f"{_VALID}, {_hybrid('valid')}"
+_BONUS = f"""tt2 AS (SELECT chunk_id, {_TITLE} AS title_terms FROM chunks),
+    bonus AS (SELECT v.qid, tt2.chunk_id, {_overlap(_terms(_expand('question')), 'title_terms')} AS share FROM valid v, tt2)"""
+
+
 def _answer(x: str) -> str:
     """Articles between Unicode word bounds: words are marked first, since RE2's own bounds are ASCII."""
     marked = rf"regexp_replace(lower({x}), '([\p{{L}}\p{{N}}\p{{M}}_]+)', '<\1>', 'g')"
@@ -189,6 +215,89 @@ _LOW = "(e.reranker_score < 0 OR (e.retrieval_score < 0.02 AND e.reader_score <
 
 _SYN_HAS, _SYN_LEFT, _SYN_RIGHT = _pair("question", r"\?|$")
 
+
+def _synthesis(source: str) -> str:
+    """CTEs that end in synthesis (qid, synthesis, confidence) of `source` (qid, question, r, ld, rd): support and definitions."""
+    primarily = _norm("lt || ' is primarily ' || ld || ', while ' || rt || ' is primarily ' || rd || '. Use ' || lt || ' when you want ' || ld || ', and use ' || rt || ' when you want ' || rd || '.'")
+    return f"""sb AS (SELECT qid, lower(question) AS low, r, coalesce(ld, '') AS ld, coalesce(rd, '') AS rd, {_SYN_HAS} AND regexp_matches(lower(question), 'difference between|compare| versus | vs ') AS cmp, {_SYN_LEFT} AS lt, {_SYN_RIGHT} AS rt FROM {source}),
+        sc AS (SELECT *, list_transform(r, lambda x: x.sentence) AS s, list_transform(r, lambda x: x.score) AS sc FROM sb),
+        sd AS (SELECT *, list_filter(s, lambda x: contains(lower(x), lt)) AS ls, list_filter(s, lambda x: contains(lower(x), rt)) AS rs FROM sc),
+        sf AS (SELECT *, list_concat(ls[1:1], rs[1:1]) AS fst, cmp AND ld <> '' AND rd <> '' AS dual FROM sd),
+        sg AS (SELECT *, CASE WHEN cmp THEN list_concat(fst, list_filter(s[1:3], lambda x: NOT list_contains(fst, x)))[1:3] ELSE s[1:3] END AS chosen,
+            CASE WHEN contains(low, 'why') THEN 'Based on the documentation, ' WHEN contains(low, 'how') THEN 'According to the retrieved documentation, ' ELSE '' END AS prefix FROM sf),
+        sh AS (SELECT *, {_norm("array_to_string(chosen, ' ')")} AS j FROM sg),
+        synthesis AS (SELECT qid, CASE WHEN len(r) = 0 THEN '' WHEN dual THEN {primarily} WHEN cmp AND len(ls) > 0 AND len(rs) > 0 THEN {_norm("lt || ' is described as ' || trim(ls[1], '. ') || ' while ' || rt || ' is described as ' || trim(rs[1], '. ')")}
+            WHEN prefix <> '' AND j <> '' THEN {_norm("prefix || lower(j[1:1]) || j[2:]")} ELSE j END AS synthesis,
+            CASE WHEN len(r) = 0 THEN 0.0 WHEN dual THEN least(0.99, list_max(sc[1:2])) WHEN cmp AND len(ls) > 0 AND len(rs) > 0 THEN least(0.99, list_sum(sc[1:2]) / greatest(len(sc[1:2]), 1)) ELSE least(0.99, list_sum(sc[1:3]) / greatest(len(sc[1:3]), 1)) END AS confidence FROM sh)"""
+
+
+_ASKED = f"""asked0 AS (SELECT qid::varchar AS qid, question, threshold, style FROM questions WHERE qid % 20 = 0 UNION ALL SELECT id, question, 0.05, answer_style FROM eval_items),
+    asked AS (SELECT qid, {_norm('question')} AS question, coalesce(threshold, 0.01) AS threshold, CASE WHEN lower(style) IN ('extractive', 'explanatory') THEN lower(style) ELSE 'auto' END AS style FROM asked0),
+    valid AS (SELECT * FROM asked WHERE length(question) >= 3 AND threshold BETWEEN 0 AND 1)"""
+
+
+def _support(q_terms: str, sentence: str, t_terms: str, reranker: str, hybrid: str) -> str:
+    """The score of a support sentence; ten places before four, so that ties of both engines fall alike."""
+    return f"""CASE WHEN len({_terms(sentence)}) = 0 THEN 0.0 ELSE 0.45::double * {_overlap(q_terms, _terms(sentence))} + 0.2::double * greatest({reranker}, 0.0::double) / 10 + 0.15::double * greatest({hybrid}, 0.0::double)
+        + 0.1::double * {_overlap(q_terms, t_terms)} + 0.1::double * least(len({_words(sentence)}) / 24.0::double, 1.0::double) END"""
+
+
+_CMP_HAS, _CMP_LEFT, _CMP_RIGHT = _pair("question")
+_ANSWERS = f"""{_ASKED}, {_hybrid('valid')}, {_reranked()},
+    cand AS (SELECT r.*, c.chunk_text, c.source_url, c.title, c.section_title, ({_norm('c.chunk_text')})[1:2200] AS context, {_terms('r.question')} AS qt, v.threshold FROM reranked r JOIN chunks c USING (chunk_id) JOIN valid v ON v.qid = r.qid),
+    top AS (SELECT qid, rerank_rank, chunk_id, context, question, qt, title_terms, hybrid_score, reranker_score FROM cand WHERE rerank_rank <= 5),
+    {_sentences('top', 'qid', 'context', 'es', ', rerank_rank, qt')},
+    eb AS (SELECT qid, rerank_rank, list_max(list_filter(list_transform(s, lambda x, i: {{'score': {_overlap('qt', _terms('x'))}, 'i': -i, 'x': x}}), lambda y: y.score > 0)) AS m FROM es),
+    er AS (SELECT t.*, coalesce(m.score, 0.0) AS b, coalesce(m.x, '') AS sent, round(coalesce(m.score, 0.0) * coalesce(m.score, 0.0) * 0.6::double, 6) AS reader FROM top t JOIN eb USING (qid, rerank_rank)),
+    ev AS (SELECT *, round(greatest(reader, 0.65::double * reader + 0.2::double * b + 0.15::double * {_overlap('qt', 'title_terms')}), 4) AS reader_score, CASE WHEN b >= 0.34 AND length({_norm('sent')}) < 2 THEN sent ELSE {_norm('sent')} END AS span FROM er),
+    evs AS (SELECT qid, list({{'chunk_id': chunk_id, 'retrieval_score': round(hybrid_score, 4), 'reranker_score': round(reranker_score, 4), 'reader_score': reader_score, 'answer_span': span, 'preview': context[1:500]}} ORDER BY rerank_rank) AS evidence FROM ev GROUP BY qid),
+    {_sentences('cand', 'qid', 'chunk_text', 'ss', ', chunk_id, rerank_rank, qt, title_terms, reranker_score, hybrid_score')},
+    sp AS (SELECT * EXCLUDE (s), unnest(s) AS sentence, unnest(range(len(s))) AS pos FROM ss),
+    own AS (SELECT * FROM sp WHERE len({_words('sentence')}) >= 6 QUALIFY row_number() OVER (PARTITION BY qid, lower(sentence) ORDER BY rerank_rank, pos) = 1),
+    scored_own AS (SELECT qid, sentence, round({_support('qt', 'sentence', 'title_terms', 'reranker_score', 'hybrid_score')}, 4) AS score, chunk_id, pos, rerank_rank FROM own),
+    pairs AS (SELECT qid, qt, source_url, {_CMP_LEFT} AS lt, {_CMP_RIGHT} AS rt FROM cand WHERE rerank_rank <= 3 AND {_CMP_HAS}),
+    urls AS (SELECT DISTINCT qid, qt, source_url, unnest([{{'side': 1, 'term': lt}}, {{'side': 2, 'term': rt}}]) AS x FROM pairs),
+    held AS (SELECT u.qid, u.qt, x.side AS side, x.term AS term, c.chunk_id, c.chunk_text, {_TITLE.replace('title', 'c.title').replace('section_c.title', 'section_title')} AS title_terms FROM urls u JOIN chunks c USING (source_url) WHERE contains(lower(c.chunk_text), x.term)),
+    {_sentences('held', 'qid', 'chunk_text', 'hsn', ', side, term, chunk_id, qt, title_terms')},
+    hp AS (SELECT * EXCLUDE (s), unnest(s) AS sentence, unnest(range(len(s))) AS pos FROM hsn),
+    hf AS (SELECT *, lower(sentence) AS low, round({_support('qt', 'sentence', 'title_terms', '1.5', '0.04')} + 0.12::double, 4) AS score FROM hp WHERE contains(lower(sentence), term) AND NOT EXISTS (SELECT 1 FROM own o WHERE o.qid = hp.qid AND lower(o.sentence) = lower(hp.sentence))),
+    lft AS (SELECT * FROM hf WHERE side = 1 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id, pos) = 1),
+    rgt AS (SELECT * FROM hf WHERE side = 2 AND NOT EXISTS (SELECT 1 FROM lft WHERE lft.qid = hf.qid AND lft.low = hf.low) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id, pos) = 1),
+    sup AS (SELECT * FROM scored_own UNION ALL SELECT qid, sentence, score, chunk_id, pos, 1000 FROM lft UNION ALL SELECT qid, sentence, score, chunk_id, pos, 1001 FROM rgt),
+    sbest AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rerank_rank, pos, chunk_id) AS place FROM sup QUALIFY place <= 6),
+    sups AS (SELECT qid, list({{'sentence': sentence, 'score': score}} ORDER BY place) AS r FROM sbest GROUP BY qid),
+    base AS (SELECT v.*, coalesce(r, []) AS r, NULL::varchar AS ld, NULL::varchar AS rd, coalesce(evidence, []) AS evidence FROM valid v LEFT JOIN sups USING (qid) LEFT JOIN evs USING (qid)),
+    {_synthesis('base')},
+    da AS (SELECT b.*, synthesis, s.confidence AS support, CASE WHEN b.style <> 'auto' THEN b.style ELSE {_style('b.question')} END AS question_style, list_max(list_transform(evidence, lambda e, i: {{'s': e.reader_score, 'i': -i, 'e': e}})).e AS e FROM base b JOIN synthesis s USING (qid)),
+    db AS (SELECT *, {_strip("coalesce(e.answer_span, '')")} AS sp, question_style = 'explanatory' AND synthesis <> '' AND support >= greatest(0.18, threshold) AS synth FROM da),
+    dc AS (SELECT *, e.reader_score IS NULL OR e.reader_score < threshold OR {_LOW} AS none FROM db)"""
+
+
+def _tens(rows: str, name: str) -> str:
+    return f"array_to_string(list_transform({rows}, lambda z: round(z.{name} * 10000)::bigint), ',')"
+
+
+def _joined(rows: str, name: str) -> str:
+    return f"array_to_string(list_transform({rows}, lambda z: z.{name}), '|')"
+
+
+_SITE = f"""{_DOCS}, numbered AS (SELECT source_name, doc_id, row_number() OVER (PARTITION BY source_name ORDER BY doc_id) - 1 AS k FROM docs JOIN sources USING (source_name)),
+    pages AS (SELECT n.*, base_url || 'guide/p' || k AS url, k % 5 <> 4 AS passes FROM numbered n JOIN sources USING (source_name)),
+    seen0 AS (SELECT source_name, 0 AS k, 0 AS depth FROM sources),
+    seen1 AS (SELECT p.source_name, unnest(range(4 * p.k + 1, 4 * p.k + 5)) AS k, 1 AS depth FROM seen0 s JOIN pages p USING (source_name, k) WHERE passes),
+    seen2 AS (SELECT p.source_name, unnest(range(4 * p.k + 1, 4 * p.k + 5)) AS k, 2 AS depth FROM seen1 s JOIN pages p USING (source_name, k) WHERE passes),
+    seen AS (SELECT *, row_number() OVER (PARTITION BY source_name ORDER BY k) AS nth FROM (SELECT * FROM seen0 UNION ALL SELECT * FROM seen1 UNION ALL SELECT * FROM seen2)),
+    queue AS (SELECT s.*, p.doc_id, p.url, p.doc_id IS NOT NULL AS fetched, coalesce(p.passes, false) AS accepted, coalesce(sum(coalesce(p.passes, false)::int) OVER (PARTITION BY s.source_name ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::int AS filed FROM seen s LEFT JOIN pages p USING (source_name, k) WHERE nth <= 18),
+    visited AS (SELECT * FROM queue WHERE filed < 12)"""
+
+# The text of a page without main part: text nodes in order, of all elements but the dropped ones and scripts.
+_BARE = r"html"
+for _tag in ("nav", "header", "footer", "aside"):
+    _BARE = rf"regexp_replace({_BARE}, '(?is)<{_tag}\b.*?</{_tag}>', '', 'g')"
+_UNESCAPE = "replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+_NODES = rf"list_filter(list_transform(regexp_split_to_array(regexp_replace({_BARE}, '(?is)<(script|style)\b.*?</(script|style)>', '', 'g'), '<[^>]*>'), lambda x: {_strip(_UNESCAPE.format(x='x'))}), lambda x: x <> '')"
+_LINES = f"list_filter(list_transform(string_split({_norm(f'array_to_string({_NODES}, chr(10))')}, chr(10)), lambda x: {_strip('x')}), lambda x: x <> '' AND NOT list_contains({_list(NOISE_LINES)}, lower(x)))"
+
 ORACLES = {
     "normalized_text": f"WITH {_DOCS} SELECT doc_id, length({_norm('clean_text')}) AS n_chars, md5({_norm('clean_text')}) AS text_md5 FROM docs",
     "token_lists": f"WITH {_DOCS} SELECT doc_id, len(t) AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, {_tok('clean_text')} AS t FROM docs)",
@@ -205,9 +314,10 @@ ORACLES = {
     "corpus_statistics": f"WITH {_CHUNKS} SELECT count(*) AS n, round(sum(len({_tok('chunk_text')}))::double / greatest(count(*), 1), 6) AS avgdl FROM chunks",
     "bm25_topk": f"WITH {_VALID}, {_bm25('valid')} SELECT qid, chunk_id, rank, bm25 FROM bm25",
     "dense_topk": "SELECT qid, vec_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank, score FROM (SELECT q.vec_id AS qid, v.vec_id, round(list_inner_product(q.embedding::double[], v.embedding::double[]), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0) QUALIFY rank <= 20",
+    "bm25_scores": f"WITH {_VALID}, {_bm25('valid')}, {_BONUS} SELECT qid, chunk_id, rank, round(bm25 + 0.15::double * share, 6) AS score FROM bm25 JOIN bonus USING (qid, chunk_id)",
+    "dense_chunks": f"WITH {_HYBRID}, {_BONUS} SELECT qid, chunk_id, rank, round(score + 0.1::double * share, 6) AS score FROM dense JOIN bonus USING (qid, chunk_id)",
     "hybrid_rrf": f"WITH {_HYBRID} SELECT qid, chunk_id, hybrid_rank, hybrid_score FROM hybrid",
-    "rerank_topk": f"""WITH {_HYBRID}, scores AS (SELECT qid, h.chunk_id, {_overlap(_terms('question'), _terms('c.chunk_text[1:2200]'))} AS body, {_overlap(_terms('question'), 'title_terms')} AS title FROM hybrid h JOIN chunks c ON c.chunk_id = h.chunk_id)
-        SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY reranker_score DESC, chunk_id) AS rerank_rank, reranker_score FROM (SELECT qid, chunk_id, round(CASE WHEN body = 0 AND title = 0 THEN -1.0 ELSE 8.0 * body + 2.0 * title END, 6) AS reranker_score FROM scores) QUALIFY rerank_rank <= 7""",
+    "rerank_topk": f"WITH {_HYBRID}, {_reranked()} SELECT qid, chunk_id, rerank_rank, reranker_score FROM reranked",
     "best_sentences": f"""WITH a AS (SELECT qid, question, unnest(range(len(evidence))) AS place, evidence FROM answers QUALIFY row_number() OVER (PARTITION BY qid) >= 1),
         b AS (SELECT DISTINCT qid, place::int AS place, question, evidence[place + 1].context_preview AS ctx FROM a), {_sentences('b', 'qid', 'ctx', extra=', place, question')},
         scored AS (SELECT qid, place, list_transform(s, lambda x, i: {{'score': {_overlap(_terms('question'), _terms('x'))}, 'i': -i, 'x': x}}) AS r FROM sent),
@@ -223,17 +333,8 @@ ORACLES = {
         d AS (SELECT *, e.reader_score IS NULL OR e.reader_score < threshold OR {_LOW} AS none FROM c)
         SELECT qid, CASE WHEN coalesce(synth, false) THEN 'answer' WHEN none THEN 'no_answer' ELSE 'answer' END AS decided_type, CASE WHEN coalesce(synth, false) THEN final_answer WHEN none THEN '' ELSE e.answer_span END AS decided_answer,
         round(CASE WHEN coalesce(synth, false) THEN round(support, 4) WHEN none THEN 0.0 ELSE e.reader_score END, 4) AS decided_confidence FROM d""",
-    "syntheses": f"""WITH a AS (SELECT * FROM answers WHERE question IS NOT NULL QUALIFY row_number() OVER (PARTITION BY qid) = 1),
-        b AS (SELECT qid, lower(question) AS low, coalesce(support_sentences, []) AS r, {_SYN_HAS} AND regexp_matches(lower(question), 'difference between|compare| versus | vs ') AS cmp, {_SYN_LEFT} AS lt, {_SYN_RIGHT} AS rt FROM a),
-        c AS (SELECT *, list_transform(r, lambda x: x.sentence) AS s, list_transform(r, lambda x: x.score) AS sc FROM b),
-        d AS (SELECT *, list_filter(s, lambda x: contains(lower(x), lt)) AS ls, list_filter(s, lambda x: contains(lower(x), rt)) AS rs FROM c),
-        f AS (SELECT *, list_concat(ls[1:1], rs[1:1]) AS fst FROM d),
-        g AS (SELECT *, CASE WHEN cmp THEN list_concat(fst, list_filter(s[1:3], lambda x: NOT list_contains(fst, x)))[1:3] ELSE s[1:3] END AS chosen,
-            CASE WHEN contains(low, 'why') THEN 'Based on the documentation, ' WHEN contains(low, 'how') THEN 'According to the retrieved documentation, ' ELSE '' END AS prefix FROM f),
-        h AS (SELECT *, {_norm("array_to_string(chosen, ' ')")} AS j FROM g)
-        SELECT qid, CASE WHEN len(r) = 0 THEN '' WHEN cmp AND len(ls) > 0 AND len(rs) > 0 THEN {_norm("lt || ' is described as ' || trim(ls[1], '. ') || ' while ' || rt || ' is described as ' || trim(rs[1], '. ')")}
-            WHEN prefix <> '' AND j <> '' THEN {_norm("prefix || lower(j[1:1]) || j[2:]")} ELSE j END AS synthesis,
-        round(CASE WHEN len(r) = 0 THEN 0.0 WHEN cmp AND len(ls) > 0 AND len(rs) > 0 THEN least(0.99, list_sum(sc[1:2]) / greatest(len(sc[1:2]), 1)) ELSE least(0.99, list_sum(sc[1:3]) / greatest(len(sc[1:3]), 1)) END, 6) AS confidence FROM h""",
+    "syntheses": f"""WITH a AS (SELECT qid, question, coalesce(support_sentences, []) AS r, CASE WHEN qid % 2 = 1 THEN coalesce(support_sentences[1].title, '') END AS ld, CASE WHEN qid % 2 = 1 THEN coalesce(support_sentences[1].section_title, '') END AS rd FROM answers WHERE question IS NOT NULL QUALIFY row_number() OVER (PARTITION BY qid) = 1),
+        {_synthesis('a')} SELECT qid, synthesis, round(confidence, 6) AS confidence FROM synthesis""",
     "answer_metrics": f"""WITH t AS (SELECT id, {_answer('passage')} AS np, {_words(_answer('passage'))} AS p, list_transform(coalesce(answers, []), lambda a: {_words(_answer('a'))}) AS gs, list_transform(coalesce(required_terms, []), lambda r: {_answer('r')}) AS rs FROM eval_items JOIN eval_passages ON id = item_id)
         SELECT id, coalesce(list_bool_or(list_transform(gs, lambda g: array_to_string(g, ' ') = np)), false)::int::double AS exact_match, round(coalesce(list_max(list_transform(gs, lambda g: {_f1('p', 'g')})), 0.0), 6) AS f1,
         round(CASE WHEN len(rs) > 0 THEN len(list_filter(rs, lambda r: contains(np, r)))::double / len(rs) ELSE 0.0 END, 6) AS coverage, md5(np) AS normalized_md5 FROM t""",
@@ -249,5 +350,29 @@ ORACLES = {
     "gold_pairs": f"""WITH {_CHUNKS}, u AS (SELECT DISTINCT id, question, unnest(gold_source_urls) AS source_url FROM eval_items WHERE answerable),
         g AS (SELECT id, question AS query, u.source_url, dense_text, row_number() OVER (PARTITION BY id ORDER BY chunk_id) AS nth FROM u JOIN chunks c ON {_url('c.source_url')} = u.source_url QUALIFY nth <= 3)
         SELECT query, source_url, md5(dense_text) AS positive_md5, 'gold_eval' AS kind FROM g QUALIFY row_number() OVER (PARTITION BY query, source_url ORDER BY id, nth) = 1""",
+    "training_pairs": f"""WITH {_CHUNKS}, u AS (SELECT DISTINCT id, question, unnest(gold_source_urls) AS source_url FROM eval_items WHERE answerable),
+        g AS (SELECT id, question AS query, u.source_url, dense_text, row_number() OVER (PARTITION BY id ORDER BY chunk_id) AS nth FROM u JOIN chunks c ON {_url('c.source_url')} = u.source_url QUALIFY nth <= 3),
+        h AS (SELECT *, md5('7|' || chunk_id) AS h FROM chunks ORDER BY h, chunk_id LIMIT 120),
+        s AS (SELECT unnest(['What does ' || trim(coalesce(title, '')) || ' explain in ' || trim(coalesce(source_name, '')) || '?', 'What is covered in the section ' || trim(coalesce(section_title, '')) || '?']) AS query, unnest([0, 1]) AS n, {_url('source_url')} AS source_url, dense_text, h, chunk_id FROM h),
+        p AS (SELECT query, source_url, dense_text, 'gold_eval' AS kind, '1' || ' ' || id || ' ' || lpad(nth::varchar, 6, '0') AS place FROM g UNION ALL SELECT query, source_url, dense_text, 'synthetic_title_section', '2 ' || h || ' ' || chunk_id || ' ' || n FROM s)
+        SELECT query, source_url, md5(dense_text) AS positive_md5, kind FROM p QUALIFY row_number() OVER (PARTITION BY query, source_url ORDER BY place) = 1""",
+    "page_extract": f"""WITH p AS (SELECT raw_file_path, source_url, html FROM raw_pages QUALIFY row_number() OVER (PARTITION BY raw_file_path) = 1),
+        x AS (SELECT raw_file_path, {_url('source_url')} AS url, {_norm(_UNESCAPE.format(x="regexp_extract(html, '(?is)<title>(.*?)</title>', 1)"))} AS title, {_norm(_UNESCAPE.format(x=f"regexp_extract({_BARE}, '(?is)<h2>(.*?)</h2>', 1)"))} AS section_title,
+            {_norm(f"array_to_string({_LINES}, chr(10))")} AS t, len(regexp_extract_all(html, '<a href=')) AS n_links FROM p)
+        SELECT raw_file_path, url, CASE WHEN title = '' THEN 'Untitled' ELSE title END AS title, section_title, length(t) AS n_chars, md5(t) AS text_md5, n_links::int AS n_links FROM x""",
+    "page_links": f"WITH {_SITE}, l AS (SELECT p.url, base_url || 'guide/p' || unnest(range(4 * k + 1, 4 * k + 5)) AS link FROM pages p JOIN sources USING (source_name)) SELECT url, link FROM l",
+    "crawl_documents": f"""WITH {_SITE} SELECT replace(lower(source_name), ' ', '_') || '_' || sha1(url)[1:12] AS doc_id, source_name, url AS source_url, doc_id AS title, 'Page ' || k AS section_title, md5('Page ' || k || chr(10) || 'page of ' || doc_id || repeat(' with some words', 30)) AS text_md5,
+        depth AS crawl_depth, replace(lower(source_name), ' ', '_') || '_' || lpad(filed::varchar, 4, '0') || '.html' AS raw_file_path FROM visited WHERE accepted""",
+    "crawl_visits": f"WITH {_SITE} SELECT source_name, count(v.k) AS visited, count(*) FILTER (fetched) AS fetched, count(*) FILTER (accepted) AS accepted FROM sources LEFT JOIN visited v USING (source_name) GROUP BY source_name",
+    "term_definitions": rf"""WITH {_DOCS}, {_CHUNKS}, w AS (SELECT doc_id AS qid, source_url AS own_url, lower(regexp_extract(clean_text, '([a-zA-Z_.()]+) is read\b', 1)) AS term FROM docs),
+        low AS (SELECT chunk_id, source_url, regexp_split_to_array(lower({_norm('chunk_text')}), '[{_WS}]+is[{_WS}]+read[{_WS}]+') AS p FROM chunks WHERE contains(lower(chunk_text), 'read')),
+        o AS (SELECT chunk_id, source_url, unnest(range(1, len(p))) AS nr, p FROM low WHERE len(p) > 1),
+        d AS (SELECT chunk_id, source_url, nr, p[nr] AS before, {_norm("split_part(array_to_string(p[nr + 1:], ' is read '), '.', 1)")} AS definition FROM o),
+        m AS (SELECT qid, term, definition, row_number() OVER (PARTITION BY qid, term ORDER BY source_url <> own_url, chunk_id, NOT ends_with(before, '.' || term), nr) AS nth FROM w JOIN d ON ends_with(before, term) WHERE term <> '' AND definition <> '')
+        SELECT qid, term, definition FROM m WHERE nth = 1""",
+    "answer_batch": f"""WITH {_ANSWERS} SELECT qid, question, question_style, CASE WHEN synth THEN 'answer' WHEN none THEN 'no_answer' ELSE 'answer' END AS answer_type, md5(CASE WHEN synth THEN synthesis WHEN none THEN '' ELSE e.answer_span END) AS answer_md5,
+        round(CASE WHEN synth THEN round(support, 4) WHEN none THEN 0.0 ELSE e.reader_score END * 10000)::bigint AS confidence, array_to_string(list_transform(evidence, lambda z: z.chunk_id), ',') AS evidence,
+        {_tens('evidence', 'retrieval_score')} AS retrieval, {_tens('evidence', 'reranker_score')} AS reranker, {_tens('evidence', 'reader_score')} AS reader, md5({_joined('evidence', 'answer_span')}) AS spans_md5, md5({_joined('evidence', 'preview')}) AS previews_md5,
+        md5({_joined('r', 'sentence')}) AS support_md5, {_tens('r', 'score')} AS support FROM dc""",
     "known_pairs": "SELECT query, source_url, md5(positive) AS positive_md5, kind FROM training_pairs QUALIFY row_number() OVER (PARTITION BY query, source_url ORDER BY positive) = 1",
 }

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.config import SWEEP_THRESHOLDS, EngineConfig
 from docloom.functions import text as T
 from docloom.functions import urls as U
 from docloom.operators import chunking, crawl, decision, dense, evaluation, fusion, reading, sparse, training
-from docloom.plans.answer import answer_many, valid_questions
+from docloom.plans.answer import answer_many, retrieve, valid_questions
 from docloom.session import cut
 from docloom.sources import table
 from docloom.streaming.ingest import fetch_counts
@@ -99,25 +99,26 @@ def dense_topk(spark, d):
     return dense.dense_search(v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding"), v, 20, "vec_id")
 
 
-def _title_list(asked: DataFrame, chunks: DataFrame) -> DataFrame:
-    """A second ranked list: chunks by their title terms, the 20 best of each question; only pairs with a common term."""
-    q = asked.select("qid", F.explode(T.terms(T.expand_query("question"))).alias("term"))
-    t = sparse.distinct_chunks(chunks).select("chunk_id", F.explode(sparse.title_terms("title", "section_title")).alias("term"))
-    return sparse.best(t.join(q, "term").groupBy("qid", "chunk_id").agg(F.count(F.lit(1)).alias("score")), 20)
+def bm25_scores(spark, d):
+    """The scores that a search reports: with 0.15 of the title overlap."""
+    asked, chunks = _asked(spark, d), _chunks(spark, d)
+    return sparse.with_title_bonus(sparse.bm25_search(asked.select("qid", "question"), chunks), asked, chunks, "bm25", 0.15).select("qid", "chunk_id", "rank", "score")
 
 
-def _hybrid(spark, d, asked):
-    chunks = _chunks(spark, d)
-    fused = fusion.fuse(sparse.bm25_search(asked.select("qid", "question"), chunks), _title_list(asked, chunks))
-    return fusion.hybrid_candidates(fused, asked, chunks)
+def dense_chunks(spark, d):
+    """Dense search over the chunks, its scores with 0.10 of the title overlap."""
+    asked, chunks = _asked(spark, d), _chunks(spark, d)
+    q = dense.embed_texts(asked.select("qid", T.expand_query("question").alias("query")), "query", CONFIG.embedding_dim)
+    found = dense.dense_search(q, dense.embed_texts(chunks.select("chunk_id", "dense_text"), "dense_text", CONFIG.embedding_dim), 20)
+    return sparse.with_title_bonus(found.withColumnRenamed("score", "similarity"), asked, chunks, "similarity", 0.10).select("qid", "chunk_id", "rank", "score")
 
 
 def hybrid_rrf(spark, d):
-    return _hybrid(spark, d, _asked(spark, d)).select("qid", "chunk_id", "hybrid_rank", "hybrid_score")
+    return retrieve(_asked(spark, d), _chunks(spark, d)).select("qid", "chunk_id", "hybrid_rank", "hybrid_score")
 
 
 def rerank_topk(spark, d):
-    return fusion.rerank(_hybrid(spark, d, _asked(spark, d))).select("qid", "chunk_id", "rerank_rank", "reranker_score")
+    return fusion.rerank(retrieve(_asked(spark, d), _chunks(spark, d))).select("qid", "chunk_id", "rerank_rank", "reranker_score")
 
 
 def best_sentences(spark, d):
@@ -142,9 +143,12 @@ def answer_decisions(spark, d):
 
 
 def syntheses(spark, d):
+    """Syntheses over the stored support sentences; title and section of the first stand for the definitions of the terms of questions with an odd number."""
     a = table(spark, d, "answers").dropDuplicates(["qid"]).where("question is not null")
-    none = F.lit("")
-    return a.select("qid", decision.synthesize("question", F.coalesce("support_sentences", F.expr("cast(array() as array<struct<sentence:string,score:double,chunk_id:string,source_name:string,title:string,section_title:string,source_url:string>>)")), none, none).alias("s")).select("qid", F.col("s.answer").alias("synthesis"), F.round("s.confidence", 6).alias("confidence"))
+    rows = F.coalesce("support_sentences", F.expr("cast(array() as array<struct<sentence:string,score:double,chunk_id:string,source_name:string,title:string,section_title:string,source_url:string>>)"))
+    defined = lambda name: F.when(F.col("qid") % 2 == 1, F.coalesce(F.get(F.col("support"), F.lit(0))[name], F.lit("")))
+    a = a.withColumn("support", rows)
+    return a.select("qid", decision.synthesize("question", "support", defined("title"), defined("section_title")).alias("s")).select("qid", F.col("s.answer").alias("synthesis"), F.round("s.confidence", 6).alias("confidence"))
 
 
 def answer_metrics(spark, d):
@@ -201,35 +205,68 @@ def known_pairs(spark, d):
 
 
 def training_pairs(spark, d):
-    return training.training_pairs(table(spark, d, "eval_items"), _chunks(spark, d).withColumn("source_url", U.normalize_url("source_url")))
+    pairs = training.training_pairs(table(spark, d, "eval_items"), _chunks(spark, d).withColumn("source_url", U.normalize_url("source_url")))
+    return pairs.select("query", "source_url", F.md5("positive").alias("positive_md5"), "kind")
 
 
 def page_extract(spark, d):
-    return crawl.parsed_pages(table(spark, d, "raw_pages").select("source_url", "html"))
+    return crawl.parsed_pages(table(spark, d, "raw_pages").dropDuplicates(["raw_file_path"]).select("raw_file_path", "source_url", "html"), "raw_file_path").select("raw_file_path", "url", "title", "section_title", F.length("clean_text").alias("n_chars"), F.md5("clean_text").alias("text_md5"), F.size("links").alias("n_links"))
+
+
+def _site(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(pages, sources): a site for each source, whose k-th page (by doc_id) links to the pages 4k+1 to 4k+4; every fifth is too short."""
+    own = table(spark, d, "sources").select("source_name", "allowed_netloc", "allow_patterns", F.concat("base_url", F.lit("guide/p")).alias("base"))
+    numbered = _docs(spark, d).select("source_name", "doc_id").withColumn("k", F.row_number().over(Window.partitionBy("source_name").orderBy("doc_id")) - 1)
+    links = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.concat(F.lit('<a href="'), F.col("base"), F.col("k") * 4 + i, F.lit('/#top">next</a>'))), " ")
+    body = F.when(F.col("k") % 5 == 4, F.lit("too short")).otherwise(F.concat(F.lit("page of "), F.col("doc_id"), F.repeat(F.lit(" with some words"), 30)))
+    html = F.concat(F.lit("<html><head><title>"), F.col("doc_id"), F.lit("</title></head><body><nav>menu</nav><main><h1>Page "), F.col("k"), F.lit("</h1><p>"), body, F.lit("</p></main>"), links, F.lit("</body></html>"))
+    pages = numbered.join(F.broadcast(own), "source_name").select(F.concat("base", "k").alias("source_url"), html.alias("html"))
+    return pages, own.select("source_name", "allowed_netloc", "allow_patterns", F.array(F.concat("base", F.lit("0")), F.concat("base", F.lit("0#a"))).alias("seed_pages"))
+
+
+CRAWL = EngineConfig(max_pages_per_source=12, max_urls_visited_per_source=18)
 
 
 def page_links(spark, d):
-    return crawl.page_links(table(spark, d, "raw_pages").select("source_url", "html"), table(spark, d, "sources"))
+    return crawl.page_links(*_site(spark, d))
 
 
 def crawl_documents(spark, d):
-    return crawl.crawl(table(spark, d, "raw_pages").select("source_url", "html"), table(spark, d, "sources"))
+    docs = crawl.crawl(*_site(spark, d), CRAWL)[0]
+    return docs.select("doc_id", "source_name", "source_url", "title", "section_title", F.md5("clean_text").alias("text_md5"), "crawl_depth", "raw_file_path")
+
+
+def crawl_visits(spark, d):
+    return crawl.crawl(*_site(spark, d), CRAWL)[1]
 
 
 def term_definitions(spark, d):
-    wanted = _asked(spark, d).withColumn("pair", T.compare_terms("question", end=r"\?|$")).where("pair is not null").select("qid", F.array().cast("array<string>").alias("urls"), F.explode(F.array("pair.left", "pair.right")).alias("term"))
-    return reading.term_definitions(wanted, _chunks(spark, d))
+    """What chunks say of a thing that each page says it of: "... is read" in place of "is primarily", which no chunk says."""
+    term = F.lower(F.regexp_extract("clean_text", r"([a-zA-Z_.()]+) is read\b", 1))
+    wanted = _docs(spark, d).select(F.col("doc_id").alias("qid"), F.array("source_url").alias("urls"), term.alias("term")).where("term <> ''")
+    return reading.term_definitions(wanted, _chunks(spark, d), "is read")
 
 
 def answer_batch(spark, d):
-    return answer_many(table(spark, d, "questions").where("qid % 20 = 0"), _chunks(spark, d))
+    """Answers to the stated questions and the held-out ones, with their evidence and support."""
+    asked = table(spark, d, "questions").where("qid % 20 = 0").select(F.col("qid").cast("string").alias("qid"), "question", "threshold", "style")
+    asked = asked.union(table(spark, d, "eval_items").select("id", "question", F.lit(0.05), "answer_style"))
+    got = answer_many(asked, _chunks(spark, d))
+    ids = lambda c: F.array_join(F.transform(c, lambda e: e["chunk_id"]), ",")
+    tens = lambda c, name: F.array_join(F.transform(c, lambda e: F.round(e[name] * 10000).cast("bigint")), ",")
+    return got.select(
+        "qid", "question", "question_style", "answer_type", F.md5("final_answer").alias("answer_md5"), F.round(F.col("confidence") * 10000).cast("bigint").alias("confidence"), ids("evidence").alias("evidence"),
+        tens("evidence", "retrieval_score").alias("retrieval"), tens("evidence", "reranker_score").alias("reranker"), tens("evidence", "reader_score").alias("reader"),
+        F.md5(F.array_join(F.transform("evidence", lambda e: e["answer_span"]), "|")).alias("spans_md5"), F.md5(F.array_join(F.transform("evidence", lambda e: e["context_preview"]), "|")).alias("previews_md5"),
+        F.md5(F.array_join(F.transform("support_sentences", lambda e: e["sentence"]), "|")).alias("support_md5"), tens("support_sentences", "score").alias("support"),
+    )
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         bm25_topk, normalized_text, token_lists, sentence_lists, question_styles, url_forms, url_validity, first_pages, quality_gate, sentence_chunks, word_chunks, dense_texts,
-        document_frequency, corpus_statistics, dense_topk, hybrid_rrf, rerank_topk, best_sentences, span_search, answer_decisions, syntheses, answer_metrics, evaluation_rows,
-        evaluation_summary, best_threshold, error_classes, crawl_report, daily_fetches, gold_pairs, known_pairs, training_pairs, page_extract, page_links, crawl_documents, term_definitions, answer_batch,
+        document_frequency, corpus_statistics, dense_topk, bm25_scores, dense_chunks, hybrid_rrf, rerank_topk, best_sentences, span_search, answer_decisions, syntheses, answer_metrics, evaluation_rows,
+        evaluation_summary, best_threshold, error_classes, crawl_report, daily_fetches, gold_pairs, known_pairs, training_pairs, page_extract, page_links, crawl_documents, crawl_visits, term_definitions, answer_batch,
     )
 }

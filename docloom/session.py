@@ -24,11 +24,13 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder in spark.checkpoint.dir; only where it is unset, a temporary one."""
+    """Use the shared folder in spark.checkpoint.dir. Only a local session, as in tests, may do without: it gets a temporary one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="docloom-checkpoint-"))
 
 

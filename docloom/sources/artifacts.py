@@ -9,7 +9,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = ("documents", "chunks", "postings", "term_df", "doc_len", "corpus_stats", "dense")
+TABLES = ("raw", "documents", "chunks", "postings", "term_df", "doc_len", "corpus_stats", "dense")
 REQUIRED = ("chunks", "postings", "doc_len", "dense")
 
 EVAL_SCHEMA = (
@@ -19,11 +19,15 @@ EVAL_SCHEMA = (
 PAIR_SCHEMA = "query string, positive string, source_url string, kind string"
 
 
-def write_table(df: DataFrame, root: str, name: str, partition: str | None = None, sort: str | None = None) -> None:
+def write_table(df: DataFrame, root: str, name: str, sort: tuple[str, ...] = ()) -> None:
+    """A table; with `sort` in ranges of it, so that a hot key is in several files and a filter on the key reads few row groups."""
     if sort:
-        df = df.repartition(sort).sortWithinPartitions(sort)
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(partition) if partition else writer).parquet(f"{root}/{name}")
+        df = df.repartitionByRange(*sort).sortWithinPartitions(*sort)
+    df.write.mode("overwrite").parquet(f"{root}/{name}")
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -54,7 +58,12 @@ def read_eval_set(spark: SparkSession, path: str) -> DataFrame:
 
 def read_documents_json(spark: SparkSession, path: str) -> DataFrame:
     schema = "doc_id string, source_name string, source_url string, title string, section_title string, clean_text string, crawl_depth int, raw_file_path string"
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    return spark.read.schema(schema).option("multiLine", path.endswith(".json")).json(path)
+
+
+def write_documents_json(docs: DataFrame, path: str) -> None:
+    """Documents as JSON lines in parts, which `read_documents_json` reads, as it reads one JSON array."""
+    docs.write.mode("overwrite").json(path)
 
 
 def write_pairs(pairs: DataFrame, path: str) -> None:

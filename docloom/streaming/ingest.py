@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docloom.config import EngineConfig
-from docloom.functions.urls import normalize_url
 from docloom.operators.chunking import build_chunks, passed_gate
 
 DOCUMENT_SCHEMA = "doc_id string, source_name string, source_url string, title string, section_title string, clean_text string, raw_file_path string, crawl_depth int"
@@ -28,7 +27,3 @@ def fetch_counts(fetches: DataFrame, late: str = "3 days", window: str = "1 day"
     own = fetches.withWatermark("fetched_at", late) if fetches.isStreaming else fetches
     one = own.dropDuplicatesWithinWatermark(["fetch_id"]) if fetches.isStreaming else own.dropDuplicates(["fetch_id"])
     return one.groupBy(F.window("fetched_at", window).alias("w"), "source_name").agg(F.count(F.lit(1)).alias("fetches"), F.count_if(F.coalesce("accepted", F.lit(False))).alias("accepted")).select("source_name", F.col("w.start").alias("window_start"), "fetches", "accepted")
-
-
-def normalized_urls(stream: DataFrame, url_col: str = "source_url") -> DataFrame:
-    return stream.withColumn(url_col, normalize_url(url_col))

@@ -42,6 +42,68 @@ def test_ask(engine):
             engine.ask(*bad)
 
 
+def test_asking_reads_the_index(engine, spark):
+    asked = spark.createDataFrame([(1, "What does the queue return?", 0.0, "auto")], "qid bigint, question string, threshold double, style string")
+    from docloom.plans.answer import answer_many
+
+    drop = lambda df: df.drop("qid").first().asDict(recursive=True)
+    assert drop(engine.answers(asked)) == drop(answer_many(asked, engine.chunks()))
+    # a search by the index never names the text of a chunk
+    from docloom.operators.sparse import bm25_search
+
+    plan = bm25_search(asked.select("qid", "question"), None, index=engine.index())._jdf.queryExecution().optimizedPlan().toString()
+    assert "chunk_text" not in plan and "regexp_extract_all" not in plan
+
+
+def test_answers_in_blocks(engine, spark, tmp_path):
+    from docloom.config import EngineConfig
+
+    small = Engine(spark, engine.root, EngineConfig(question_block=2))
+    asked = spark.createDataFrame([(i, f"What does the queue number {i} return?", 0.0, "auto") for i in range(5)], "qid bigint, question string, threshold double, style string")
+    got = small.answer_table(asked, f"{tmp_path}/answers")
+    assert sorted(r["qid"] for r in got.collect()) == [0, 1, 2, 3, 4]
+
+
+def test_server(engine):
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from docloom.plans.server import make_server
+
+    server = make_server(engine, port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    try:
+        get = lambda path, data=None: json.loads(urllib.request.urlopen(urllib.request.Request(url + path, data)).read())
+        assert get("/api/health") == {"status": "ok"} and get("/api/status")["ready"]
+        assert b"<form" in urllib.request.urlopen(url + "/").read()
+        assert get("/api/ask", json.dumps({"question": "What does the queue return?"}).encode())["answer_type"] in ("answer", "no_answer")
+        for path, body, status in (("/api/ask", b"{}", 422), ("/api/ask", b'{"question": "ab"}', 422), ("/nothing", None, 404)):
+            with pytest.raises(urllib.error.HTTPError) as e:
+                get(path, body)
+            assert e.value.code == status
+    finally:
+        server.shutdown()
+
+
+def test_crawl_build_train(spark, tmp_path):
+    from docloom.plans.queries import _site
+
+    e = Engine(spark, f"{tmp_path}/site")
+    manifest = e.build_from_pages(*_site(spark, SMALL))
+    assert manifest["document_count"] > 10 and {r["source_name"] for r in manifest["crawl_report"]} and e.status()["ready"]
+    raw, docs = (spark.read.parquet(f"{e.root}/{n}") for n in ("raw", "documents"))
+    assert raw.count() == docs.join(raw.select("raw_file_path"), "raw_file_path").count() == docs.count()
+    artifacts.write_documents_json(docs, f"{tmp_path}/docs")
+    assert artifacts.read_documents_json(spark, f"{tmp_path}/docs").count() == docs.count()
+    before = spark.read.parquet(f"{e.root}/dense").orderBy("chunk_id").collect()
+    pairs = spark.createDataFrame([(f"page {i} words", f"page of some words {i}") for i in range(20)], "query string, positive string")
+    assert e.train(pairs)["trained_pairs"] == 20 and len(e.weights()) == e.config.embedding_dim
+    assert spark.read.parquet(f"{e.root}/dense").orderBy("chunk_id").collect() != before
+    assert e.ask("What are some words?", 0.0)["evidence"]
+
+
 def test_evaluate(engine, spark, tmp_path):
     items = spark.read.parquet(f"{SMALL}/eval_items.parquet").orderBy("id").limit(6)
     examples, summaries = engine.evaluate(items, (0.0, 0.99))
@@ -50,6 +112,7 @@ def test_evaluate(engine, spark, tmp_path):
         assert all(0 <= r[c] <= 1 for c in r.asDict() if c.startswith(("qa", "retrieval", "no_answer", "overall")))
     text = engine.report(examples, summaries, tmp_path / "r" / "report.md")
     assert "## Errors" in text and (tmp_path / "r" / "report.md").exists()
+    assert len(json.loads((tmp_path / "r" / "report.json").read_text())["summaries"]) == 2
 
 
 def test_pairs_and_eval_json(spark, tmp_path):

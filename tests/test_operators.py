@@ -186,8 +186,6 @@ def test_training_pairs(spark):
     pairs = training.training_pairs(items, chunks).collect()
     assert len({(r["query"], r["source_url"]) for r in pairs}) == len(pairs)
     assert {r["kind"] for r in pairs} == {"gold_eval", "synthetic_title_section"}
-    with pytest.raises(NotImplementedError):
-        training.fine_tune()
 
 
 def page(words_, *links):
@@ -199,12 +197,118 @@ def test_crawl(spark):
     pages = [("a", page(60, "b", "c#f", "/about", "https://y.example/guide/z")), ("b", page(60, "d", "a")), ("c", page(5, "e")), ("d", page(60, "f")), ("e", page(60)), ("f", page(60))]
     df = spark.createDataFrame([(base + n, h) for n, h in pages], "source_url string, html string")
     sources = spark.createDataFrame([("X Docs", "https://docs.x.example/", "docs.x.example", [base + "a", base + "a#top"], ["/guide/"])], "source_name string, base_url string, allowed_netloc string, seed_pages array<string>, allow_patterns array<string>")
-    docs = {r["source_url"].rpartition("/")[2]: r["crawl_depth"] for r in crawl.crawl(df, sources).collect()}
-    assert docs == {"a": 0, "b": 1, "d": 2}  # c is too short and gives no links, f is too deep
-    assert crawl.crawl(df, sources, EngineConfig(max_pages_per_source=2)).count() == 2
+    docs, report = crawl.crawl(df, sources)
+    assert {r["source_url"].rpartition("/")[2]: r["crawl_depth"] for r in docs.collect()} == {"a": 0, "b": 1, "d": 2}  # c is too short and gives no links, f is too deep
+    assert values(docs, "raw_file_path") == [("x_docs_0000.html",), ("x_docs_0001.html",), ("x_docs_0002.html",)]
+    assert values(report, "source_name", "visited", "fetched", "accepted") == [("X Docs", 4, 4, 3)]
+    few, report = crawl.crawl(df, sources, EngineConfig(max_pages_per_source=2))
+    assert few.count() == 2 and values(report, "visited", "accepted") == [(2, 2)]
+    few, report = crawl.crawl(df, sources, EngineConfig(max_urls_visited_per_source=3))
+    assert few.count() == 2 and values(report, "visited", "fetched", "accepted") == [(3, 3, 2)]
+    assert values(crawl.crawl(df.limit(0), sources)[1], "visited", "fetched", "accepted") == [(1, 0, 0)]
     assert values(crawl.page_links(df, sources).where(F.col("url").endswith("/a")), "link") == [(base + "b",), (base + "c",)]
 
 
+def crawled_by_hand(links, passes, seeds, most_pages, most_urls, depth):
+    """The queue of a crawl, one URL after the other."""
+    queue, visited, accepted = [(s, 0) for s in seeds], [], []
+    while queue and len(accepted) < most_pages and len(visited) < most_urls:
+        url, at = queue.pop(0)
+        if url in visited:
+            continue
+        visited.append(url)
+        if url not in links or not passes[url]:
+            continue
+        accepted.append((url, at))
+        if at < depth:
+            queue += [(x, at + 1) for x in links[url] if x not in visited]
+    return visited, accepted
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_crawl_equals_a_queue(spark, seed):
+    rng = random.Random(seed)
+    base = "https://docs.x.example/guide/"
+    names = [f"p{i}" for i in range(60)]
+    links = {n: [rng.choice(names + ["gone1", "gone2"]) for _ in range(rng.randint(0, 6))] for n in names}
+    passes = {n: rng.random() < 0.8 for n in names}
+    df = spark.createDataFrame([(base + n, page(60 if passes[n] else 3, *links[n])) for n in names], "source_url string, html string")
+    sources = spark.createDataFrame([("X", "https://docs.x.example/", "docs.x.example", [base + "p0", base + "p1"], ["/guide/"])], "source_name string, base_url string, allowed_netloc string, seed_pages array<string>, allow_patterns array<string>")
+    for pages_, urls in ((60, 280), (9, 280), (60, 14)):
+        visited, accepted = crawled_by_hand(links, passes, ["p0", "p1"], pages_, urls, 2)
+        docs, report = crawl.crawl(df, sources, EngineConfig(max_pages_per_source=pages_, max_urls_visited_per_source=urls))
+        assert {(r["source_url"].rpartition("/")[2], r["crawl_depth"]) for r in docs.collect()} == set(accepted)
+        assert values(report, "visited", "fetched", "accepted") == [(len(visited), sum(v in links for v in visited), len(accepted))]
+
+
+def test_fetching_pages(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Site(BaseHTTPRequestHandler):
+        def do_GET(self):
+            if self.path == "/guide/moved":
+                self.send_response(302)
+                self.send_header("Location", "/guide/b/")
+                return self.end_headers()
+            self.send_response(404 if self.path == "/guide/gone" else 200)
+            self.send_header("Content-Type", "text/plain" if self.path == "/guide/text" else "text/html; charset=utf-8")
+            self.end_headers()
+            self.wfile.write(page(60, "moved", "gone", "text").encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Site)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        host = f"127.0.0.1:{server.server_port}"
+        sources = spark.createDataFrame([("X", f"http://{host}/", host, [f"http://{host}/guide/a"], ["/guide/"])], "source_name string, base_url string, allowed_netloc string, seed_pages array<string>, allow_patterns array<string>")
+        docs, report = crawl.crawl(crawl.fetched_pages(timeout=5, pause=0), sources)
+        assert values(docs, "source_url") == [(f"http://{host}/guide/a",), (f"http://{host}/guide/b",)]
+        assert values(report, "visited", "fetched", "accepted") == [(4, 2, 2)]
+    finally:
+        server.shutdown()
+
+
+def test_fine_tuning_brings_pairs_together(spark):
+    # queries name the topic of their passage in one word, and share words that say nothing
+    topics = [f"topic{i}" for i in range(40)]
+    pairs = spark.createDataFrame([(f"what is said here of {t}", f"it is said here and it is so that {t} counts said here") for t in topics], "query string, positive string")
+    weights = training.fine_tune(pairs, 64, epochs=30, batch=40)
+    assert len(weights) == 64 and min(weights) > 0
+
+    def hits(w):
+        q = dense.embed_texts(pairs.select(F.col("query").alias("qid"), "query"), "query", 64, weights=w)
+        p = dense.embed_texts(pairs.select("query", "positive"), "positive", 64, weights=w)
+        return dense.dense_search(q.select("qid", "embedding"), p, 1, "query").where("qid = query").count()
+
+    assert hits(weights) >= hits(None)
+    with pytest.raises(ValueError):
+        training.fine_tune(pairs.limit(0))
+
+
+def test_spans_of_a_reader_of_probabilities(spark):
+    df = spark.createDataFrame([("The loc is by label.", [(0, 3), (4, 7), (8, 10), (11, 13), (14, 19)], [0.1, 0.6, 0.1, 0.1, 0.1], [0.1, 0.2, 0.1, 0.0, 0.6]), ("x", [], [], [])], "c string, o array<struct<first:int,last:int>>, s array<double>, e array<double>")
+    got = [tuple(r["x"]) for r in df.select(reading.read_spans("c", "o", "s", "e").alias("x")).collect()]
+    assert got == [("loc is by label", pytest.approx(0.36)), ("", 0.0)]
+
+
+def test_search_of_an_index_equals_search_of_chunks(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("alpha beta gamma delta eps zeta eta".split()) for _ in range(rng.randint(0, 30))) for _ in range(80)]
+    chunks = chunks_of(spark, texts)
+    tokens = sparse.chunk_tokens(chunks)
+    posts = sparse.postings(tokens)
+    index = sparse.TermIndex(posts, sparse.document_frequency(posts), sparse.corpus_stats(tokens))
+    asked = spark.createDataFrame([(1, "alpha zeta"), (2, "beta beta eta"), (3, "nothing known")], "qid int, question string")
+    want = values(sparse.bm25_search(asked, chunks.union(chunks.limit(30))), "qid", "chunk_id", "rank", "bm25")
+    assert values(sparse.bm25_search(asked, None, index=index), "qid", "chunk_id", "rank", "bm25") == want and want
+    few = EngineConfig(filter_terms=1, broadcast_rows=1)  # beyond the bounds terms are joined and shuffled
+    assert values(sparse.bm25_search(asked, None, config=few, index=index), "qid", "chunk_id", "rank", "bm25") == want
+    assert values(sparse.bm25_search(asked, chunks.union(chunks.limit(30)), config=few), "qid", "chunk_id", "rank", "bm25") == want
+
+
 def test_crawl_counts_and_first_per_url(spark):
     log = spark.createDataFrame([(1, "S", "https://x/a", 200, "text/html", True), (1, "S", "https://x/a", 200, "text/html", True), (2, "S", "https://X/a#z", 404, None, False), (3, "S", "https://x/b", None, None, None)], "fetch_id int, source_name string, source_url string, http_status int, content_type string, accepted boolean")
     assert values(crawl.crawl_counts(log), "source_name", "visited", "fetched", "accepted") == [("S", 2, 1, 1)]
@@ -214,5 +318,15 @@ def test_crawl_counts_and_first_per_url(spark):
 
 def test_term_definitions_prefer_urls(spark):
     chunks = chunks_of(spark, ["Also loc is primarily first. More."], url="u1").unionByName(chunks_of(spark, ["x", "The .loc is primarily label based."], url="u2"))
-    wanted = spark.createDataFrame([(1, "loc", ["u2"]), (2, "loc", []), (3, "zz", []), (4, "", [])], "qid int, term string, urls array<string>")
-    assert values(reading.term_definitions(wanted, chunks), "qid", "definition") == [(1, "label based"), (2, "first")]
+    wanted = spark.createDataFrame([(1, "loc", ["u2"]), (2, "loc", []), (3, "zz", []), (4, "", []), (5, "loc", None), (6, None, [])], "qid int, term string, urls array<string>")
+    assert values(reading.term_definitions(wanted, chunks), "qid", "definition") == [(1, "label based"), (2, "first"), (5, "first")]
+
+
+def test_term_definitions_of_signed_terms(spark):
+    texts = ["So df.loc is  primarily label based. c++ is primarily fast", "a-b is primarily (x) and more; f(x) is\nprimarily a call", "q[0] is primarily x is primarily y. And iloc is primarily z", None, "is primarily nothing", "The big cat is primarily lazy."]
+    chunks = chunks_of(spark, texts).union(chunks_of(spark, texts))
+    want = {"df.loc": "label based", "c++": "fast", "a-b": "(x) and more; f(x) is primarily a call", "f(x)": "a call", "q[0]": "x is primarily y", "x": "y", "oc": "label based", "iloc": "z", "big cat": "lazy", "lazy": None, "c+": None}
+    wanted = spark.createDataFrame([(i, t, []) for i, t in enumerate(want)], "qid int, term string, urls array<string>")
+    got = {r["term"]: r["definition"] for r in reading.term_definitions(wanted, chunks).collect()}
+    assert got == {k: v for k, v in want.items() if v}
+    assert reading.term_definitions(wanted.limit(0), chunks).count() == reading.term_definitions(wanted, chunks.limit(0)).count() == 0

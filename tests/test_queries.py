@@ -30,13 +30,17 @@ def canonical(frame):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_as_sql(spark, db, name):
     theirs, ours = db.execute(ORACLES[name]).df(), QUERIES[name](spark, SMALL).toPandas()
+    assert len(ours) or name == "term_definitions"  # on this scale no chunk says it
     assert sorted(theirs.columns) == sorted(ours.columns)
     assert canonical(theirs) == canonical(ours)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES.keys() - ORACLES.keys()))
-def test_runs(spark, name):
-    assert QUERIES[name](spark, SMALL).count() >= 0
+def test_definitions_have_rows(spark):
+    assert QUERIES["term_definitions"](spark, "/root/testdata/sf0.01").count() > 10
+
+
+def test_every_query_has_sql():
+    assert QUERIES.keys() == ORACLES.keys()
 
 
 def test_contract(spark):
