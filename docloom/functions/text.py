@@ -44,8 +44,9 @@ def stopword_array() -> Column:
 
 
 def tokenize(x: Column | str) -> Column:
-    """Lower-case tokens of ASCII letters, digits and _/.+- without stop words."""
-    found = F.regexp_extract_all(F.lower(normalize_ws(x)), F.lit("([a-z0-9_/.+-]+)"), 1)
+    """Lower-case tokens of ASCII letters, digits and _/.+- without stop words. White space parts tokens in any form, so it
+    need not be normalized first."""
+    found = F.regexp_extract_all(F.lower(col(x)), F.lit("([a-z0-9_/.+-]+)"), 1)
     return F.filter(found, lambda t: ~t.isin(*STOPWORDS))
 
 
