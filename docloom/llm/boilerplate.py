@@ -9,7 +9,7 @@ body that follows it even over furniture.
 
 Link density comes from the raw HTML where it is kept: each block's linked characters over all its
 characters, navigation elements counting as linked. Pages join their marked blocks by file path. Where
-no HTML is kept, link density is estimated from the words of a block: `link_model` counts words, pairs
+no HTML is kept, or it marks nothing, link density is estimated from the words of a block: `link_model` counts words, pairs
 of words and openings of blocks in linked and in other blocks of pages with HTML, and a block's log-odds
 decide it where they are clear. The counts come from a bounded sample of labelled pages
 (`sample_pages`). Phrases that furniture is known by (cookies, rights, bylines) break ties only: they
@@ -297,16 +297,19 @@ def _label_counts(batches):
     yield rows()
 
 
-def link_model(sample: DataFrame, least: int = 3) -> LinkModel | None:
+def link_model(sample: DataFrame, least: int = 3, strong: float = 2.0) -> LinkModel | None:
     """The model of a bounded sample (text, links) of pages and the hashes of their linked blocks; features seen `least`
-    times or more count. None without linked blocks."""
+    times or more and of log-odds of `strong` or more count. None without linked blocks."""
     counts = sample.select("text", "links").mapInArrow(_label_counts, "feature string, linked bigint, plain bigint").groupBy("feature").agg(F.sum("linked").alias("linked"), F.sum("plain").alias("plain"))
-    rows = counts.where(F.col("linked") + F.col("plain") >= least).collect()
-    all_ = next(((r["linked"], r["plain"]) for r in rows if not r["feature"]), (0, 0))
-    if not all(all_):
+    counts = cut(counts)
+    all_ = counts.where("feature = ''").first()
+    if not all_ or not all_["linked"] or not all_["plain"]:
         return None
-    odds = lambda r: math.log((r["linked"] + 0.5) / (all_[0] + 1)) - math.log((r["plain"] + 0.5) / (all_[1] + 1))
-    return LinkModel({r["feature"]: round(o, 3) for r in rows if r["feature"] and abs(o := odds(r)) > 0.2})
+    odds = F.log((F.col("linked") + 0.5) / (all_["linked"] + 1)) - F.log((F.col("plain") + 0.5) / (all_["plain"] + 1))
+    # pairs and openings speak for links only, single words on both sides
+    known = counts.where((F.col("linked") + F.col("plain") >= least) & (F.col("feature") != "")).withColumn("odds", F.round(odds, 3))
+    kept = known.where(F.col("odds").between(strong, 99) | (F.col("odds") <= -strong) & ~F.col("feature").contains(" ") & ~F.col("feature").startswith("^"))
+    return LinkModel({r["feature"]: r["odds"] for r in kept.select("feature", "odds").collect()})
 
 
 def _dense(bare: str) -> int:
@@ -360,7 +363,7 @@ def furniture_lines(text: str | None, links: list[int] | None = None, model: Lin
     for j, (i, key) in enumerate(zip(rows, keys)):
         # hashes are needed only where there are links; the heading that a contents entry points to has its words
         marked = bool(linked) and line_key(bare[i]) in linked and (last[key] != j or times[key] == 1)
-        label = _first_pass(bare[i], marked, model)
+        label = _first_pass(bare[i], marked, None if linked else model)  # no estimate where there is a measure
         if label == OPEN and last[key] > j and len(bare[i]) < 120:
             label = BAD  # an entry of the contents list
         elif label == OPEN and first[key] < j:
