@@ -234,6 +234,7 @@ _CLOSING = re.compile(r"(?:regards|sincerely|cheers|thanks|best wishes|grüßen|
 #: What only follows a person, what mostly does, and what ends a line or field.
 _PERSON_AFTER = re.compile(r"(?:, (?:could|can|would) you| (?:asked|said|wrote|replied|suggested)\b| \(maintainer\)|, pouvez-|, bitte|, ¿)")
 _SAID_AFTER = re.compile(r"(?: (?:rewrote|fixed|reported|noticed|who)\b)")
+_THANKED_FOR = re.compile(r"[ ](?:for|für|pour|por)\b")
 _ENDS_AFTER = re.compile(r"[ ]?(?:[|;·\t\r\n]|$)|[,\"]")
 _MADE = re.compile(r"(?:Mc|Mac|[A-Z]['’])[A-ZÀ-Þ]|[a-z]|(?:VAN|VON|DE|DER|DI|DA|DU|DEL)[ ]")
 # Words in capitals beside a cue that make a title, a group or a firm of it.
@@ -431,7 +432,7 @@ class Finder:
         cue = 0.5 if _CLOSING.search(text[max(0, start - 40) : start]) else next((worth for worth, pattern in _CUES if pattern.search(near)), 0.0)
         ended = _ENDS_AFTER.match(tail)
         score = 0.1 + 0.3 * (self._flat(last) in self.family) + cue + (0.5 if _PERSON_AFTER.match(tail) else 0.3 if _SAID_AFTER.match(tail) else 0.1 * bool(ended))
-        score += 0.2 * bool(_MADE.match(last)) + 0.2 * bool(middle and cue)
+        score += 0.2 * bool(_MADE.match(last)) + 0.2 * bool(middle and cue) + 0.2 * bool(cue == 0.4 and _THANKED_FOR.match(tail))
         if score < THRESHOLD and ended:
             # the field or line after it is an item of the same person, or an address in its line has its parts
             after = end + len(re.match(r"[\s|;·]*", tail).group())
