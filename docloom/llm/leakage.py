@@ -9,11 +9,11 @@ Bit sampling takes `bits` steps of the walk for each of `samples` repetitions; e
 candidate, which is then verified exactly: a run of at least `min_run` equal characters through the
 window, or, with `max_edits`, an item window within that many edits.
 
-The corpus is read once, whatever the number of items. Keys of item windows are a table; their high bits
-make a bit mask of a fixed size (8 MB), which all workers hold. Corpus windows that the mask lets through
-go, with the characters around them, to an equi-join with the table on the key, and are verified there,
-so no text is joined back and no item is on the driver. The mask lets
-through windows / 2^26 of the rest by chance, which costs rows of the join and loses nothing.
+The corpus is read once, whatever the number of items. Keys of item windows are a table; three bits of each
+make a Bloom filter of a fixed size (8 MB), which all workers hold. Corpus windows that it lets through
+go, with the characters around them, to an equi-join with the table on the key (by broadcast up to 500,000
+keys), and are verified there, so no text is joined back and no item is on the driver. What the
+filter lets through by chance (few at a million keys, all at a billion) costs rows of the join and loses nothing.
 
 Recall is 1 for exact runs, by construction. For edits, `samples` and `bits` are chosen for a `target_recall`
 (`sampling`): with that chance a window that holds all of `max_edits` random edits becomes a candidate.
@@ -27,6 +27,7 @@ import re
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -141,10 +142,18 @@ def within_edits(window: str, text: str, most: int) -> bool:
     return False
 
 
+#: Item keys up to which they are broadcast, about 80 bytes each as a hashed relation, 40 MB; beyond it both sides are shuffled by key.
+_BROADCAST_KEYS = 500_000
 #: Bits of the mask of item keys.
 _MASK = 26
 
 
+def _bits(key: np.ndarray):
+    """The bits of the mask of each key: three stretches of it."""
+    for shift in (64 - _MASK, 64 - 45, 0):
+        yield key >> np.uint64(shift) & np.uint64((1 << _MASK) - 1)
+
+
 class Windows:
     """The windows of texts with their keys and the characters around them."""
 
@@ -165,8 +174,9 @@ class Windows:
             key ^= key >> np.uint64(29)
             near = np.arange(len(key))
             if mask is not None:
-                bit = key >> np.uint64(64 - _MASK)
-                near = np.flatnonzero(mask[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & np.uint8(1))
+                for bit in _bits(key):
+                    bit = bit[near]
+                    near = near[np.flatnonzero(mask[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & np.uint8(1))]
             yield from zip(which[near].tolist(), key[near].astype(np.int64).tolist(), offset[near].tolist())
 
     def around(self, text: str, at: int) -> tuple[str, int]:
@@ -191,14 +201,19 @@ class Windows:
 
 
 def _mask(keys: DataFrame) -> np.ndarray | None:
-    """The bits of the keys' high ends: at most 2^20 rows of 64 bits come to the driver, however many keys there are."""
-    bit = F.shiftrightunsigned("key", 64 - _MASK)
-    words = keys.select(bit.alias("bit")).select(F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("bits"))
-    rows = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).collect()
-    if not rows:
+    """A Bloom filter of the keys: the bits are joined by 64 on the workers, so at most 2^20 numbers come to the driver, however many keys there are."""
+
+    def run(batches):
+        for batch in batches:
+            key = np.asarray(batch.column(0)).view(np.uint64)
+            bit = np.concatenate([x for x in _bits(key)])
+            yield pa.RecordBatch.from_arrays([pa.array((bit >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (bit & np.uint64(63))).view(np.int64))], names=["word", "bits"])
+
+    found = keys.select("key").mapInArrow(run, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    if not found.num_rows:
         return None
     mask = np.zeros(1 << (_MASK - 6), np.int64)
-    mask[[r["word"] for r in rows]] = [r["bits"] for r in rows]
+    mask[found["word"].to_numpy()] = found["bits"].to_numpy()
     return mask.view(np.uint8)
 
 
@@ -239,10 +254,13 @@ def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         return [[i for i, _ in seen], [n for _, n in seen]]
 
     near = map_lists(flat, text_rule, f"id {kinds[0]}, key bigint, start int, near string, at int", rows=256)
-    met = near.join(keys, "key")
+    # by their count, since the planner takes the size of the items for that of their windows
+    small = keys.count() <= _BROADCAST_KEYS
+    own = (lambda df: F.broadcast(df)) if small else (lambda df: df.hint("merge"))
+    met = near.join(own(keys), "key")
     if samples > 1:  # a pair of windows that meets in several samples is verified once
         met = met.dropDuplicates(["id", "start", "entry", "place", "near"])
-    met = met.join(listed, "entry").select("id", "near", "at", "item", "passage", "place")
+    met = met.join(own(listed), "entry").select("id", "near", "at", "item", "passage", "place")
     return map_lists(met, verify, f"id {kinds[0]}, item {kinds[1]}", rows=8192).distinct().toDF(id_col, item_col)
 
 
