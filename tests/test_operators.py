@@ -330,3 +330,32 @@ def test_term_definitions_of_signed_terms(spark):
     got = {r["term"]: r["definition"] for r in reading.term_definitions(wanted, chunks).collect()}
     assert got == {k: v for k, v in want.items() if v}
     assert reading.term_definitions(wanted.limit(0), chunks).count() == reading.term_definitions(wanted, chunks.limit(0)).count() == 0
+
+
+def _reaching(monkeypatch, module):
+    """Counts the rows that reach the ranking of `module`."""
+    real, counts = module.best, []
+    monkeypatch.setattr(module, "best", lambda scored, *a, **k: counts.append(scored.count()) or real(scored, *a, **k))
+    return counts
+
+
+def test_bm25_shuffles_only_the_best(spark, monkeypatch):
+    """Words that all questions and chunks share make a pair of each question and chunk; only k a question and task are ranked."""
+    rng = random.Random(5)
+    words_ = [f"w{i}" for i in range(60)]
+    texts = ["shared " + " ".join(rng.choices(words_, k=rng.randint(1, 12))) for _ in range(900)]
+    chunks = chunks_of(spark, texts)
+    asked = spark.createDataFrame([(i, "shared " + " ".join(rng.sample(words_, 2))) for i in range(50)] + [(50, "shared"), (51, "unknown")], "qid int, question string")
+    counts = _reaching(monkeypatch, sparse)
+    got = sparse.bm25_search(asked, chunks.union(chunks.limit(40)), k=5)
+    rows = [t.split() for t in texts]
+    n, avg = len(rows), sum(map(len, rows)) / len(rows)
+    df = {w: sum(w in r for r in rows) for w in ["shared", *words_]}
+    want = []
+    for q, text in [(r["qid"], r["question"]) for r in asked.collect()]:
+        asks = text.split() * 2 if len(text.split()) > 1 else text.split()
+        score = lambda r: round(sum(math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * r.count(t) * 2.5 / (r.count(t) + 1.5 * (0.25 + 0.75 * len(r) / avg)) for t in asks if t in r), 6)  # noqa: B023, E731
+        best = sorted((-score(r), f"c{i}") for i, r in enumerate(rows) if set(asks) & set(r))[:5]
+        want += [(q, c, i + 1) for i, (_, c) in enumerate(best)]
+    assert values(got, "qid", "chunk_id", "rank") == sorted(want)
+    assert counts[0] <= 52 * 5 * 4  # 4 tasks; pairs with a common term are over 45,000
