@@ -359,3 +359,55 @@ def test_bm25_shuffles_only_the_best(spark, monkeypatch):
         want += [(q, c, i + 1) for i, (_, c) in enumerate(best)]
     assert values(got, "qid", "chunk_id", "rank") == sorted(want)
     assert counts[0] <= 52 * 5 * 4  # 4 tasks; pairs with a common term are over 45,000
+
+
+def test_dense_search_ranks_only_the_best_of_a_task(spark, monkeypatch):
+    """Short texts make vectors of few entries, whose products are summed entry by entry; many tie, also with those of no entry."""
+    rng = random.Random(6)
+    words_ = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choices(words_, k=rng.randint(0, 6))) for _ in range(700)]
+    asked = [" ".join(rng.sample(words_, rng.randint(1, 3))) for _ in range(30)] + ["", "zero"]
+    p = spark.createDataFrame([(f"c{i:04d}", t) for i, t in enumerate(texts)], "chunk_id string, t string").repartition(3)
+    q = dense.embed_texts(spark.createDataFrame(list(enumerate(asked)), "qid int, t string"), "t", 64)
+    counts = _reaching(monkeypatch, dense)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")  # many batches a task
+    try:
+        made = dense.embed_texts(p.union(p.limit(50)), "t", 64)
+        got = values(dense.dense_search(q, made, 4), "qid", "chunk_id", "rank")
+        tokens = p.select("chunk_id", F.filter(F.split("t", " "), lambda x: x != "").alias("embedding"))
+        fused = values(dense.dense_search(q, tokens, 4, embed=dense.token_vectors(64)), "qid", "chunk_id", "rank")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    stored = {r["chunk_id"]: r["embedding"] for r in dense.embed_texts(p, "t", 64).collect()}
+    want = []
+    for r in q.collect():
+        best = sorted((-round(sum(a * b for a, b in zip(r["embedding"], x)), 6), c) for c, x in stored.items())[:4]
+        want += [(r["qid"], c, i + 1) for i, (_, c) in enumerate(best)]
+    assert got == sorted(want) and fused == sorted(want)
+    assert counts[0] <= 32 * 4 * 6  # 3 + 1 tasks of 18 batches
+
+
+@pytest.mark.parametrize("ordered", [True, False])
+def test_the_best_over_many_groups(ordered):
+    """Groups of rows, equal scores, ids that come again (unless ordered), a query of equal scores."""
+    import numpy as np
+    import pyarrow as pa
+
+    from docloom.operators.topk import TopK
+
+    rng = np.random.default_rng(7)
+    for k in (1, 3, 20):
+        top, seen = TopK(9, k, ordered), [{} for _ in range(9)]
+        for g in range(12):
+            numbers = range(g * 150, g * 150 + 150) if ordered else sorted(rng.choice(900, 150, replace=False).tolist())
+            ids = [f"c{i:05d}" for i in numbers]
+            true = np.round((np.array(numbers)[None, :] * np.arange(1, 9)[:, None] * 7919) % 101 / 50 - 0.5, 2)
+            near = true + rng.uniform(-1e-4, 1e-4, true.shape)
+            top.begin(pa.array(ids))
+            top.add(0, near, 2e-4, -np.inf, lambda r, c: true[r, c])  # noqa: B023
+            top.add_equal(8, 0.0)
+            top.end()
+            for q in range(9):
+                seen[q] |= {c: (float(true[q, j]) if q < 8 else 0.0) for j, c in enumerate(ids)}
+        got = [(r["q"], r["id"], r["s"]) for b in top.batches(pa.array(range(9)), ["q", "id", "s"], 7) for r in b.to_pylist()]
+        assert got == [(q, c, s) for q in range(9) for s, c in ((-a, c) for a, c in sorted((-s, c) for c, s in seen[q].items())[:k])]
