@@ -411,3 +411,14 @@ def test_the_best_over_many_groups(ordered):
                 seen[q] |= {c: (float(true[q, j]) if q < 8 else 0.0) for j, c in enumerate(ids)}
         got = [(r["q"], r["id"], r["s"]) for b in top.batches(pa.array(range(9)), ["q", "id", "s"], 7) for r in b.to_pylist()]
         assert got == [(q, c, s) for q in range(9) for s, c in ((-a, c) for a, c in sorted((-s, c) for c, s in seen[q].items())[:k])]
+
+
+def test_titles_of_found_chunks_only_are_shuffled(spark):
+    chunks = chunks_of(spark, [f"alpha beta{i}" for i in range(200)], title="Alpha guide")
+    asked = spark.createDataFrame([(1, "alpha beta7"), (2, "beta9")], "qid int, question string")
+    found = sparse.bm25_search(asked, chunks.union(chunks), k=3)
+    got = sparse.with_title_bonus(found, asked, chunks.union(chunks), "bm25", 0.15)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi, BuildRight" in plan and "SortMergeJoin [chunk_id" not in plan.split("LeftSemi")[1].split("\n")[0]
+    scores = {(r["qid"], r["chunk_id"]): round(r["score"] - r["bm25"], 6) for r in got.collect()}
+    assert scores[1, "c7"] == 0.075 and scores[2, "c9"] == 0.0 and len(scores) == 4
