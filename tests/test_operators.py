@@ -422,3 +422,19 @@ def test_titles_of_found_chunks_only_are_shuffled(spark):
     assert "LeftSemi, BuildRight" in plan and "SortMergeJoin [chunk_id" not in plan.split("LeftSemi")[1].split("\n")[0]
     scores = {(r["qid"], r["chunk_id"]): round(r["score"] - r["bm25"], 6) for r in got.collect()}
     assert scores[1, "c7"] == 0.075 and scores[2, "c9"] == 0.0 and len(scores) == 4
+
+
+def test_only_texts_of_ranked_chunks_are_read(spark, monkeypatch):
+    """Of the candidates of both lists only those that are ranked meet their texts, and those by broadcast ids."""
+    chunks = chunks_of(spark, [f"alpha beta{i}" for i in range(60)], title="Alpha guide")
+    asked = spark.createDataFrame([(1, "alpha beta7")], "qid int, question string")
+    lists = [spark.createDataFrame([(1, f"c{i}", n + 1) for n, i in enumerate(own)], "qid int, chunk_id string, rank int") for own in (range(20), range(20, 40))]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = fusion.hybrid_candidates(fusion.fuse(*lists), asked, chunks.union(chunks))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "LeftSemi, BuildRight" in plan
+    assert values(got, "hybrid_rank", "chunk_id") == sorted((2 * n + 1 + k, c) for n in range(10) for k, c in enumerate(sorted((f"c{n}", f"c{20 + n}"))))
+    assert all(r["chunk_text"] for r in got.collect())
