@@ -46,3 +46,9 @@ def test_every_query_has_sql():
 def test_contract(spark):
     assert contract.entry(spark).columns == ["qid", "chunk_id", "rank", "bm25"]
     assert QUERIES.keys() <= contract.queries().keys() and contract.oracle_sql().keys() <= contract.queries().keys()
+
+
+def test_all_valid_questions_are_answered(spark, db):
+    asked = {str(r[0]) for r in db.execute("SELECT qid FROM questions WHERE length(trim(question)) >= 3 AND coalesce(threshold, 0.01) BETWEEN 0 AND 1").fetchall()}
+    got = {r["qid"] for r in QUERIES["answer_batch"](spark, SMALL).select("qid").collect()}
+    assert len(asked) > 20 and asked <= got
