@@ -438,3 +438,15 @@ def test_only_texts_of_ranked_chunks_are_read(spark, monkeypatch):
     assert "LeftSemi, BuildRight" in plan
     assert values(got, "hybrid_rank", "chunk_id") == sorted((2 * n + 1 + k, c) for n in range(10) for k, c in enumerate(sorted((f"c{n}", f"c{20 + n}"))))
     assert all(r["chunk_text"] for r in got.collect())
+
+
+def test_answers_rank_only_the_best_of_a_task(spark, monkeypatch):
+    """A batch of answers whose questions all share a word with all chunks."""
+    from docloom.plans.answer import answer_many
+
+    chunks = chunks_of(spark, [f"The queue number {i} holds one shared item of work." for i in range(800)], title="Queue")
+    asked = spark.createDataFrame([(str(i), f"What does the shared queue number {i} hold?", 0.0, "auto") for i in range(40)], "qid string, question string, threshold double, style string")
+    counts = _reaching(monkeypatch, sparse)
+    got = {r["qid"]: r["evidence"][0]["chunk_id"] for r in answer_many(asked, chunks).collect()}
+    assert got == {str(i): f"c{i}" for i in range(40)}
+    assert counts[0] <= 40 * 20 * 4  # 4 tasks; there are 32,000 pairs
